@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 # The characters that count as white space when text is stripped or split.
 WHITESPACE = (
-    "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085  "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 # The same set as a Java character class body.
 WHITESPACE_CLASS = (
-    r"\t-\r\x1c-\x20\x85\xa0  -     　"
+    r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 CONTROL_PATTERN = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 TOKENS_PER_WORD_DIVISOR = 0.75

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from importlib import import_module
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    for module in PLAN_MODULES:
+    for module in [m for m in PLAN_MODULES if find_spec(f"gristmill.plans.{m}")]:
         import_module(f"gristmill.plans.{module}")
     return dict(QUERIES), dict(ORACLES)
