@@ -114,15 +114,19 @@ def modification_log(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 def word_ngrams(text: Column, n: int) -> Column:
     """Word n-grams of the whole text in lower case; a shorter text is its own single n-gram."""
-    ws = tx.words(F.lower(text))
-    joined = F.transform(
-        F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " ")
-    )
-    return (
-        F.when(F.size(ws) == 0, F.array().cast("array<string>"))
-        .when(F.size(ws) < n, F.array(F.array_join(ws, " ")))
-        .otherwise(joined)
-    )
+
+    def grams(ws: Column) -> Column:
+        joined = F.transform(
+            F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " ")
+        )
+        return (
+            F.when(F.size(ws) == 0, F.array().cast("array<string>"))
+            .when(F.size(ws) < n, F.array(F.array_join(ws, " ")))
+            .otherwise(joined)
+        )
+
+    # The word list is bound once as a lambda variable; inlined, it would be split anew per n-gram.
+    return F.flatten(F.transform(F.array(tx.words(F.lower(text))), grams))
 
 
 def shingle_hashes(text: Column, n: int) -> Column:
