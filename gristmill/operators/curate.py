@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
 from gristmill.operators import gates
+from gristmill.session import durable
 
 # Modulus and multipliers of the permutations behind the signatures.
 PRIME = 2147483647
@@ -145,25 +146,25 @@ def permutation_terms(n: int) -> tuple[np.ndarray, np.ndarray]:
     return (i * MULTIPLIER_STEP) % (PRIME - 1) + 1, (i * i * OFFSET_STEP) % PRIME
 
 
-def _band_keys(bands: int, rows: int):
+def _signature_rows(bands: int, rows: int):
+    """Replaces a batch's ``grams`` with the bands of its min-hash signature."""
     multipliers, offsets = permutation_terms(bands * rows)
+    width = 4 * rows
 
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def band_keys(grams: np.ndarray) -> list[bytes]:
+        if len(grams) == 0:
+            return []
+        # One permutation at a time keeps memory at the size of the text itself.
+        sig = np.array([((a * grams + b) % PRIME).min() for a, b in zip(multipliers, offsets)])
+        packed = sig.astype(">i4").tobytes()
+        return [packed[k * width : (k + 1) * width] for k in range(bands)]
+
+    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for hashes in batch:
-                if len(hashes) == 0:
-                    out.append([])
-                    continue
-                h = np.asarray(hashes, dtype=np.int64)
-                # One permutation at a time keeps memory at the size of the text itself.
-                sig = [int(((a * h + b) % PRIME).min()) for a, b in zip(multipliers, offsets)]
-                out.append(
-                    [",".join(map(str, sig[k * rows : (k + 1) * rows])) for k in range(bands)]
-                )
-            yield pd.Series(out)
-
-    return F.pandas_udf(keys, "array<string>")
+            batch["keys"] = batch.pop("grams").map(band_keys)
+            yield batch
+
+    return convert
 
 
 def near_duplicates(
@@ -177,21 +178,27 @@ def near_duplicates(
 ) -> DataFrame:
     """Each row's standing: ``unique``, ``exact`` copy or ``near`` copy, and of which row.
 
-    1. Exact copies collapse to their leader.
-    2. Leaders get a min-hash signature cut into bands; rows sharing a band form a bucket.
-    3. In each bucket the lowest id leads. A row is compared with the leaders of its own
-       buckets only (at most ``bands`` of them), never with all members.
+    1. One map-only pass over the texts leaves a digest and a min-hash signature cut into
+       bands per row. That small table is written once; the texts are never shuffled here.
+    2. Exact copies collapse to their leader, the lowest id. Leaders sharing a band form a
+       bucket, and the lowest id leads it.
+    3. A leader is compared with the leaders of its own buckets only (at most ``bands`` of
+       them), never with all members of a bucket.
     4. A comparison counts when the exact Jaccard similarity of the whole n-gram sets
-       reaches ``threshold``.
+       reaches ``threshold``. Only texts taking part in a comparison are read again.
     """
-    digests = df.select(F.col(row_id), text_digest(F.col(text)).alias("digest"))
-    groups = digests.groupBy("digest").agg(F.min(row_id).alias("leader"))
-    leaders = groups.select(F.col("leader").alias(row_id))
-    sets = df.join(leaders, row_id, "left_semi").select(
-        row_id, shingle_hashes(F.col(text), shingle).alias("grams")
+    grams = shingle_hashes(F.col(text), shingle)
+    prepared = df.select(row_id, text_digest(F.col(text)).alias("digest"), grams.alias("grams"))
+    id_type = df.schema[row_id].dataType.simpleString()
+    signatures = durable(
+        prepared.mapInPandas(
+            _signature_rows(bands, band_rows), f"{row_id} {id_type}, digest string, keys array<binary>"
+        )
     )
-    banded = sets.select(
-        row_id, F.posexplode(_band_keys(bands, band_rows)(F.col("grams"))).alias("band", "band_key")
+    digests = signatures.select(row_id, "digest")
+    groups = digests.groupBy("digest").agg(F.min(row_id).alias("leader"))
+    banded = signatures.join(groups.select(F.col("leader").alias(row_id)), row_id, "left_semi").select(
+        row_id, F.posexplode("keys").alias("band", "band_key")
     )
     buckets = (
         banded.groupBy("band", "band_key")
@@ -200,12 +207,14 @@ def near_duplicates(
         .drop("n")
     )
     # A bucket has one leader row, so a bucket holding a third of all rows splits by AQE's skew join.
-    pairs = (
+    pairs = durable(
         banded.join(buckets, ["band", "band_key"])
         .where(F.col("leader") < F.col(row_id))
         .select(row_id, "leader")
         .distinct()
     )
+    compared = pairs.select(F.explode(F.array(row_id, "leader")).alias(row_id)).distinct()
+    sets = df.join(compared, row_id, "left_semi").select(row_id, grams.alias("grams"))
     leader_sets = sets.select(F.col(row_id).alias("leader"), F.col("grams").alias("leader_grams"))
     shared = F.size(F.array_intersect("grams", "leader_grams"))
     similar = shared >= F.lit(threshold) * (F.size("grams") + F.size("leader_grams") - shared)

@@ -8,11 +8,16 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gristmill.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+# Tables whose columns get heavy text work.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 PLAN_MODULES = (
     "quality_plans",
     "profile_plans",
@@ -43,7 +48,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:

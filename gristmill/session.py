@@ -42,3 +42,18 @@ def durable(df: DataFrame) -> DataFrame:
     """Materialize ``df`` in the checkpoint folder so that later steps read one fixed copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+# A collection smaller than this per core is spread over all cores by one cheap shuffle.
+SMALL_BYTES_PER_CORE = 32 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small scanned collection one partition per core before heavy text work.
+
+    A single small file often is a single split. Large collections have enough splits of
+    their own and are returned untouched, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
