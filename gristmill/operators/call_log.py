@@ -38,8 +38,8 @@ def provider_stats(calls: DataFrame, chain: DataFrame) -> DataFrame:
         "unavailable_count",
         F.coalesce(F.try_divide("success_count", total), F.lit(1.0)).alias("success_rate"),
         F.coalesce(F.try_divide("failure_count", total), F.lit(0.0)).alias("failure_rate"),
-        F.bround(F.coalesce(F.try_divide("_latency", "success_count"), F.lit(0.0)), 4).alias("avg_latency_ms"),
-        F.bround(F.coalesce("_cost", F.lit(0.0)), 4).alias("total_cost_usd"),
+        F.bround(F.coalesce(F.try_divide("_latency", "success_count"), F.lit(0.0)), 8).alias("avg_latency_ms"),
+        F.bround(F.coalesce("_cost", F.lit(0.0)), 8).alias("total_cost_usd"),
     )
 
 
@@ -98,6 +98,6 @@ def histogram_snapshot(samples: DataFrame, metric: str, value: str, order: list[
         F.bround(F.sum(value), 4).alias("sum"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-        F.bround(F.avg(value), 4).alias("avg"),
+        F.bround(F.avg(value), 8).alias("avg"),
         F.get(ranked, at).alias("p95"),
     )

@@ -22,7 +22,7 @@ _STATS_SQL = f"""
     count(*) FILTER (WHERE NOT success AND unavailable) AS u FROM calls GROUP BY 1),
   stats AS (SELECT provider, position, coalesce(s, 0) AS success_count, coalesce(f, 0) AS failure_count, coalesce(u, 0) AS unavailable_count,
     coalesce(s / (s + f), 1.0) AS success_rate, coalesce(f / (s + f), 0.0) AS failure_rate,
-    round_even(coalesce(lat / nullif(s, 0), 0.0), 4) AS avg_latency_ms, round_even(coalesce(cost, 0.0), 4) AS total_cost_usd
+    round_even(coalesce(lat / nullif(s, 0), 0.0), 8) AS avg_latency_ms, round_even(coalesce(cost, 0.0), 8) AS total_cost_usd
     FROM chain LEFT JOIN c USING (provider))"""
 
 
@@ -76,7 +76,7 @@ def call_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "metric_histogram",
     """WITH k AS (SELECT event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS age FROM events) WHERE age <= 1000)
-    SELECT event_type, count(*) AS count, round_even(sum(value), 4) AS sum, min(value) AS min, max(value) AS max, round_even(avg(value), 4) AS avg,
+    SELECT event_type, count(*) AS count, round_even(sum(value), 4) AS sum, min(value) AS min, max(value) AS max, round_even(avg(value), 8) AS avg,
       list_sort(list(value))[CAST(round_even(0.95 * (count(*) - 1), 0) AS INT) + 1] AS p95 FROM k GROUP BY 1""",
 )
 def metric_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
