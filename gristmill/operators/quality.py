@@ -5,7 +5,8 @@ A null counts as missing: it fails completeness and is not a clean value.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,40 +67,53 @@ def _weighted(prefix: str = "") -> Column:
     return total
 
 
-def quality_metrics(
-    df: DataFrame,
-    dataset: str,
-    columns: Sequence[str] | None = None,
-    key_set: str | None = None,
-    row_id: str | None = None,
-) -> DataFrame:
-    """Dimensions in 0..1 and the overall 0..100 score per value of ``dataset``.
+@dataclass(frozen=True)
+class Layout:
+    """How a dataset's columns are read: structure, text fields and value columns."""
 
-    ``key_set`` names a column with each row's own field set (ragged input); with it
-    consistency is the share of rows whose field set equals that of the lowest ``row_id``.
-    Typed tables have one field set by construction.
-    """
-    columns = [c for c in (columns or df.columns) if c not in (dataset, key_set, row_id)]
-    kind, fields = detect_structure(columns)
-    if fields:
-        whole = tx.strip(F.concat_ws(" ", *[F.col(f).cast("string") for f in fields]))
-        complete = F.lit(True)
-        for field in fields:
-            complete = complete & tx.blank_to_null(F.col(field).cast("string")).isNotNull()
-    else:
-        whole = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
-        complete = F.lit(False)
-    clean = sum((tx.is_clean_value(F.col(c).cast("string")).cast("long") for c in columns), F.lit(0))
-    keys = F.col(key_set) if key_set else F.lit("")
-    rows = df.select(
-        F.col(dataset),
+    kind: str
+    fields: tuple[str, ...]
+    columns: tuple[str, ...]
+
+    @classmethod
+    def of(cls, columns: Sequence[str]) -> Layout:
+        kind, fields = detect_structure(columns)
+        return cls(kind, fields, tuple(columns))
+
+    def text(self) -> Column:
+        if self.fields:
+            return tx.strip(F.concat_ws(" ", *[F.col(f).cast("string") for f in self.fields]))
+        return F.to_json(F.struct(*sorted(self.columns)), {"ignoreNullFields": "false"})
+
+
+def row_measures(layout: Layout) -> list[Column]:
+    """What scoring needs of each row, a few bytes in place of its texts."""
+    whole = layout.text()
+    complete = F.lit(bool(layout.fields))
+    for field in layout.fields:
+        complete = complete & tx.blank_to_null(F.col(field).cast("string")).isNotNull()
+    clean = sum((tx.is_clean_value(F.col(c).cast("string")).cast("long") for c in layout.columns), F.lit(0))
+    return [
         F.sha2(whole, 256).alias("_text_key"),
-        F.sha2(keys.cast("string"), 256).alias("_keys") if key_set else F.lit("").alias("_keys"),
-        (F.col(row_id) if row_id else F.lit(0)).alias("_row"),
         complete.cast("long").alias("_complete"),
         clean.alias("_clean"),
         tx.word_count(whole).alias("_words"),
-    )
+    ]
+
+
+def metrics_from_measures(
+    measures: DataFrame,
+    dataset: str,
+    layout: Layout,
+    key_set: str | None = None,
+    row_id: str | None = None,
+    scorers: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Dimensions from rows that carry ``row_measures``; see ``quality_metrics``."""
+    scorers = dict(scorers or {})
+    keys = F.sha2(F.col(key_set).cast("string"), 256) if key_set else F.lit("")
+    rows = measures.withColumn("_keys", keys).withColumn("_row", F.col(row_id) if row_id else F.lit(0))
+    sums = ["n", "complete", "clean", "readable", "over", *[f"own_{d}" for d in scorers]]
     # First by (dataset, text, field set): a dataset holding most of the rows spreads over its texts.
     grouped = rows.groupBy(dataset, "_text_key", "_keys").agg(
         F.count(F.lit(1)).alias("n"),
@@ -108,6 +122,8 @@ def quality_metrics(
         F.sum("_clean").alias("clean"),
         F.sum(F.col("_words").between(*READABLE_WORDS).cast("long")).alias("readable"),
         F.sum((tx.approx_tokens(F.col("_words")) > MAX_TOKENS).cast("long")).alias("over"),
+        F.max("_words").alias("max_words"),
+        *[F.sum(c).alias(f"own_{d}") for d, c in scorers.items()],
     )
     if key_set:
         by_keys = grouped.groupBy(dataset, "_keys").agg(
@@ -116,39 +132,67 @@ def quality_metrics(
         same_keys = by_keys.groupBy(dataset).agg(F.min_by("n", "first_row").alias("same_keys"))
         # A text seen under two field sets is still one text.
         grouped = grouped.groupBy(dataset, "_text_key").agg(
-            *[F.sum(c).alias(c) for c in ("n", "complete", "clean", "readable", "over")]
+            *[F.sum(c).alias(c) for c in sums], F.max("max_words").alias("max_words")
         )
     totals = grouped.groupBy(dataset).agg(
-        *[F.sum(c).alias(c) for c in ("n", "complete", "clean", "readable", "over")],
+        *[F.sum(c).alias(c) for c in sums],
         F.count(F.lit(1)).alias("texts"),
+        F.max("max_words").alias("max_words"),
     )
-    if key_set:
-        totals = totals.join(same_keys, dataset)
-    else:
-        totals = totals.withColumn("same_keys", F.col("n"))
+    totals = totals.join(same_keys, dataset) if key_set else totals.withColumn("same_keys", F.col("n"))
     n = F.col("n")
-    structured = F.lit(1.0 if fields else 0.0)
-    raw = totals.select(
+    raw = {
+        "completeness": F.col("complete") / n,
+        "consistency": F.col("same_keys") / n,
+        "diversity": F.col("texts") / n,
+        "duplicate_ratio": F.col("texts") / n,
+        "formatting": F.col("clean") / (n * F.lit(len(layout.columns))),
+        "readability": F.col("readable") / n if layout.fields else F.lit(0.0),
+        "model_compatibility": F.greatest(
+            F.lit(0.0), F.lit(BASE_COMPATIBILITY[layout.kind]) * (1 - F.col("over") / n)
+        ),
+    }
+    raw.update({d: F.col(f"own_{d}") / n for d in scorers})
+    unrounded = totals.select(
         dataset,
         n.alias("row_count"),
-        (F.col("complete") / n).alias("completeness"),
-        (F.col("same_keys") / n).alias("consistency"),
-        (F.col("texts") / n).alias("diversity"),
-        (F.col("texts") / n).alias("duplicate_ratio"),
-        (F.col("clean") / (n * F.lit(len(columns)))).alias("formatting"),
-        (F.col("readable") / n * structured).alias("readability"),
-        F.greatest(
-            F.lit(0.0), F.lit(BASE_COMPATIBILITY[kind]) * (1 - F.col("over") / n)
-        ).alias("model_compatibility"),
+        tx.approx_tokens(F.col("max_words")).alias("max_tokens"),
+        *[raw[d].alias(d) for d in DIMENSIONS],
     )
-    return raw.select(
+    return unrounded.select(
         dataset,
         "row_count",
+        "max_tokens",
         *[F.bround(F.col(d), 4).alias(d) for d in DIMENSIONS],
         F.bround(_weighted(), 2).alias("overall"),
     )
 
 
+def quality_metrics(
+    df: DataFrame,
+    dataset: str,
+    columns: Sequence[str] | None = None,
+    key_set: str | None = None,
+    row_id: str | None = None,
+    scorers: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Dimensions in 0..1 and the overall 0..100 score per value of ``dataset``.
+
+    ``key_set`` names a column with each row's own field set (ragged input); with it
+    consistency is the share of rows whose field set equals that of the lowest ``row_id``.
+    Typed tables have one field set by construction. ``scorers`` replaces dimensions by the
+    mean of a caller's own per-row score in 0..1, for example a pandas UDF over the text.
+    """
+    skip = (dataset, key_set, row_id)
+    layout = Layout.of([c for c in (columns or df.columns) if c not in skip])
+    own = {d: f"_own_{d}" for d in scorers or {}}
+    kept = [c for c in (dataset, key_set, row_id) if c]
+    measures = df.select(
+        *kept, *row_measures(layout), *[scorers[d].cast("double").alias(c) for d, c in own.items()]
+    )
+    return metrics_from_measures(measures, dataset, layout, key_set, row_id, own).drop("max_tokens")
+
+
 def threshold_for(profile: str) -> int:
     return PROFILE_THRESHOLDS.get(profile, PROFILE_THRESHOLDS["production"])
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.operators import curate, gates, profile, quality
+from gristmill.operators import curate, gates, profile
 from gristmill.plans.gate_plans import GATED_SQL, LICENSE_GUESS_SQL, gated_documents, license_guess
 from gristmill.plans.registry import query, table
+from gristmill.session import durable
 
 _STRIPPED = "trim(text, E' \\t\\n\\r')"
 
@@ -220,24 +221,29 @@ def balance_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM c LEFT JOIN (SELECT source, count(*) AS n, count(DISTINCT lang) AS n_languages FROM u GROUP BY source) USING (source)""",
 )
 def curation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates, then copy removal, then language and readiness checks, per source."""
-    gated = gated_documents(spark, sf_dir)
-    counts = gated.groupBy("source").agg(
+    """Gates, then copy removal, then language and readiness checks, per source.
+
+    The texts are read once; what follows works on one narrow row per document.
+    """
+    narrow = durable(
+        gated_documents(spark, sf_dir).select(
+            "doc_id", "source", "lang", "passed", curate.text_digest(F.col("text")).alias("digest")
+        )
+    )
+    counts = narrow.groupBy("source").agg(
         F.count(F.lit(1)).alias("input_rows"), F.count_if(~F.col("passed")).alias("gate_rejects")
     )
-    passed = gated.where("passed").select("doc_id", "source", "lang", "text")
-    kept = passed.transform(curate.drop_exact_copies, "doc_id", curate.text_digest(F.col("text")))
-    bias = quality.language_bias(kept, "source", "lang").select("source", "n_languages")
-    ready = quality.readiness(kept, "source", "text").select("source", "record_count")
-    return (
-        counts.join(bias, "source", "left")
-        .join(ready, "source", "left")
-        .select(
-            "source",
-            "input_rows",
-            "gate_rejects",
-            F.coalesce("record_count", F.lit(0)).alias("output_rows"),
-            "n_languages",
-            F.when(F.col("record_count") > 0, "PASS").otherwise("FAIL").alias("training_readiness"),
-        )
+    passed = narrow.where("passed").drop("passed")
+    kept = passed.transform(curate.drop_exact_copies, "doc_id", F.col("digest"))
+    by_language = kept.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    result = by_language.groupBy("source").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_languages")
+    )
+    return counts.join(result, "source", "left").select(
+        "source",
+        "input_rows",
+        "gate_rejects",
+        F.coalesce("n", F.lit(0)).alias("output_rows"),
+        "n_languages",
+        F.when(F.col("n") > 0, "PASS").otherwise("FAIL").alias("training_readiness"),
     )
