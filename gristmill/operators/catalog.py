@@ -56,8 +56,11 @@ def api_rows(records: DataFrame) -> DataFrame:
     return records.select(F.col("dataset_id").alias("id"), "source_url", F.col("source_url").alias("url"), *rest)
 
 
-def save_candidates(candidates: DataFrame, user: Column, query: Column) -> DataFrame:
-    """Catalog rows of discovered candidates; those without a safe URL are left out."""
+def save_candidates(candidates: DataFrame, user: Column, query: Column, keep: list[str] | None = None) -> DataFrame:
+    """Catalog rows of discovered candidates; those without a safe URL are left out.
+
+    ``keep`` names columns of the candidates to carry along.
+    """
     url = web.safe_http_url(F.col("url"))
     text = lambda c: F.nullif(F.col(c), F.lit(""))
     source = F.coalesce(text("source"), F.lit("public"))
@@ -86,4 +89,5 @@ def save_candidates(candidates: DataFrame, user: Column, query: Column) -> DataF
         card.alias("dataset_card"),
         F.col("_url").alias("source_url"),
         "user_id",
+        *(keep or []),
     )

@@ -261,13 +261,13 @@ def overlap_with(df: DataFrame, dataset: str, text: str, other: DataFrame, other
     held_out = other.select(
         F.explode(F.array_distinct(word_ngrams(F.col(other_text), n))).alias("g")
     ).select(F.unhex(F.md5("g")).alias("gram")).distinct()
-    total = held_out.agg(F.count(F.lit(1)).alias("_all"))
+    total = held_out.agg(F.count(F.lit(1))).scalar()
     marked = distinct_grams(df, dataset, text, n).join(held_out.withColumn("_held", F.lit(1)), "gram", "left")
     counts = marked.groupBy(dataset).agg(
         F.count(F.lit(1)).alias("grams"), F.count("_held").alias("shared_grams")
     )
-    return counts.crossJoin(F.broadcast(total)).select(
-        dataset, "grams", "shared_grams", F.bround(F.col("shared_grams") / F.col("_all"), 4).alias("overlap_ratio")
+    return counts.select(
+        dataset, "grams", "shared_grams", F.bround(F.col("shared_grams") / total, 4).alias("overlap_ratio")
     )
 
 
@@ -287,11 +287,6 @@ def balance(df: DataFrame, stratum: str, row_id: str, quota: int | None = None,
     offsets = sliced.withColumn("_before", F.coalesce(earlier, F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy(stratum, "_slice").orderBy("_digest", row_id))
     ranked = rows.join(offsets, [stratum, "_slice"]).withColumn("balance_rank", F.col("_before") + inside)
-    if quota is not None:
-        kept = ranked.where(F.col("balance_rank") <= quota)
-    else:
-        smallest = (
-            sliced.groupBy(stratum).agg(F.sum("_n").alias("_n")).agg(F.min("_n").alias("_quota"))
-        )
-        kept = ranked.crossJoin(F.broadcast(smallest)).where("balance_rank <= _quota").drop("_quota")
-    return kept.drop("_digest", "_slice", "_before")
+    smallest = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n"))
+    limit = F.lit(quota) if quota is not None else smallest.scalar()
+    return ranked.where(F.col("balance_rank") <= limit).drop("_digest", "_slice", "_before")

@@ -37,14 +37,13 @@ def paginate(df: DataFrame, order: list[str], page: int = 1, page_size: int = 20
     """One page with its bookkeeping; page and size are clamped to what exists and is allowed."""
     size = max(1, min(page_size, MAX_PAGE_SIZE))
     placed = positions(df, order)
-    totals = placed.agg(F.count(F.lit(1)).alias("total"))
+    total = placed.agg(F.count(F.lit(1))).scalar()
     pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size))
-    book = totals.withColumn("total_pages", pages).withColumn(
-        "page", F.greatest(F.lit(1), F.least(F.lit(page), F.col("total_pages")))
-    )
     start = (F.col("page") - 1) * size
     return (
-        placed.crossJoin(F.broadcast(book))
+        placed.withColumn("total", total)
+        .withColumn("total_pages", pages)
+        .withColumn("page", F.greatest(F.lit(1), F.least(F.lit(page), F.col("total_pages"))))
         .where((F.col("position") >= start) & (F.col("position") < start + size))
         .select(
             "*",

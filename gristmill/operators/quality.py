@@ -244,12 +244,12 @@ def language_distribution(
             F.sum(F.col(toxic).cast("long")).alias("toxic"),
         )
     )
-    total = counted.agg(F.sum("row_count").alias("_all"))
-    return counted.crossJoin(F.broadcast(total)).select(
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counted.select(
         "language",
         "row_count",
         "labelled",
-        F.bround(F.col("row_count") / F.col("_all"), 4).alias("share"),
+        F.bround(F.col("row_count") / total, 4).alias("share"),
         F.bround(F.try_divide(F.col("toxic"), F.col("labelled")), 4).alias("toxic_rate"),
     )
 

@@ -99,18 +99,15 @@ def term_vectors(df: DataFrame, key: str, text: Column) -> DataFrame:
 def cosine_pairs(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
     """Cosine of every pair sharing a term; pairs without a common term are 0 and left out."""
 
-    def norms(vectors: DataFrame, key: str, name: str) -> DataFrame:
-        return vectors.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias(name))
+    def normed(vectors: DataFrame, key: str, tf: str, norm: str) -> DataFrame:
+        total = F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key))
+        return vectors.select(key, "term", F.col("tf").alias(tf), F.sqrt(total).alias(norm))
 
-    dots = (
-        left.select(left_key, "term", F.col("tf").alias("l"))
-        .join(right.select(right_key, "term", F.col("tf").alias("r")), "term")
-        .groupBy(left_key, right_key)
-        .agg(F.sum(F.col("l") * F.col("r")).alias("dot"))
-    )
     return (
-        dots.join(norms(left, left_key, "ln"), left_key)
-        .join(norms(right, right_key, "rn"), right_key)
+        normed(left, left_key, "l", "ln")
+        .join(normed(right, right_key, "r", "rn"), "term")
+        .groupBy(left_key, right_key)
+        .agg(F.sum(F.col("l") * F.col("r")).alias("dot"), F.max("ln").alias("ln"), F.max("rn").alias("rn"))
         .select(left_key, right_key, (F.col("dot") / (F.col("ln") * F.col("rn"))).alias("cosine"))
     )
 
@@ -137,17 +134,24 @@ def _record_texts() -> tuple[Column, Column]:
     return lexical, semantic
 
 
-def _sides(df: DataFrame, key: str, lexical: Column, semantic: Column) -> DataFrame:
-    """(key, term, sem, lex): term frequency in the semantic vector, and whether it is a lexical token."""
+def _sides(df: DataFrame, key: str, lexical: Column, semantic: Column, *carried: str) -> DataFrame:
+    """(key, term, sem, lex, norm): frequency in the semantic vector, lexical or not, vector length.
+
+    ``key`` identifies a row of ``df``. The rows are placed by key once; counting terms and
+    the vector length then need no further shuffle. ``carried`` columns ride along.
+    """
     entry = F.concat(
         F.transform(with_synonyms(semantic, VECTOR_SYNONYMS), lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("sem"), F.lit(0).alias("lex"))),
         F.transform(lexical, lambda t: F.struct(t.alias("term"), F.lit(0.0).alias("sem"), F.lit(1).alias("lex"))),
     )
+    length = F.sqrt(F.sum(F.col("sem") * F.col("sem")).over(Window.partitionBy(key)))
     return (
-        df.select(key, F.explode(entry).alias("e"))
-        .select(key, "e.*")
-        .groupBy(key, "term")
+        df.repartition(key)
+        .select(key, *carried, F.explode(entry).alias("e"))
+        .select(key, *carried, "e.*")
+        .groupBy(key, *carried, "term")
         .agg(F.sum("sem").alias("sem"), F.max("lex").alias("lex"))
+        .withColumn("norm", length)
     )
 
 
@@ -179,62 +183,65 @@ def catalog_search(
     alone, so the ``k`` best records by merit complete every query exactly. ``min_relevance``
     drops weaker matches and, when positive, all records without a match.
     """
-    tokens = tx.token_set(F.col("query"))
-    asked = queries.select("query_id", tokens.alias("_tokens"))
-    query_terms = _sides(asked, "query_id", F.col("_tokens"), F.array_sort("_tokens"))
+    merits = ["quality_score", "missing_ratio", "provider"]
+    asked = queries.select("query_id", tx.token_set(F.col("query")).alias("_tokens")).withColumn(
+        "n_tokens", F.size("_tokens")
+    )
+    query_terms = _sides(asked, "query_id", F.col("_tokens"), F.array_sort("_tokens"), "n_tokens")
     lexical, semantic = _record_texts()
-    texts = catalog.select("dataset_id", tx.token_set(lexical).alias("_lex"), tx.token_bag(semantic).alias("_sem"))
-    record_terms = _sides(texts, "dataset_id", F.col("_lex"), F.col("_sem"))
-
-    def norm(terms: DataFrame, key: str, name: str) -> DataFrame:
-        return terms.groupBy(key).agg(F.sqrt(F.sum(F.col("sem") * F.col("sem"))).alias(name))
-
-    matched = (
-        query_terms.select("query_id", "term", F.col("sem").alias("qs"), F.col("lex").alias("ql"))
-        .join(record_terms.select("dataset_id", "term", F.col("sem").alias("rs"), F.col("lex").alias("rl")), "term")
-        .groupBy("query_id", "dataset_id")
-        .agg(
-            F.sum(F.col("qs") * F.col("rs")).alias("dot"),
-            F.sum(F.col("ql") * F.col("rl")).alias("common"),
-            # At most one entry per query token.
-            F.array_join(
-                F.array_sort(F.collect_set(F.when(F.col("ql") * F.col("rl") == 1, F.col("term")))), ", "
-            ).alias("matched_terms"),
-        )
-        .join(norm(query_terms, "query_id", "qn"), "query_id")
-        .join(norm(record_terms, "dataset_id", "rn"), "dataset_id")
-        .join(asked.select("query_id", F.size("_tokens").alias("n_tokens")), "query_id")
+    texts = catalog.select(
+        "dataset_id", *merits, tx.token_set(lexical).alias("_lex"), tx.token_bag(semantic).alias("_sem")
+    )
+    record_terms = _sides(texts, "dataset_id", F.col("_lex"), F.col("_sem"), *merits)
+    both = F.col("ql") * F.col("rl")
+    shared = query_terms.select(
+        "query_id", "n_tokens", "term", F.col("sem").alias("qs"), F.col("lex").alias("ql"), F.col("norm").alias("qn")
+    ).join(
+        record_terms.select(
+            "dataset_id", *merits, "term", F.col("sem").alias("rs"), F.col("lex").alias("rl"), F.col("norm").alias("rn")
+        ),
+        "term",
+    )
+    pair_keys = ["query_id", "n_tokens", "dataset_id", *merits]
+    matches = shared.select(
+        *pair_keys,
+        (F.col("qs") * F.col("rs")).alias("dot"),
+        both.alias("common"),
+        (F.col("qn") * F.col("rn")).alias("norms"),
+        F.when(both == 1, F.col("term")).alias("term"),
+    )
+    # The best records by merit, as one short array; each query gets them as pairs without a match.
+    merit = record_score(F.lit(0.0), *[F.col(c) for c in merits])
+    best = catalog.select("dataset_id", *merits, merit.alias("_merit")).orderBy(F.desc("_merit"), "dataset_id").limit(k)
+    best_list = best.agg(F.collect_list(F.struct("dataset_id", *merits))).scalar()
+    fillers = (
+        asked.select("query_id", "n_tokens", F.explode(best_list).alias("b"))
+        .select("query_id", "n_tokens", "b.*")
         .select(
-            "query_id",
-            "dataset_id",
-            (F.col("common") / F.col("n_tokens")).alias("lexical"),
-            F.coalesce(F.try_divide("dot", F.col("qn") * F.col("rn")), F.lit(0.0)).alias("semantic"),
-            "matched_terms",
+            *pair_keys, F.lit(0.0).alias("dot"), F.lit(0).alias("common"), F.lit(None).cast("double").alias("norms"),
+            F.lit(None).cast("string").alias("term"),
         )
     )
-    merits = catalog.select("dataset_id", "quality_score", "missing_ratio", "provider")
-    found = matched.join(merits, "dataset_id")
-    # Everything a query without tokens matches fully, everything else not at all.
-    fallback = (
-        merits.withColumn("_merit", record_score(F.lit(0.0), F.col("quality_score"), F.col("missing_ratio"), F.col("provider")))
-        .orderBy(F.desc("_merit"), "dataset_id")
-        .limit(k)
-        .drop("_merit")
-    )
-    filler = (
-        asked.select("query_id", F.when(F.size("_tokens") == 0, 1.0).otherwise(0.0).alias("lexical"))
-        .crossJoin(F.broadcast(fallback))
-        .join(matched.select("query_id", "dataset_id"), ["query_id", "dataset_id"], "left_anti")
-        .select("*", F.lit(0.0).alias("semantic"), F.lit("").alias("matched_terms"))
+    candidates = (
+        matches.unionByName(fillers)
+        .groupBy(*pair_keys)
+        .agg(
+            F.sum("dot").alias("dot"),
+            F.sum("common").alias("common"),
+            F.max("norms").alias("norms"),
+            # At most one entry per query token.
+            F.array_join(F.array_sort(F.collect_set("term")), ", ").alias("matched_terms"),
+        )
+        .withColumn("lexical", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.try_divide("common", "n_tokens")))
+        .withColumn("semantic", F.coalesce(F.try_divide("dot", "norms"), F.lit(0.0)))
     )
-    candidates = found.unionByName(filler)
     relevance = F.greatest("lexical", "semantic")
     if min_relevance is not None:
         candidates = candidates.where(relevance >= min_relevance)
     scored = candidates.select(
         "query_id",
         "dataset_id",
-        record_score(relevance, F.col("quality_score"), F.col("missing_ratio"), F.col("provider")).alias("relevance_score"),
+        record_score(relevance, *[F.col(c) for c in merits]).alias("relevance_score"),
         F.bround("semantic", 4).alias("semantic_relevance"),
         F.bround("lexical", 4).alias("lexical_relevance"),
         "matched_terms",

@@ -251,11 +251,11 @@ def blocked_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def save_public_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = responses.parse_all(_api_responses(spark, sf_dir))
-    saved = catalog.save_candidates(found, F.lit(None).cast("string"), F.col("query"))
-    keys = found.select("url", "query_order", "position").distinct()
-    return saved.select("dataset_id", "provider", "source_url", "description", F.array_join("tags", ",").alias("tags")).distinct().join(
-        keys.withColumnRenamed("url", "source_url"), "source_url"
-    ).select("dataset_id", "provider", "source_url", "query_order", "position", "description", "tags")
+    saved = catalog.save_candidates(found, F.lit(None).cast("string"), F.col("query"), ["query_order", "position"])
+    return saved.select(
+        "dataset_id", "provider", "source_url", "query_order", "position", "description",
+        F.array_join("tags", ",").alias("tags"),
+    )
 
 
 @query(

@@ -63,6 +63,6 @@ def critic_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthetic_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows every source lacks to match the largest one, as tagged placeholders."""
     sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    target = sizes.agg(F.max("n").alias("target"))
-    gaps = sizes.crossJoin(F.broadcast(target)).select("source", (F.col("target") - F.col("n")).alias("missing"))
+    target = sizes.agg(F.max("n")).scalar()
+    gaps = sizes.select("source", (target - F.col("n")).alias("missing"))
     return requests.placeholder_rows(gaps, "source", "missing", ["prompt", "completion"], F.col("source"))

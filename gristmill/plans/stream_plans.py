@@ -156,8 +156,8 @@ def rolling_metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     logins = events.where("event_type = 'signup'").select("event_id", "user_id", "ts")
-    now = events.agg(F.max("ts").alias("now"))
-    return jobs.live_sessions(logins.crossJoin(F.broadcast(now)), "ts", F.col("now")).select("event_id", "user_id", "expires_at")
+    now = events.agg(F.max("ts")).scalar()
+    return jobs.live_sessions(logins, "ts", now).select("event_id", "user_id", "expires_at")
 
 
 @query(
