@@ -137,16 +137,20 @@ def _record_texts() -> tuple[Column, Column]:
 def _sides(df: DataFrame, key: str, lexical: Column, semantic: Column, *carried: str) -> DataFrame:
     """(key, term, sem, lex, norm): frequency in the semantic vector, lexical or not, vector length.
 
-    ``key`` identifies a row of ``df``. The rows are placed by key once; counting terms and
-    the vector length then need no further shuffle. ``carried`` columns ride along.
+    ``key`` identifies a row of ``df``. The rows are placed by key once, before their texts
+    are cut up; counting terms and the vector length then need no further shuffle.
+    ``carried`` columns ride along.
     """
     entry = F.concat(
         F.transform(with_synonyms(semantic, VECTOR_SYNONYMS), lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("sem"), F.lit(0).alias("lex"))),
         F.transform(lexical, lambda t: F.struct(t.alias("term"), F.lit(0.0).alias("sem"), F.lit(1).alias("lex"))),
     )
     length = F.sqrt(F.sum(F.col("sem") * F.col("sem")).over(Window.partitionBy(key)))
+    spark = df.sparkSession
+    # A fixed number, so that a small catalog is still cut up by all cores.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return (
-        df.repartition(key)
+        df.repartition(parts, key)
         .select(key, *carried, F.explode(entry).alias("e"))
         .select(key, *carried, "e.*")
         .groupBy(key, *carried, "term")
@@ -189,10 +193,7 @@ def catalog_search(
     )
     query_terms = _sides(asked, "query_id", F.col("_tokens"), F.array_sort("_tokens"), "n_tokens")
     lexical, semantic = _record_texts()
-    texts = catalog.select(
-        "dataset_id", *merits, tx.token_set(lexical).alias("_lex"), tx.token_bag(semantic).alias("_sem")
-    )
-    record_terms = _sides(texts, "dataset_id", F.col("_lex"), F.col("_sem"), *merits)
+    record_terms = _sides(catalog, "dataset_id", tx.token_set(lexical), tx.token_bag(semantic), *merits)
     both = F.col("ql") * F.col("rl")
     shared = query_terms.select(
         "query_id", "n_tokens", "term", F.col("sem").alias("qs"), F.col("lex").alias("ql"), F.col("norm").alias("qn")
