@@ -91,3 +91,26 @@ def save_candidates(candidates: DataFrame, user: Column, query: Column, keep: li
         "user_id",
         *(keep or []),
     )
+
+
+def scoped(records: DataFrame, user_id: str | None = None, project: str | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Records narrowed to an owner, a project and the ids a caller may see, newest first."""
+    if user_id is not None:
+        records = records.where(F.col("user_id") == user_id)
+    if project is not None:
+        records = records.where(F.col("project") == project)
+    if allowed is not None:
+        records = records.join(allowed.select("dataset_id"), "dataset_id", "left_semi")
+    return records.orderBy(F.desc("created_at"), "dataset_id")
+
+
+def get_record(records: DataFrame, key: str, value: object) -> DataFrame:
+    """The record with one key value; the filter reaches the scan."""
+    return records.where(F.col(key) == value)
+
+
+def schema_entries(schema: Column) -> Column:
+    """A map from column name to its profile as a list of entries that carry the name."""
+    return F.transform(
+        F.map_entries(schema), lambda e: F.struct(e["key"].alias("name"), e["value"]["type"].alias("type"), e["value"]["missing_count"].alias("missing_count"))
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,3 +86,30 @@ def process_collection(
         "facts": facts,
         "reports": reports.all_reports(facts, gates),
     }
+
+
+def refine(
+    rows: DataFrame,
+    dataset: str,
+    propose: Callable[[DataFrame, int], DataFrame],
+    quality_profile: str = "production",
+    max_iterations: int = 3,
+) -> tuple[DataFrame, DataFrame, str]:
+    """Add rows to datasets below the threshold and score again, a bounded number of times.
+
+    ``propose`` gets the reports below the threshold and the round, and returns rows to add.
+    Returns the rows, their final reports and why it stopped.
+    """
+    columns = [c for c in rows.columns if c != "synthetic"]
+
+    def score(current: DataFrame) -> DataFrame:
+        return durable(quality.quality_report(quality.quality_metrics(current, dataset, columns), quality_profile))
+
+    report = score(rows)
+    for round_number in range(max_iterations):
+        below = report.where("requires_generation")
+        if below.isEmpty():
+            return rows, report, "threshold reached"
+        rows = durable(rows.unionByName(propose(below, round_number), allowMissingColumns=True))
+        report = score(rows)
+    return rows, report, "threshold reached" if report.where("requires_generation").isEmpty() else "iterations used up"

@@ -360,3 +360,11 @@ def embedding_dispersion(df: DataFrame, group: str, row_id: str, vector: str, di
         .groupBy(group)
         .agg(F.count(F.lit(1)).alias("row_count"), F.bround(F.avg(distance), 6).alias("dispersion"))
     )
+
+
+def missing_languages(have: DataFrame, wanted: DataFrame, dataset: str, language: str) -> DataFrame:
+    """(dataset, language) pairs that are wanted but not present."""
+    present = have.select(dataset, F.lower(language).alias(language)).distinct()
+    return wanted.select(dataset, F.lower(language).alias(language)).distinct().join(
+        present, [dataset, language], "left_anti"
+    )

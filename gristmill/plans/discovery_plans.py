@@ -280,3 +280,34 @@ def index_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     records = catalog.api_rows(catalog.index_uploads(results))
     return records.select("id", "title", "filename", "url", "rows", F.array_join("tags", ",").alias("tags"))
+
+
+@query(
+    "catalog_listing",
+    """SELECT o_orderkey AS dataset_id, o_custkey AS user_id, o_orderdate AS created_at FROM orders
+    WHERE o_orderpriority = '2-HIGH' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)""",
+)
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one project among those a caller may see."""
+    records = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("dataset_id"), F.col("o_custkey").alias("user_id"),
+        F.col("o_orderpriority").alias("project"), F.col("o_orderdate").alias("created_at"),
+    )
+    allowed = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("dataset_id"))
+    return catalog.scoped(records, project="2-HIGH", allowed=allowed).drop("project")
+
+
+@query(
+    "schema_entries",
+    """SELECT doc_id, unnest(['text', 'lang']) AS name, unnest(['string', 'string']) AS type, unnest([0, CASE WHEN lang = 'en' THEN 0 ELSE 1 END]) AS missing_count FROM documents""",
+)
+def schema_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    column = lambda missing: F.struct(F.lit("string").alias("type"), missing.alias("missing_count"))
+    schema = F.create_map(
+        F.lit("text"), column(F.lit(0)), F.lit("lang"), column(F.when(F.col("lang") == "en", 0).otherwise(1))
+    )
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", F.explode(catalog.schema_entries(schema)).alias("e"))
+        .select("doc_id", "e.*")
+    )

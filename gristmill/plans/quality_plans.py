@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.operators import quality
+from gristmill.operators import process, quality, requests
 from gristmill.plans.registry import query, table
 
 
@@ -287,3 +287,41 @@ def difficulty_band(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("p_size") * 2.0)
     )
     return table(spark, sf_dir, "part").select("p_partkey", quality.difficulty_band(raw).alias("band"))
+
+
+@query(
+    "missing_languages",
+    """WITH w AS (SELECT DISTINCT source, unnest(['en', 'fr', 'hi', 'it']) AS lang FROM documents)
+    SELECT source, lang FROM w ANTI JOIN documents d ON d.source = w.source AND d.lang = w.lang AND d.n_chars > 400""",
+)
+def missing_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    wanted = documents.select("source").distinct().select(
+        "source", F.explode(F.array(*[F.lit(x) for x in ("EN", "fr", "hi", "it")])).alias("lang")
+    )
+    return quality.missing_languages(documents.where("n_chars > 400"), wanted, "source", "lang")
+
+
+_FILL_SQL = f"""
+  SELECT source, CASE WHEN trim(text, E' \\t\\n\\r') <> '' THEN 1 ELSE 0 END AS complete, {clean_sql('text')} AS clean,
+    trim(text, E' \\t\\n\\r') AS text, len(regexp_extract_all(text, '\\S+')) AS n_words FROM base"""
+
+
+@query(
+    "refined_quality",
+    f"""WITH first AS ({_report_sql(_dims_sql(_FILL_SQL.replace('FROM base', 'FROM documents'), 'source', 1, 0.70), 'source', 'research', 95)}),
+    base AS (SELECT source, text FROM documents UNION ALL SELECT source, '[deterministic] text #' || i || ' about ' || source
+      FROM first, range(25) t(i) WHERE requires_generation),
+    again AS ({_report_sql(_dims_sql(_FILL_SQL, 'source', 1, 0.70), 'source', 'research', 95)})
+    SELECT source, row_count, overall, score, requires_generation FROM again""",
+)
+def refined_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of tagged filler rows for sources below the research threshold, scored again."""
+    rows = table(spark, sf_dir, "documents").select("source", "text")
+
+    def propose(below: DataFrame, _round: int) -> DataFrame:
+        needs = below.select("source", F.lit(25).cast("long").alias("missing"))
+        return requests.placeholder_rows(needs, "source", "missing", ["text"], F.col("source")).drop("row_number")
+
+    _, report, _ = process.refine(rows, "source", propose, "research", max_iterations=1)
+    return report.select("source", "row_count", "overall", "score", "requires_generation")

@@ -330,3 +330,31 @@ def search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey",
         search.search_status(key % 2 == 1, key % 3 != 0, key % 4, key % 5, key % 7).alias("status"),
     )
+
+
+@query(
+    "search_outcome",
+    SEARCH_SQL.replace(
+        QUERY_SQL, "SELECT DISTINCT split_part(p_name, ' ', 2) AS query_id, split_part(p_name, ' ', 2) AS query FROM part"
+    )
+    + ", " + _PUBLIC_SQL.replace("\n  c AS", "\n  cand AS", 1).replace("FROM c)", "FROM cand)", 1)
+    + """, m AS (SELECT query_id, 'local' AS result_type, relevance_score AS score, dataset_id FROM ranked WHERE rank <= 12
+      UNION ALL SELECT query_id, 'public', discovery_score, dataset_id FROM pub),
+    k AS (SELECT query_id, count(*) FILTER (WHERE result_type = 'local') AS local, count(*) FILTER (WHERE result_type = 'public') AS "public",
+      least(12, count(*)) AS returned FROM m GROUP BY 1)
+    SELECT *, CASE WHEN query_id = 'bolt' THEN 1 ELSE 0 END AS warnings, CASE WHEN query_id = 'bolt' THEN 'partial' ELSE 'complete' END AS status FROM k""",
+)
+def search_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and status of each query's unified search; one query had a failing provider."""
+    word = F.split("p_name", " ")[1]
+    asked = table(spark, sf_dir, "part").select(word.alias("query_id"), word.alias("query")).distinct()
+    local = search.catalog_search(asked, catalog(spark, sf_dir), 12).select("query_id", F.lit("local").alias("kind"))
+    public = _public(spark, sf_dir).select("query_id", F.lit("public").alias("kind"))
+    counts = local.unionByName(public).groupBy("query_id").agg(
+        F.count_if(F.col("kind") == "local").alias("local"),
+        F.count_if(F.col("kind") == "public").alias("public"),
+        F.least(F.lit(12), F.count(F.lit(1))).alias("returned"),
+        F.max(F.when(F.col("query_id") == "bolt", 1).otherwise(0)).alias("warnings"),
+    )
+    status = search.search_status(F.lit(True), F.lit(True), F.col("returned"), F.col("public"), F.col("warnings"))
+    return counts.withColumn("status", status)
