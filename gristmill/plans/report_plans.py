@@ -100,7 +100,7 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "gap_analysis",
     """WITH s AS (SELECT source, count(*) AS n, list(DISTINCT lang) AS have FROM documents GROUP BY 1),
-    g AS (SELECT source, n, CAST(50 + row_number() OVER (ORDER BY source) % 3 - 1 AS BIGINT) AS need, list_sort(list_filter(['EN', 'hi', 'Fr'], lambda l: NOT list_contains(have, lower(l)))) AS lacking FROM s)
+    g AS (SELECT source, n, list_sort(list_filter(['EN', 'hi', 'Fr'], lambda l: NOT list_contains(have, lower(l)))) AS lacking FROM s)
     SELECT source AS name, CASE WHEN source LIKE '%1' THEN 'No material gaps detected for ''news''. ' || n || ' rows with fields doc_id, lang, n_chars, text satisfy the stated requirement; proceed to curation and skip synthetic generation.'
       ELSE 'Coverage gaps detected -- ' || concat_ws('; ', CASE WHEN n < 100000 THEN 'volume: ' || n || ' of 100000 target rows (' || (100000 - n) || ' short)' END,
         'languages: missing ' || array_to_string(list_sort(list_transform(lacking, lambda l: lower(l))), ', '), 'format: no instruction/response columns for instruction tuning')

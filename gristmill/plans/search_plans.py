@@ -295,7 +295,7 @@ def public_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "unified_topk",
-    SEARCH_SQL.replace("q AS MATERIALIZED", "ignored AS (SELECT 1), q AS MATERIALIZED", 1).replace(
+    SEARCH_SQL.replace(
         QUERY_SQL, "SELECT DISTINCT split_part(p_name, ' ', 2) AS query_id, split_part(p_name, ' ', 2) AS query FROM part"
     )
     + ", " + _PUBLIC_SQL.replace("\n  c AS", "\n  cand AS", 1).replace("FROM c)", "FROM cand)", 1)

@@ -44,16 +44,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-# A collection smaller than this per core is spread over all cores by one cheap shuffle.
-SMALL_BYTES_PER_CORE = 32 * 1024 * 1024
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small scanned collection one partition per core before heavy text work.
+    """Give a scanned collection with fewer splits than cores one partition per core.
 
-    A single small file often is a single split. Large collections have enough splits of
-    their own and are returned untouched, without a shuffle.
+    A single small file often is a single split, which would leave heavy text work to one
+    core. Large collections have enough splits and are returned untouched, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -17,15 +17,22 @@ from gristmill.streaming.machines import START
 STATE_SCHEMA = "time bigint, count bigint"
 
 
-def keyed_stream(events: DataFrame, key: str, ts: str, event_id: str, rule, flag: str | None = None) -> DataFrame:
+def keyed_stream(
+    events: DataFrame, key: str, ts: str, event_id: str, rule, flag: str | None = None, late: str | None = None
+) -> DataFrame:
     """The rule's outcome code for every event of a stream, state kept per key.
 
     Events of one micro-batch are taken in time order; across batches in order of arrival.
+    With ``late``, events later than that are dropped and the state of a key is removed once
+    the watermark has passed the time it speaks of, so idle keys do not pile up.
     """
     key_type = events.schema[key].dataType.simpleString()
     id_type = events.schema[event_id].dataType.simpleString()
 
     def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         current = tuple(state.get) if state.exists else START
         arrived = pd.concat(list(batches)).sort_values(["_t", "_id"])
         codes = []
@@ -33,16 +40,22 @@ def keyed_stream(events: DataFrame, key: str, ts: str, event_id: str, rule, flag
             current, code = rule.step(current, int(t), bool(ok))
             codes.append(code)
         state.update(current)
+        # A past time with an empty counter means the same as no state.
+        if late and current[1] == 0:
+            state.setTimeoutTimestamp(max(current[0] // 1000, state.getCurrentWatermarkMs()) + 1000)
         yield pd.DataFrame({"_id": arrived["_id"], "_key": keys[0], "_t": arrived["_t"], "code": codes})
 
-    prepared = events.select(
+    source = events.withWatermark(ts, late) if late else events
+    prepared = source.select(
         F.col(key).alias("_key"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"),
         F.col(event_id).alias("_id"),
         (F.col(flag) if flag else F.lit(True)).alias("_flag"),
+        ts,
     )
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
     outcome = prepared.groupBy("_key").applyInPandasWithState(
-        update, f"_id {id_type}, _key {key_type}, _t bigint, code int", STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+        update, f"_id {id_type}, _key {key_type}, _t bigint, code int", STATE_SCHEMA, "append", timeout
     )
     return outcome.select(
         F.col("_id").alias(event_id), F.col("_key").alias(key), F.timestamp_micros("_t").cast(events.schema[ts].dataType).alias(ts), "code"

@@ -99,3 +99,19 @@ def test_stream_state_survives_between_runs(spark, tmp_path):
         stream = spark.readStream.schema("id long, k string, ts timestamp").parquet(str(tmp_path / "in"))
         out = jobs.run_to_files(jobs.keyed_stream(stream, "k", "ts", "id", rule), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert {r.id: r.code for r in out.collect()} == {1: 1, 2: 1, 3: 0}
+
+
+@pytest.mark.parametrize("rule", [TokenBucket(2, 3_600_000_000), RepeatWindow(1_800_000_000), CircuitBreaker(2, 60_000_000)], ids=lambda r: type(r).__name__)
+def test_dropping_idle_state_changes_nothing(spark, tmp_path, rule):
+    rng = random.Random(2)
+    events = [(i, f"k{rng.randrange(4)}", i * 600 + rng.randrange(500), rng.random() < 0.5) for i in range(60)]
+    schema = "id long, k string, s long, ok boolean"
+    for at in range(0, 60, 20):
+        batch = spark.createDataFrame(events[at : at + 20], schema).selectExpr("id", "k", "timestamp_seconds(s) AS ts", "ok")
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id long, k string, ts timestamp, ok boolean").parquet(str(tmp_path / "in"))
+        out = jobs.run_to_files(
+            jobs.keyed_stream(stream, "k", "ts", "id", rule, "ok", late="10 minutes"), str(tmp_path / "out"), str(tmp_path / "cp")
+        )
+    want = reference(rule, [(i, k, s * 1_000_000, ok) for i, k, s, ok in events])
+    assert {r.id: r.code for r in out.collect()} == want
