@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "gristmill", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the operators assume (UTC, AQE with skew handling)."""
+    """Session with the settings the operators assume (UTC, AQE with skew handling).
+
+    ``spark.sql.files.minPartitionNum`` is left to the caller: it makes a few small files give
+    enough splits without a shuffle.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -26,15 +30,20 @@ def build_session(app: str = "gristmill", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a local one only if none is configured."""
+    """Shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local master may go without the setting and then gets a temporary folder: on a
+    cluster each executor would write to its own disk and later reads would miss the files.
+    """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        master = context.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gristmill-checkpoint-")
-    context.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -42,13 +51,3 @@ def durable(df: DataFrame) -> DataFrame:
     """Materialize ``df`` in the checkpoint folder so that later steps read one fixed copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scanned collection with fewer splits than cores one partition per core.
-
-    A single small file often is a single split, which would leave heavy text work to one
-    core. Large collections have enough splits and are returned untouched, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
