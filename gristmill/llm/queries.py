@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, oracles
+from gristmill.llm import dart_minhash, decontaminate, oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.items_digest("item_ids").alias("items_sha256"),
         "contaminated",
     )
+
+
+@query("op1_dart_minhash")
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
