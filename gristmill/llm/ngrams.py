@@ -58,12 +58,8 @@ def tokens(points: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     start, end = edges[0::2], edges[1::2]
     if not len(start):
         return start, start
-    spread = textbatch.mix(points.astype(np.uint64) + _U(1))
-    place = np.arange(len(points), dtype=np.uint64)
-    sums = np.concatenate([[_U(0)], np.cumsum(textbatch.mix(spread + (place - np.repeat(np.concatenate([[0], start]).astype(np.uint64), np.diff(np.concatenate([[0], start, [len(points)]])))) * textbatch.GOLDEN), dtype=np.uint64)])
+    number = np.cumsum(np.bincount(start, minlength=len(points))) - 1  # of the token a point belongs to
+    within = np.arange(len(points)) - start[np.maximum(number, 0)]
+    point = textbatch.mix(textbatch.mix(points.astype(np.uint64) + _U(1)) + within.astype(np.uint64) * textbatch.GOLDEN)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(point, dtype=np.uint64)])
     return start, (textbatch.mix(sums[end] - sums[start] + _U(99)) % _U(buckets)).astype(np.int64)
-
-
-def text_of(place: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Row of the text that each place lies in (a leading space belongs to the text after it)."""
-    return np.searchsorted(first, place, side="right") - 1

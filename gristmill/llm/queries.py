@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import dart_minhash, decontaminate, oracles
+from gristmill.llm import dart_minhash, decontaminate, oracles, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,19 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_dart_minhash")
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.held_out("doc_id", 5, 0)
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(documents.withColumn("held_out", held_out), model, drop=("text",))
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.held_out("doc_id", 3, 1)
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(documents.withColumn("held_out", held_out), model, drop=("text",))
