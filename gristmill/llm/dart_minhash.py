@@ -15,10 +15,12 @@ O(shingles + k log k) a text; a text with an empty coordinate is thrown again wi
 
 1. Every member of a bucket is compared with the bucket's least member (a star, no pairs within
    the bucket), exactly, on whole texts; links give components.
-2. Buckets that still hold several components are compared across components. All distances to
-   the bucket's least member are known, and the distance is a metric, so only members whose
-   distances to it differ by at most 0.2 can be linked; others are not paired. So a link
-   between two texts is found whenever they share a bucket, whatever else is in it.
+2. Buckets that still hold several components are compared across components. In small ones the
+   known distances to the least member prune pairs (the distance is a metric: texts whose
+   distances to it differ by more than 0.2 can't be linked). Large ones are cut into slices, and
+   pairs of slices are compared by matrix products within a task, which puts out only links
+   that connect components. So a link between two texts counts whenever they share a bucket,
+   whatever else is in it.
 3. Components of all links are the classes.
 """
 
@@ -43,6 +45,12 @@ BANDS = 25
 BAND_ROWS = 5
 # A text compared with more others than this is copied, so that its comparisons spread.
 COMPARISONS = 256
+# Buckets of several components: up to this many rows they are compared as pairs, beyond it in
+# blocks of two slices of about SLICE rows, of which only a spanning set of links comes out.
+SMALL_BUCKET = 8
+SLICE = 256
+# Shingles that a block compares at a time.
+COLUMNS = 4096
 
 _U = np.uint64
 
@@ -249,12 +257,12 @@ def near_duplicate_classes(
     compared = _compared(star, texts, scratch, "star")
     links = compared.where(F.col("similarity") >= threshold).select("a", "b")
     first = connected_components(links, scratch, "first")
-    across = _across(members, first, compared, 1 - threshold, scratch)
-    more = _compared(across, texts, scratch, "across")
+    pairs, slices = _across(members, first, compared, threshold, scratch)
+    more = _compared(pairs, texts, scratch, "across").where(F.col("similarity") >= threshold).select("a", "b")
+    blocks = slices.join(texts, "node").select("block", "side", "node", "component", "text")
+    inside = scratch.keep(blocks.groupBy("block").applyInPandas(_block_links(threshold), "a bigint, b bigint"), "inside")
     scratch.drop("members", "leaders", "texts")
-    links = first.select(F.col("component").alias("a"), F.col("node").alias("b")).union(
-        more.where(F.col("similarity") >= threshold).select("a", "b")
-    )
+    links = first.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more).union(inside)
     final = scratch.keep(connected_components(links, scratch, "final"), "components")
     named = nodes.select("digest", "first_id", "node").join(final, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
@@ -277,8 +285,14 @@ def near_duplicate_classes(
     return signed.select(F.col("_id").alias(row_id), "digest"), classes
 
 
-def _across(members: DataFrame, labels: DataFrame, compared: DataFrame, reach: float, scratch: Scratch) -> DataFrame:
-    """(a, b) in different components of one bucket that may be within ``reach`` of one another."""
+def _across(
+    members: DataFrame, labels: DataFrame, compared: DataFrame, threshold: float, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare in buckets that hold several components.
+
+    Returns (pairs, slices): the pairs (a, b) of buckets of up to ``SMALL_BUCKET`` rows, and for
+    larger buckets (block, side, node, component), where each block is two slices to be compared.
+    """
     distance = compared.select(
         F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("distance")
     )
@@ -296,22 +310,116 @@ def _across(members: DataFrame, labels: DataFrame, compared: DataFrame, reach: f
     placed = scratch.keep(placed, "placed")
     mixed = scratch.keep(
         placed.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
         .where("low < high")
-        .select("bucket"),
+        .select("bucket", "n"),
         "mixed",
     )
     # The least member has been compared with all of its bucket already.
-    rest = scratch.keep(placed.where("node <> leader").join(mixed, "bucket", "left_semi").drop("leader"), "rest")
-    x = rest.select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "distance")])
-    y = rest.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "distance")])
-    near = F.abs(F.col("distance_x") - F.col("distance_y")) <= reach + 1e-9
-    return (
+    rest = scratch.keep(placed.where("node <> leader").join(mixed, "bucket").drop("leader"), "rest")
+    few, many = rest.where(F.col("n") <= SMALL_BUCKET), rest.where(F.col("n") > SMALL_BUCKET)
+    x = few.select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "distance")])
+    y = few.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "distance")])
+    near = F.abs(F.col("distance_x") - F.col("distance_y")) <= 1 - threshold + 1e-9
+    pairs = (
         x.join(y, "bucket")
         .where((F.col("component_x") < F.col("component_y")) & near)
         .select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
         .distinct()
     )
+    return pairs, _slices(many.select("bucket", "node", "component"), scratch)
+
+
+def _slices(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Cuts buckets into slices of about ``SLICE`` rows and pairs the slices within a bucket.
+
+    A component with more rows than that in a bucket gets slices of its own, which are not
+    paired with one another; small components share slices.
+    """
+    held = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    large = scratch.keep(held.where(F.col("n") > SLICE).withColumnRenamed("n", "large"), "large")
+    small = scratch.keep(
+        held.where(F.col("n") <= SLICE).groupBy("bucket").agg(F.sum("n").alias("small")), "small"
+    )
+    own = F.col("large").isNotNull()
+    parts = F.ceil(F.coalesce("large", "small") / SLICE)
+    slot = F.pmod(F.when(own, F.xxhash64("node")).otherwise(F.xxhash64("component")), parts)
+    cut = rows.join(large, ["bucket", "component"], "left").join(small, "bucket", "left")
+    cut = scratch.keep(
+        cut.select(
+            "bucket", "node", "component", F.when(own, F.col("component")).otherwise(-1).alias("of"), slot.alias("slot")
+        ),
+        "cut",
+    )
+    slices = scratch.keep(cut.select("bucket", "of", "slot").distinct(), "slices")
+    one = slices.select("bucket", F.struct("of", "slot").alias("one"))
+    two = slices.select("bucket", F.struct("of", "slot").alias("two"))
+    worth = (F.col("one") < F.col("two")) & ((F.col("one.of") != F.col("two.of")) | (F.col("one.of") == -1))
+    worth = worth | ((F.col("one") == F.col("two")) & (F.col("one.of") == -1))
+    blocks = one.join(two, "bucket").where(worth).withColumn("block", F.xxhash64("bucket", "one", "two"))
+    blocks = scratch.keep(blocks, "blocks")
+    same = F.col("one") == F.col("two")
+    sides = blocks.select("bucket", "block", F.col("one").alias("slice"), F.when(same, 2).otherwise(0).alias("side"))
+    sides = sides.union(blocks.where(~same).select("bucket", "block", "two", F.lit(1)))
+    return cut.withColumn("slice", F.struct("of", "slot")).join(sides, ["bucket", "slice"]).select(
+        "block", "side", "node", "component"
+    )
+
+
+def shared_weights(a: tuple, b: tuple, rows: tuple[int, int]) -> np.ndarray:
+    """Sum of the lesser weights of shared shingles for every row of ``a`` with every row of ``b``."""
+    out = np.zeros(rows)
+    # An element of weight w is w elements of weight one, the i-th shared with another's i-th.
+    sides = []
+    for row, element, weight in (a, b):
+        times = weight.astype(np.int64)
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        key = textbatch.mix(np.repeat(element, times) + nth.astype(np.uint64) * textbatch.GOLDEN)
+        sides.append((np.repeat(row, times), key))
+    (ra, ka), (rb, kb) = sides
+    both = np.intersect1d(ka, kb)
+    order_a, order_b = np.argsort(ka), np.argsort(kb)
+    ra, ka, rb, kb = ra[order_a], ka[order_a], rb[order_b], kb[order_b]
+    for at in range(0, len(both), COLUMNS):
+        part = both[at : at + COLUMNS]
+        grids = []
+        for row, key, n in ((ra, ka, rows[0]), (rb, kb, rows[1])):
+            low, high = np.searchsorted(key, part[0], "left"), np.searchsorted(key, part[-1], "right")
+            column = np.searchsorted(part, key[low:high])
+            found = part[np.minimum(column, len(part) - 1)] == key[low:high]
+            grid = np.zeros((n, len(part)), dtype=np.float32)
+            grid[row[low:high][found], column[found]] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out
+
+
+def _block_links(threshold: float):
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        first, second = block[block.side != 1], block[block.side != 0]
+        sets = [weighted_sets([t.encode() for t in side.text]) for side in (first, second)]
+        totals = [np.bincount(r, weights=w, minlength=len(side)) for (r, _, w), side in zip(sets, (first, second))]
+        shared = shared_weights(*sets, (len(first), len(second)))
+        whole = totals[0][:, None] + totals[1][None, :] - shared
+        one, two = np.nonzero((shared >= threshold * whole) & (whole > 0))
+        nodes, parts = (first.node.to_numpy(), second.node.to_numpy()), (first.component.tolist(), second.component.tolist())
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        for i, j in zip(one.tolist(), two.tolist()):
+            # Components that the block has linked already need no further link.
+            p, q = root(parts[0][i]), root(parts[1][j])
+            if p != q:
+                parent[p] = q
+                links.append((nodes[0][i], nodes[1][j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def near_duplicates(df: DataFrame, row_id: str, text: str) -> DataFrame:
