@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import dart_minhash, decontaminate, oracles, quality, toxicity
+from gristmill.llm import (
+    best_fit,
+    dart_minhash,
+    decontaminate,
+    oracles,
+    quality,
+    scratch,
+    token_output,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +69,23 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.held_out("doc_id", 3, 1)
     model = quality.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
     return quality.score(documents.withColumn("held_out", held_out), model, drop=("text",))
+
+
+def tokenizer() -> str:
+    """Place of the public tokenizer file that packing uses; every worker has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
+@query("op10_token_output")
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch.Scratch(spark, "packed-ids").folder
+    return token_output.read_packed(
+        token_output.write_packed(table(spark, sf_dir, "documents"), folder, tokenizer())
+    )

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill.llm import shared_files, textbatch
 from gristmill.llm.scratch import Scratch
@@ -168,9 +169,19 @@ def write_packed(
     return scratch.keep(manifest, "manifest")
 
 
-PACKED = (
-    "path string, row int, n_tokens int, n_segments int, doc_ids array<bigint>, pieces array<int>, "
-    "starts array<bigint>, cu_seqlens array<int>, position_resets array<int>, ids_crc32 bigint"
+PACKED = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("row", T.IntegerType()),
+        T.StructField("n_tokens", T.IntegerType()),
+        T.StructField("n_segments", T.IntegerType()),
+        T.StructField("doc_ids", T.ArrayType(T.LongType())),
+        T.StructField("pieces", T.ArrayType(T.IntegerType())),
+        T.StructField("starts", T.ArrayType(T.LongType())),
+        T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())),
+        T.StructField("position_resets", T.ArrayType(T.IntegerType())),
+        T.StructField("ids_crc32", T.LongType()),
+    ]
 )
 
 
@@ -182,12 +193,11 @@ def read_packed(manifest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        schema = to_arrow_schema(StructType.fromDDL(PACKED))
+        schema = to_arrow_schema(PACKED)
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                file = np.load(io.BytesIO(shared_files.read(path)))
+                file = dict(np.load(io.BytesIO(shared_files.read(path))))
                 ids, splits, ends = file["ids"], file["segments"], file["cu_seqlens"]
                 docs = [d if known else None for d, known in zip(file["doc"].tolist(), file["doc_known"].tolist())]
                 columns: list[list] = [[] for _ in schema]
@@ -195,11 +205,10 @@ def read_packed(manifest: DataFrame) -> DataFrame:
                     a, b = int(splits[k]), int(splits[k + 1])
                     own = ends[a + k : b + k + 1]
                     filled = ids[k, : own[-1]].astype("<u4")
-                    values = (
-                        path.rpartition("/")[2], k, len(filled), b - a, docs[a:b], file_slice(file, "piece", a, b),
-                        file_slice(file, "start", a, b), own, file_slice(file, "position_resets", a, b),
-                        zlib.crc32(filled.tobytes()),
-                    )
+                    segments = [file[x][a:b] for x in ("piece", "start")]
+                    resets, crc = file["position_resets"][a:b], zlib.crc32(filled.tobytes())
+                    name = path.rpartition("/")[2]
+                    values = (name, k, len(filled), b - a, docs[a:b], *segments, own, resets, crc)
                     for column, value in zip(columns, values):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
@@ -208,6 +217,3 @@ def read_packed(manifest: DataFrame) -> DataFrame:
 
     return manifest.select("path").mapInArrow(run, PACKED)
 
-
-def file_slice(file, name: str, a: int, b: int) -> np.ndarray:
-    return file[name][a:b]
