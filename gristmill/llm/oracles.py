@@ -26,3 +26,12 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)
 """
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS leader FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+  CASE WHEN strlen(body) >= 1000 AND page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(body) >= 1000 AND page_id <> leader THEN leader END AS refers_to
+FROM q
+"""

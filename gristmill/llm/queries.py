@@ -16,6 +16,7 @@ from gristmill.llm import (
     scratch,
     token_output,
     toxicity,
+    warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +90,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_packed(
         token_output.write_packed(table(spark, sf_dir, "documents"), folder, tokenizer())
     )
+
+
+@query("op7_warc", oracles.WARC)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch.Scratch(spark, "warc").folder
+    warc.write_pages(table(spark, sf_dir, "pages"), folder)
+    return warc.read_pages(spark, folder).drop("target_uri")

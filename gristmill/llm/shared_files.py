@@ -20,7 +20,7 @@ def fresh(folder: str, suffix: str) -> str:
 def write(path: str, data: bytes) -> None:
     system, inner = locate(path)
     system.create_dir(inner.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(inner) as out:
+    with system.open_output_stream(inner, compression=None) as out:
         out.write(data)
 
 
