@@ -35,3 +35,52 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS pay
   CASE WHEN strlen(body) >= 1000 AND page_id <> leader THEN leader END AS refers_to
 FROM q
 """
+
+
+def pii() -> str:
+    """Spans by the plain patterns; RE2 finds the same matches as the guarded ones in Spark."""
+    luhn = (
+        "list_sum(list_transform(range(0, length(g)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(g[length(g) - i] AS INT)"
+        " ELSE (2 * CAST(g[length(g) - i] AS INT)) // 10 + (2 * CAST(g[length(g) - i] AS INT)) % 10 END)) % 10 = 0"
+    )
+    turned = "(a[5:] || a[1:4])"
+    letters = (
+        f"list_aggregate(list_transform(range(1, length({turned}) + 1), lambda i: CASE WHEN {turned}[i] BETWEEN 'A' AND 'Z'"
+        f" THEN CAST(ascii({turned}[i]) - 55 AS VARCHAR) ELSE {turned}[i] END), 'string_agg', '')"
+    )
+    # A number of up to 68 digits modulo 97, in parts of seven digits.
+    mod97 = (
+        f"list_reduce(list_prepend(0, list_transform(range(0, (length({letters}) + 6) // 7), lambda k: CAST({letters}[k * 7 + 1 : k * 7 + 7] AS BIGINT)"
+        f" + 1000000000 * length({letters}[k * 7 + 1 : k * 7 + 7]))),"
+        " lambda x, y: (x * CAST(pow(10, y // 1000000000) AS BIGINT) + y % 1000000000) % 97) = 1"
+    )
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "TRUE"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_bool_and(list_transform(string_split(m, '.'), lambda p: CAST(p AS HUGEINT) <= 255))"),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN length(g) BETWEEN 13 AND 19 THEN {luhn} ELSE FALSE END"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15"),
+        ("iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)", mod97),
+        ("tel", r"\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,5}", "regexp_matches(near, 'phone|tel|call|fax|mobile')"),
+    ]
+    found = " UNION ALL ".join(
+        f"""SELECT rid, {k} AS k, '{name}' AS kind, m, s, translate(m, ' -', '') AS g, replace(m, ' ', '') AS a,
+          translate(substr(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)), '{_UPPER}', '{_UPPER.lower()}') AS near
+        FROM (SELECT rid, t, ms[i] AS m,
+          CAST(coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0)
+            + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s
+          FROM (SELECT rid, t, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS ps FROM d),
+          unnest(range(1, len(ms) + 1)) AS u(i))"""
+        for k, (name, p, _) in enumerate(kinds)
+    )
+    tests = " ".join(f"WHEN {k} THEN {test}" for k, (_, _, test) in enumerate(kinds))
+    counts = ", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{kinds[k][0]}" for k in range(4))
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS MATERIALIZED ({found}),
+good AS MATERIALIZED (SELECT *, kind || ':' || s || ':' || (s + length(m)) AS one FROM found WHERE CASE k {tests} END),
+listed AS (SELECT rid, {counts}, string_agg(one, ',' ORDER BY k, s) FILTER (WHERE k < 4) AS base,
+  string_agg(one, ',' ORDER BY k, s) AS spans FROM good GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{kinds[k][0]}, 0) AS n_{kinds[k][0]}" for k in range(4))},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (rid)
+"""

@@ -12,6 +12,7 @@ from gristmill.llm import (
     dart_minhash,
     decontaminate,
     oracles,
+    pii,
     quality,
     scratch,
     token_output,
@@ -97,3 +98,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.Scratch(spark, "warc").folder
     warc.write_pages(table(spark, sf_dir, "pages"), folder)
     return warc.read_pages(spark, folder).drop("target_uri")
+
+
+@query("op8_pii", oracles.pii())
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return found.select(
+        "doc_id",
+        *[pii.count_of(kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")],
+        F.sha2(pii.listed(pii.base_spans()), 256).alias("base_sha256"),
+        pii.listed(F.col("pii")).alias("spans"),
+    )
