@@ -1,5 +1,7 @@
 """DuckDB twins of the queries that SQL can express, written from their definitions."""
 
+from gristmill.llm.license_scan import Model
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -84,3 +86,44 @@ SELECT doc_id, {", ".join(f"coalesce(n_{kinds[k][0]}, 0) AS n_{kinds[k][0]}" for
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN listed USING (rid)
 """
+
+
+def licences() -> str:
+    model = Model()
+    anchor = "(?:^|[^a-z0-9])(?:" + "|".join(model.anchors) + ")(?:[^a-z0-9]|$)"
+    idf = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in model.idf.items())
+    weights = ", ".join(f"('{t}', {n}, '{name}', {w!r}::DOUBLE)" for t, n, name, w in model.weights)
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source,
+    translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t,
+    CAST(doc_id AS VARCHAR) AS s FROM documents),
+idf(term, idf) AS (VALUES {idf}),
+weights(term, template, license, weight) AS (VALUES {weights}),
+files AS MATERIALIZED (SELECT rid, doc_id, source || '/' || array_to_string(list_transform(range(1, length(s)),
+    lambda n: s[1:n]), '/') || CASE WHEN length(s) > 1 THEN '/' ELSE '' END || s || '.txt' AS path FROM d),
+parts AS MATERIALIZED (SELECT rid, pos, list_extract(ss, pos) AS part FROM (
+    SELECT rid, list_filter(list_distinct(list_concat(string_split(t, chr(10)),
+      string_split_regex(t, '
+[ 	]*
+\s*'), [t])), lambda x: regexp_matches(x, '{anchor}')) AS ss
+    FROM d WHERE regexp_matches(t, '{anchor}')), unnest(range(1, len(ss) + 1)) AS u(pos)),
+terms AS (SELECT rid, pos, term, count(*) AS n FROM (
+    SELECT rid, pos, unnest(regexp_extract_all(part, '[a-z0-9]+')) AS term FROM parts) GROUP BY ALL),
+weighed AS MATERIALIZED (SELECT rid, pos, term, n * coalesce(idf, {model.rare!r}::DOUBLE) AS value
+    FROM terms LEFT JOIN idf USING (term)),
+norms AS (SELECT rid, pos, sqrt(sum(value * value)) AS norm FROM weighed GROUP BY ALL),
+cosines AS (SELECT rid, pos, template, license, round(sum(value * weight) / any_value(norm), 4) AS cosine
+    FROM weighed JOIN weights USING (term) JOIN norms USING (rid, pos) GROUP BY ALL),
+own AS (SELECT rid, license AS own_license, cosine AS own_similarity FROM cosines WHERE cosine >= {model.least}
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY cosine DESC, license) = 1),
+placed AS MATERIALIZED (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM files LEFT JOIN own USING (rid)),
+held AS (SELECT dir, own_license AS held FROM placed WHERE own_license IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path, own_license) = 1),
+near AS (SELECT p.rid, h.dir AS from_directory, h.held FROM placed p JOIN held h
+    ON p.dir = h.dir OR starts_with(p.dir, h.dir || '/')
+    QUALIFY row_number() OVER (PARTITION BY p.rid ORDER BY length(h.dir) DESC) = 1)
+SELECT doc_id, path, own_license, own_similarity, coalesce(own_license, held) AS license,
+  CASE WHEN own_license IS NOT NULL THEN 'own' WHEN held IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
+  CASE WHEN own_license IS NULL THEN from_directory END AS from_directory
+FROM placed LEFT JOIN near USING (rid)
+"""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import (
     best_fit,
     dart_minhash,
     decontaminate,
+    license_scan,
     oracles,
     pii,
     quality,
@@ -109,3 +110,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(pii.base_spans()), 256).alias("base_sha256"),
         pii.listed(F.col("pii")).alias("spans"),
     )
+
+
+def document_path() -> Column:
+    """Documents as a tree by the digits of their ids: 1234 of src0 is ``src0/1/12/123/1234.txt``."""
+    digits = F.col("doc_id").cast("string")
+    above = F.transform(F.sequence(F.lit(1), F.length(digits) - 1), lambda n: F.substring(digits, F.lit(1), n))
+    above = F.when(F.length(digits) > 1, above).otherwise(F.array().cast("array<string>"))
+    return F.concat_ws("/", F.concat(F.array("source"), above, F.array(F.concat(digits, F.lit(".txt")))))
+
+
+@query("op3_license_scan", oracles.licences())
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", document_path().alias("path"))
+    return license_scan.licences(documents, "path", "text", speaks=F.lit(True))
