@@ -239,7 +239,7 @@ def masked(text: Column, spans: Column) -> Column:
             last = F.array_max(F.transform(ordered, lambda s: s["end"]))
             return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
 
-        return let(running(F.transform(ordered, lambda s: s["end"]), F.lit(0), F.greatest), joined)
+        return let(running(F.transform(ordered, lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x)), joined)
 
     by_place = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     return F.when(F.size(spans) > 0, let(F.array_sort(by_place), whole)).otherwise(text)

@@ -18,6 +18,7 @@ from gristmill.llm import (
     scratch,
     token_output,
     toxicity,
+    vector_search,
     warc,
 )
 
@@ -124,3 +125,9 @@ def document_path() -> Column:
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", document_path().alias("path"))
     return license_scan.licences(documents, "path", "text", speaks=F.lit(True))
+
+
+@query("op5_exact_topk", oracles.TOP_K)
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return vector_search.top_k(embeddings, F.col("vec_id") % 50 == 0, 5)
