@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.scratch import Scratch
+from gristmill.scratch import Scratch
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:

@@ -6,21 +6,24 @@ so a text held by a third of all rows costs one row of output per copy, not a sq
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
+from gristmill.functions.hashing import GOLDEN, mix
 from gristmill.operators import gates
-from gristmill.session import durable
+from gristmill.operators.buckets import linked_components
+from gristmill.scratch import Scratch
 
-# Modulus and multipliers of the permutations behind the signatures.
-PRIME = 2147483647
-MULTIPLIER_STEP = 1103515245
-OFFSET_STEP = 12345
+# Rows of one slice when a stratum is ranked.
+SLICE_ROWS = 50_000
 
 
 def text_digest(text: Column) -> Column:
@@ -130,41 +133,60 @@ def word_ngrams(text: Column, n: int) -> Column:
     return F.flatten(F.transform(F.array(tx.words(F.lower(text))), grams))
 
 
-def shingle_hashes(text: Column, n: int) -> Column:
-    """Distinct 31-bit hashes of a text's word n-grams."""
-    return F.array_distinct(
-        F.transform(
-            word_ngrams(text, n),
-            lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % F.lit(PRIME),
-        )
-    )
-
-
-def permutation_terms(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multiplier and offset of the first ``n`` permutations, from a fixed rule."""
-    i = np.arange(1, n + 1, dtype=np.int64)
-    return (i * MULTIPLIER_STEP) % (PRIME - 1) + 1, (i * i * OFFSET_STEP) % PRIME
+def gram_sets(n: int):
+    """Function giving texts' distinct word n-grams as arrays (row, hash, 1.0), sorted by row.
 
-
-def _signature_rows(bands: int, rows: int):
-    """Replaces a batch's ``grams`` with the bands of its min-hash signature."""
-    multipliers, offsets = permutation_terms(bands * rows)
-    width = 4 * rows
-
-    def band_keys(grams: np.ndarray) -> list[bytes]:
-        if len(grams) == 0:
+    Words are cut as by ``word_ngrams``; a text of fewer words is its own single n-gram, a text
+    without words has none.
+    """
+    spaces = re.compile(f"[{tx.WHITESPACE_CLASS}]+")
+
+    def sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known: dict[str, int] = {}
+        rows, hashes = [], []
+        for row, text in enumerate(texts):
+            words = [w for w in spaces.split(text.decode("utf-8", "replace").lower()) if w]
+            for w in words:
+                if w not in known:
+                    known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            own = np.array([known[w] for w in words], dtype=np.uint64)
+            size = min(n, len(own))
+            grams = np.full(len(own) - size + 1 if size else 0, size, dtype=np.uint64)
+            for j in range(size):
+                grams = mix(grams * GOLDEN + own[j : j + len(grams)])
+            grams = np.unique(grams)
+            rows.append(np.full(len(grams), row))
+            hashes.append(grams)
+        row = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
+        element = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
+        return row, element, np.ones(len(row))
+
+    return sets
+
+
+def _signature_rows(shingle: int, bands: int, band_rows: int):
+    """Bucket keys of each text: a min-hash signature cut into bands."""
+    sets = gram_sets(shingle)
+    seeds = mix(np.arange(1, bands * band_rows + 1, dtype=np.uint64) * GOLDEN)
+
+    def keys_of(hashes: np.ndarray) -> list[int]:
+        if not len(hashes):
             return []
         # One permutation at a time keeps memory at the size of the text itself.
-        sig = np.array([((a * grams + b) % PRIME).min() for a, b in zip(multipliers, offsets)])
-        packed = sig.astype(">i4").tobytes()
-        return [packed[k * width : (k + 1) * width] for k in range(bands)]
+        least = np.array([mix(hashes ^ seed).min() for seed in seeds]).reshape(bands, band_rows)
+        keys = np.arange(1, bands + 1, dtype=np.uint64)
+        for j in range(band_rows):
+            keys = mix(keys * GOLDEN + least[:, j])
+        return keys.view(np.int64).tolist()
 
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["keys"] = batch.pop("grams").map(band_keys)
-            yield batch
+            keys = [keys_of(sets([text or b""])[1]) for text in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"]
+            )
 
-    return convert
+    return run
 
 
 def near_duplicates(
@@ -178,63 +200,48 @@ def near_duplicates(
 ) -> DataFrame:
     """Each row's standing: ``unique``, ``exact`` copy or ``near`` copy, and of which row.
 
-    1. One map-only pass over the texts leaves a digest and a min-hash signature cut into
-       bands per row. That small table is written once; the texts are never shuffled here.
-    2. Exact copies collapse to their leader, the lowest id. Leaders sharing a band form a
-       bucket, and the lowest id leads it.
-    3. A leader is compared with the leaders of its own buckets only (at most ``bands`` of
-       them), never with all members of a bucket.
-    4. A comparison counts when the exact Jaccard similarity of the whole n-gram sets
-       reaches ``threshold``. Only texts taking part in a comparison are read again.
+    A text's near copies are all it is linked to, directly or over others, by a Jaccard
+    similarity of whole n-gram sets of at least ``threshold``; each is a copy of the lowest id
+    among them. One map-only pass over the texts leaves a digest and bucket keys per row; exact
+    copies collapse to their leader, the lowest id; leaders are compared as ``buckets``
+    describes, which reads the texts of leaders sharing a bucket again. ``row_id`` is unique.
     """
-    grams = shingle_hashes(F.col(text), shingle)
-    prepared = df.select(row_id, text_digest(F.col(text)).alias("digest"), grams.alias("grams"))
+    scratch = Scratch(df.sparkSession, "near-duplicates")
     id_type = df.schema[row_id].dataType.simpleString()
-    signatures = durable(
-        prepared.mapInPandas(
-            _signature_rows(bands, band_rows), f"{row_id} {id_type}, digest string, keys array<binary>"
-        )
+    source = df.select(F.col(row_id).alias("id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("text"))
+    signed = scratch.keep(
+        source.mapInArrow(
+            _signature_rows(shingle, bands, band_rows), f"id {id_type}, digest string, keys array<bigint>"
+        ),
+        "signed",
     )
-    digests = signatures.select(row_id, "digest")
-    groups = digests.groupBy("digest").agg(F.min(row_id).alias("leader"))
-    banded = signatures.join(groups.select(F.col("leader").alias(row_id)), row_id, "left_semi").select(
-        row_id, F.posexplode("keys").alias("band", "band_key")
+    nodes = scratch.keep(
+        signed.groupBy("digest")
+        .agg(F.min("id").alias("leader"), F.first("keys").alias("keys"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "nodes",
     )
-    buckets = (
-        banded.groupBy("band", "band_key")
-        .agg(F.min(row_id).alias("leader"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
-    # A bucket has one leader row, so a bucket holding a third of all rows splits by AQE's skew join.
-    pairs = durable(
-        banded.join(buckets, ["band", "band_key"])
-        .where(F.col("leader") < F.col(row_id))
-        .select(row_id, "leader")
-        .distinct()
-    )
-    compared = pairs.select(F.explode(F.array(row_id, "leader")).alias(row_id)).distinct()
-    sets = df.join(compared, row_id, "left_semi").select(row_id, grams.alias("grams"))
-    leader_sets = sets.select(F.col(row_id).alias("leader"), F.col("grams").alias("leader_grams"))
-    shared = F.size(F.array_intersect("grams", "leader_grams"))
-    similar = shared >= F.lit(threshold) * (F.size("grams") + F.size("leader_grams") - shared)
-    near = (
-        pairs.join(sets, row_id)
-        .join(leader_sets, "leader")
-        .where(similar)
-        .groupBy(row_id)
-        .agg(F.min("leader").alias("near_of"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        chosen = wanted.join(nodes.select("node", F.col("leader").alias("id")), "node")
+        return source.select("id", "text").join(chosen, "id").select("node", "text")
+
+    linked = linked_components(nodes.select("node", "keys"), texts_of, gram_sets(shingle), threshold, scratch)
+    named = nodes.select("node", "digest", "leader").join(linked, "node", "left")
+    least = scratch.keep(
+        named.where("component IS NOT NULL").groupBy("component").agg(F.min("leader").alias("near_of")), "least"
     )
-    exact = digests.join(groups, "digest").select(row_id, "leader")
-    return exact.join(near, row_id, "left").select(
-        row_id,
-        F.when(F.col("leader") != F.col(row_id), "exact")
-        .when(F.col("near_of").isNotNull(), "near")
-        .otherwise("unique")
-        .alias("kind"),
-        F.when(F.col("leader") != F.col(row_id), F.col("leader"))
-        .otherwise(F.coalesce("near_of", F.col(row_id)))
-        .alias("copy_of"),
+    groups = scratch.keep(named.join(least, "component", "left").select("digest", "leader", "near_of"), "groups")
+    scratch.drop("nodes", "components", "least")
+    copy, near = F.col("leader") != F.col("id"), F.col("near_of") != F.col("id")
+    return (
+        signed.select("id", "digest")
+        .join(groups, "digest")
+        .select(
+            F.col("id").alias(row_id),
+            F.when(copy, "exact").when(near, "near").otherwise("unique").alias("kind"),
+            F.when(copy, F.col("leader")).otherwise(F.coalesce("near_of", "id")).alias("copy_of"),
+        )
     )
 
 
@@ -271,22 +278,27 @@ def overlap_with(df: DataFrame, dataset: str, text: str, other: DataFrame, other
     )
 
 
-def balance(df: DataFrame, stratum: str, row_id: str, quota: int | None = None, prefix: int = 3) -> DataFrame:
+def balance(df: DataFrame, stratum: str, row_id: str, quota: int | None = None) -> DataFrame:
     """Keep the same number of rows per stratum, chosen by SHA-256 order of the row id.
 
-    Without ``quota`` the smallest stratum sets it. Ranks come from counts per digest prefix
-    plus a rank inside one prefix, so a stratum with most of the rows is ranked in
-    16**prefix slices instead of one sorted partition.
+    Without ``quota`` the smallest stratum sets it. Only ids are ranked: counts per slice of
+    the digest tell which slices lie wholly beyond the limit, and those go before any row is
+    sorted. The slices are as many as keep about ``SLICE_ROWS`` rows in one, so a stratum with
+    most of the rows is ranked in many tasks. ``row_id`` is unique.
     """
     digest = F.sha2(F.col(row_id).cast("string"), 256)
-    rows = df.withColumn("_digest", digest).withColumn("_slice", F.substring("_digest", 1, prefix))
-    sliced = rows.groupBy(stratum, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.count()
+    prefix = max(1, math.ceil(math.log(max(rows / SLICE_ROWS, 1), 16)))
+    ids = df.select(stratum, row_id, digest.alias("_digest")).withColumn("_slice", F.substring("_digest", 1, prefix))
+    sliced = ids.groupBy(stratum, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     earlier = F.sum("_n").over(
         Window.partitionBy(stratum).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sliced.withColumn("_before", F.coalesce(earlier, F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(stratum, "_slice").orderBy("_digest", row_id))
-    ranked = rows.join(offsets, [stratum, "_slice"]).withColumn("balance_rank", F.col("_before") + inside)
     smallest = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n"))
     limit = F.lit(quota) if quota is not None else smallest.scalar()
-    return ranked.where(F.col("balance_rank") <= limit).drop("_digest", "_slice", "_before")
+    offsets = sliced.withColumn("_before", F.coalesce(earlier, F.lit(0))).drop("_n").where(F.col("_before") < limit)
+    inside = F.row_number().over(Window.partitionBy(stratum, "_slice").orderBy("_digest", row_id))
+    offsets = offsets.select(F.col(stratum).alias("_stratum"), F.col("_slice").alias("_of"), "_before")
+    ranked = ids.join(offsets, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_slice") == F.col("_of")))
+    chosen = ranked.withColumn("balance_rank", F.col("_before") + inside).where(F.col("balance_rank") <= limit)
+    return df.join(chosen.select(row_id, "balance_rank"), row_id)

@@ -10,10 +10,6 @@ from pyspark.sql import types as T
 
 from gristmill.functions import text as tx
 
-# Values longer than this are compared by their SHA-256 while counting distinct ones.
-LONG_VALUE = 64
-
-
 def normalize(df: DataFrame) -> DataFrame:
     """Columns in name order, strings stripped, blank strings to null."""
     text_columns = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
@@ -79,9 +75,8 @@ def column_profile(df: DataFrame, dataset: str) -> DataFrame:
     ).select(
         dataset,
         "cell.column",
-        F.when(F.length("cell.value") > LONG_VALUE, F.sha2("cell.value", 256))
-        .otherwise(F.col("cell.value"))
-        .alias("value"),
+        # Values of any length travel as digests.
+        F.unhex(F.sha2("cell.value", 256)).alias("value"),
     )
     by_value = cells.groupBy(dataset, "column", "value").agg(F.count(F.lit(1)).alias("n"))
     tag_of = F.create_map(*[F.lit(x) for pair in tags.items() for x in pair])

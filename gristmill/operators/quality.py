@@ -331,34 +331,34 @@ def difficulty_band(score: Column) -> Column:
     )
 
 
-def embedding_dispersion(df: DataFrame, group: str, row_id: str, vector: str, dims: int) -> DataFrame:
+def embedding_dispersion(df: DataFrame, group: str, vector: str) -> DataFrame:
     """Mean cosine distance to the group's centroid: topic spread of a dataset.
 
-    Centroids come from one partial aggregation with one sum per dimension, so a group
-    of any size is combined on the map side before anything is shuffled.
+    The mean cosine is the mean of the unit vectors times the centroid over its length, so
+    sums per component suffice: one aggregation, combined on the map side, for vectors of any
+    length and a group of any size. The dispersion is null where a group's vectors differ in
+    length, where a vector is null, empty or zero or holds a null, and where the centroid is zero.
     """
-    parts = [F.col(vector)[i].cast("double") for i in range(dims)]
-    centroids = df.groupBy(group).agg(F.array(*[F.avg(p) for p in parts]).alias("_c"))
-    dot = F.aggregate(
-        F.zip_with(F.col(vector), F.col("_c"), lambda a, b: a.cast("double") * b),
-        F.lit(0.0),
-        lambda acc, x: acc + x,
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
+    cells = df.select(
+        group, wide.alias("_v"), F.when(length > 0, length).alias("_length"), F.posexplode_outer(wide).alias("_i", "_x")
+    ).select(group, F.size("_v").alias("_size"), "_i", "_x", (F.col("_x") / F.col("_length")).alias("_unit"))
+    sums = cells.groupBy(group, "_i").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count("_unit").alias("_known"),
+        F.avg("_x").alias("_mean"),
+        F.avg("_unit").alias("_mean_unit"),
+        F.max("_size").alias("_longest"),
     )
-
-    def norm(name: str) -> Column:
-        return F.sqrt(
-            F.aggregate(
-                F.transform(F.col(name), lambda a: a.cast("double") * a.cast("double")),
-                F.lit(0.0),
-                lambda acc, x: acc + x,
-            )
-        )
-
-    distance = 1 - F.coalesce(F.try_divide(dot, norm(vector) * norm("_c")), F.lit(0.0))
-    return (
-        df.join(centroids, group)
-        .groupBy(group)
-        .agg(F.count(F.lit(1)).alias("row_count"), F.bround(F.avg(distance), 6).alias("dispersion"))
+    whole = F.min(F.col("_n") == F.col("_known")) & (F.min("_n") == F.max("_n")) & F.min(F.col("_i").isNotNull())
+    cosine = F.try_divide(
+        F.sum(F.col("_mean_unit") * F.col("_mean")), F.sqrt(F.sum(F.col("_mean") * F.col("_mean")))
+    )
+    # A row of every vector is counted under its first component (or under null without any).
+    rows = F.sum(F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_n")))
+    return sums.groupBy(group).agg(
+        rows.alias("row_count"), F.bround(F.when(whole, 1 - cosine), 6).alias("dispersion")
     )
 
 

@@ -43,9 +43,13 @@ def dataset_summary(name: Column, rows: Column, columns: Column, fields: Column,
 
 
 def recommendation(title: Column, query: Column, matched: Column, rows: Column, quality: Column) -> Column:
-    """Why a search result fits; ``matched`` is the comma list of matched terms."""
+    """Why a search result fits; ``matched`` is the comma list of matched terms.
+
+    The query is named by its distinct tokens in order of the alphabet.
+    """
+    asked = F.array_join(F.array_sort(tx.token_set(query)), " ")
     return _say(
-        title, " is recommended for '", F.coalesce(F.nullif(query, F.lit("")), F.lit("catalog search")),
+        title, " is recommended for '", F.coalesce(F.nullif(asked, F.lit("")), F.lit("catalog search")),
         "' because it matches ", F.coalesce(F.nullif(matched, F.lit("")), F.lit("metadata relevance")), ", contains ",
         rows, " rows, and has a quality score of ", _or(quality, "None"), ".",
     )

@@ -146,11 +146,8 @@ def _sides(df: DataFrame, key: str, lexical: Column, semantic: Column, *carried:
         F.transform(lexical, lambda t: F.struct(t.alias("term"), F.lit(0.0).alias("sem"), F.lit(1).alias("lex"))),
     )
     length = F.sqrt(F.sum(F.col("sem") * F.col("sem")).over(Window.partitionBy(key)))
-    spark = df.sparkSession
-    # A fixed number, so that a small catalog is still cut up by all cores.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return (
-        df.repartition(parts, key)
+        df.repartition(key)
         .select(key, *carried, F.explode(entry).alias("e"))
         .select(key, *carried, "e.*")
         .groupBy(key, *carried, "term")

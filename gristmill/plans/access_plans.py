@@ -97,15 +97,16 @@ def visible_to_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "effective_permission",
-    f"""WITH {_WORLD_SQL}, q AS (SELECT event_id AS request_id, user_id, (event_id * 7) % 1500 AS resource_id FROM events)
+    f"""WITH {_WORLD_SQL}, q AS (SELECT event_id AS request_id, user_id, (event_id * 7) % (SELECT max(o_orderkey) + 1 FROM orders) AS resource_id FROM events)
     SELECT request_id, q.user_id, q.resource_id, CASE WHEN q.user_id = 0 OR r.owner_id = q.user_id THEN 'edit'
       WHEN k.rank = 1 THEN 'edit' WHEN k.rank = 0 THEN 'view' END AS permission
     FROM q LEFT JOIN records r USING (resource_id) LEFT JOIN ranked k ON k.user_id = q.user_id AND k.resource_id = q.resource_id""",
 )
 def effective_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _world(spark, sf_dir)
+    ids = table(spark, sf_dir, "orders").agg(F.max("o_orderkey") + 1).scalar()
     requests = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("request_id"), "user_id", ((F.col("event_id") * 7) % 1500).alias("resource_id")
+        F.col("event_id").alias("request_id"), "user_id", ((F.col("event_id") * 7) % ids).alias("resource_id")
     )
     return access.effective_permissions(requests, w["users"], w["records"], w["shares"], w["members"], "dataset")
 

@@ -127,22 +127,19 @@ def _grams_sql(table_name: str, keys: str, n: int) -> str:
       FROM (SELECT *, {ws} AS ws FROM {table_name})"""
 
 
+# All pairs of texts, by their whole sets of n-grams.
 NEAR_SQL = f"""
-  WITH firsts AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_STRIPPED}) AS leader, text FROM documents),
-  g AS MATERIALIZED (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) % {curate.PRIME} AS h
-    FROM ({_grams_sql('(SELECT doc_id, text FROM firsts WHERE doc_id = leader)', 'doc_id', 3)})),
-  perm AS (SELECT i, (CAST(i AS BIGINT) * {curate.MULTIPLIER_STEP}) % {curate.PRIME - 1} + 1 AS a,
-    (CAST(i AS BIGINT) * i * {curate.OFFSET_STEP}) % {curate.PRIME} AS b FROM range(1, 65) t(i)),
-  sig AS (SELECT doc_id, i, min((a * h + b) % {curate.PRIME}) AS m FROM g, perm GROUP BY 1, 2),
-  band AS (SELECT doc_id, (i - 1) // 4 AS band, string_agg(CAST(m AS VARCHAR), ',' ORDER BY i) AS key FROM sig GROUP BY 1, 2),
-  cand AS (SELECT DISTINCT doc_id, leader FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY band, key) AS leader FROM band)
-    WHERE leader < doc_id),
+  WITH RECURSIVE firsts AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_STRIPPED}) AS leader, text FROM documents),
+  g AS MATERIALIZED ({_grams_sql('(SELECT doc_id, text FROM firsts WHERE doc_id = leader)', 'doc_id', 3)}),
   size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-  shared AS (SELECT c.doc_id, c.leader, count(*) AS n FROM cand c JOIN g a ON a.doc_id = c.doc_id
-    JOIN g b ON b.doc_id = c.leader AND b.h = a.h GROUP BY 1, 2),
-  near AS (SELECT s.doc_id, min(s.leader) AS near_of FROM shared s JOIN size x ON x.doc_id = s.doc_id
-    JOIN size y ON y.doc_id = s.leader WHERE s.n >= 0.8::DOUBLE * (x.n + y.n - s.n) GROUP BY 1)
-  SELECT f.doc_id, CASE WHEN f.leader <> f.doc_id THEN 'exact' WHEN near_of IS NOT NULL THEN 'near' ELSE 'unique' END AS kind,
+  shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id
+    WHERE a.gram <> '' GROUP BY 1, 2),
+  links AS MATERIALIZED (SELECT a, b FROM shared s JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+    WHERE s.n >= 0.8::DOUBLE * (x.n + y.n - s.n)),
+  both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+  reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b),
+  near AS (SELECT a AS doc_id, least(a, min(b)) AS near_of FROM reach GROUP BY a)
+  SELECT f.doc_id, CASE WHEN f.leader <> f.doc_id THEN 'exact' WHEN near_of < f.doc_id THEN 'near' ELSE 'unique' END AS kind,
     CASE WHEN f.leader <> f.doc_id THEN f.leader ELSE coalesce(near_of, f.doc_id) END AS copy_of
   FROM firsts f LEFT JOIN near ON near.doc_id = f.doc_id"""
 

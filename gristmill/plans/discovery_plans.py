@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import web
@@ -214,18 +214,22 @@ def response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "discovery_dedup_topn",
-    f"""WITH {_API_SQL}, u AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY provider_order, query_order, position) AS seen FROM c),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, provider ORDER BY downloads DESC, provider_order, query_order, position) AS place
-      FROM u WHERE seen = 1)
-    SELECT query_id, provider, url, CAST(downloads AS BIGINT) AS downloads, place FROM r WHERE place <= 12""",
+    f"""WITH {_API_SQL},
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id, query_order, provider ORDER BY position) AS nth FROM c),
+    u AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY provider_order, query_order, position) AS seen
+      FROM k WHERE nth <= 12)
+    SELECT query_id, provider, url, CAST(downloads AS BIGINT) AS downloads,
+      row_number() OVER (PARTITION BY query_id ORDER BY downloads DESC, provider_order, query_order, position) AS place
+    FROM u WHERE seen = 1""",
 )
 def discovery_dedup_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-seen URL wins across providers and queries, then the most downloaded per provider."""
+    """12 results of each provider call, then the first-seen URL, then one order by downloads."""
     found = responses.parse_all(_api_responses(spark, sf_dir))
     order = ["provider_order", "query_order", "position"]
-    unique = search.first_seen(found, ["query_id"], "url", order)
-    ranked = search.top_k(unique, ["query_id", "provider"], [F.desc("downloads"), *[F.asc(c) for c in order]], 12, "place")
-    return ranked.select("query_id", "provider", "url", "downloads", "place")
+    called = search.top_k(found, ["query_id", "query_order", "provider"], [F.asc("position")], 12, "nth").drop("nth")
+    unique = search.first_seen(called, ["query_id"], "url", order)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("downloads"), *[F.asc(c) for c in order]))
+    return unique.select("query_id", "provider", "url", "downloads", place.alias("place"))
 
 
 @query(

@@ -268,7 +268,7 @@ def critic_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT label, count(*) AS row_count, round_even(avg(1 - cosine), 6) AS dispersion FROM s GROUP BY 1""",
 )
 def embedding_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.embedding_dispersion(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 64)
+    return quality.embedding_dispersion(table(spark, sf_dir, "embeddings"), "label", "embedding")
 
 
 @query(
@@ -292,14 +292,14 @@ def difficulty_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "missing_languages",
     """WITH w AS (SELECT DISTINCT source, unnest(['en', 'fr', 'hi', 'it']) AS lang FROM documents)
-    SELECT source, lang FROM w ANTI JOIN documents d ON d.source = w.source AND d.lang = w.lang AND d.n_chars > 400""",
+    SELECT source, lang FROM w ANTI JOIN documents d ON d.source = w.source AND d.lang = w.lang""",
 )
 def missing_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     wanted = documents.select("source").distinct().select(
         "source", F.explode(F.array(*[F.lit(x) for x in ("EN", "fr", "hi", "it")])).alias("lang")
     )
-    return quality.missing_languages(documents.where("n_chars > 400"), wanted, "source", "lang")
+    return quality.missing_languages(documents, wanted, "source", "lang")
 
 
 _FILL_SQL = f"""

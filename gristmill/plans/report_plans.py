@@ -124,7 +124,7 @@ def gap_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "recommendation",
     search_plans.SEARCH_SQL
-    + """ SELECT r.query_id, r.dataset_id, title || ' is recommended for ''' || CASE WHEN query = '? !' THEN 'catalog search' ELSE query END
+    + """ SELECT r.query_id, r.dataset_id, title || ' is recommended for ''' || coalesce(nullif(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda t: length(t) > 1))), ' '), ''), 'catalog search')
       || ''' because it matches ' || CASE WHEN matched_terms = '' THEN 'metadata relevance' ELSE matched_terms END || ', contains ' || p_size || ' rows, and has a quality score of '
       || p_size * 2 || '.' AS recommendation FROM ranked r JOIN part ON p_partkey = r.dataset_id JOIN q ON q.query_id = r.query_id JOIN c ON c.dataset_id = r.dataset_id WHERE rank <= 3""",
 )
@@ -132,7 +132,6 @@ def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = search_plans.catalog_queries(spark, sf_dir)
     records = search_plans.catalog(spark, sf_dir)
     found = search.catalog_search(asked, records, 3)
-    shown = F.when(F.col("query") == "? !", "").otherwise(F.col("query"))
     return (
         found.join(asked, "query_id")
         .join(records.select("dataset_id", "title", "quality_score"), "dataset_id")
@@ -140,7 +139,7 @@ def recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
             "query_id",
             "dataset_id",
             reports.recommendation(
-                F.col("title"), shown, F.col("matched_terms"), (F.col("quality_score") / 2).cast("int"), F.col("quality_score")
+                F.col("title"), F.col("query"), F.col("matched_terms"), (F.col("quality_score") / 2).cast("int"), F.col("quality_score")
             ).alias("recommendation"),
         )
     )

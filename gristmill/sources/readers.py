@@ -31,15 +31,18 @@ def require_format(path: Column, explicit: Column | None = None) -> Column:
     return F.coalesce(found, F.raise_error(message).cast("string"))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header row mandatory, every column a string, short rows padded with null."""
-    header = spark.read.csv(path, header=True, inferSchema=False, multiLine=True)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Header row mandatory, every column a string, short rows padded with null.
+
+    ``multi_line`` allows line breaks in quoted values; a file then is read by one task.
+    """
+    header = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line)
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in header.columns]
         + [T.StructField("_corrupt_record", T.StringType())]
     )
     return spark.read.csv(
-        path, header=True, schema=schema, multiLine=True, mode="PERMISSIVE",
+        path, header=True, schema=schema, multiLine=multi_line, mode="PERMISSIVE",
         columnNameOfCorruptRecord="_corrupt_record", enforceSchema=False,
     )
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gristmill.operators import call_log, curate, traces
+from gristmill.operators import buckets, call_log, curate, traces
 
 
 def shingles(text, n=3):
@@ -38,9 +38,63 @@ def test_copies_of_one_text_give_one_row_each(spark):
     assert {r.kind: r["count"] for r in rows} == {"exact": 999, "unique": 2001}
 
 
-def test_balance_matches_plain_ranking(spark):
+def test_close_clusters_lose_no_copy(spark):
+    """A pair of similar texts is found although nearer texts share all its buckets."""
+    rng = random.Random(7)
+    texts = []
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"new{rng.randrange(10**9)}"
+        return out
+
+    for c in range(60):
+        base = [f"w{c}x{rng.randrange(400)}" for _ in range(200)]
+        far = edited(base, 10)
+        texts += [" ".join(edited(base, 1)) for _ in range(3)] + [" ".join(edited(far, 3)) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.kind for r in curate.near_duplicates(df, "id", "text").collect()}
+    sets = [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        group = range(i - i % 5, i)
+        earlier = [j for j in group if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        if earlier:
+            assert got[i] == "near", i
+
+
+def test_a_bucket_of_half_of_the_rows_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(buckets, "COMPARISONS", 16)
+    monkeypatch.setattr(buckets, "SLICE", 16)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 10)):
+            words[at] = f"new{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.copy_of for r in curate.near_duplicates(df, "id", "text").collect()}
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_balance_matches_plain_ranking(spark, monkeypatch):
+    monkeypatch.setattr(curate, "SLICE_ROWS", 40)
     rows = spark.range(500).selectExpr("id", "CASE WHEN id % 10 < 8 THEN 'big' ELSE 'small' END AS g")
-    got = curate.balance(rows, "g", "id", prefix=1).collect()
+    got = curate.balance(rows, "g", "id").collect()
     assert sorted(r.g for r in got).count("big") == 100
     import hashlib
 

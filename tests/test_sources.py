@@ -9,7 +9,7 @@ from gristmill.sources import readers, tables, writers
 
 def test_csv_is_all_text(spark, tmp_path):
     (tmp_path / "a.csv").write_text("name,age,condition\nAsha, 42 ,diabetes\nRavi,,asthma\nAsha, 42 ,diabetes\n\nshort\n")
-    rows = readers.read_csv(spark, str(tmp_path / "a.csv"))
+    rows = readers.read_csv(spark, str(tmp_path / "a.csv"), multi_line=True)
     clean = profile.normalize(rows.drop("_corrupt_record")).withColumn("ds", F.lit("d"))
     got = {r["column"]: r for r in profile.column_profile(clean, "ds").collect()}
     assert got["age"].missing_count == 2 and got["age"].type == "string" and got["age"].unique_count == 1
@@ -19,7 +19,7 @@ def test_csv_is_all_text(spark, tmp_path):
 
 def test_csv_keeps_surplus_fields_for_inspection(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n1,2,3\n')
-    rows = readers.read_csv(spark, str(tmp_path / "a.csv")).cache().collect()
+    rows = readers.read_csv(spark, str(tmp_path / "a.csv"), multi_line=True).cache().collect()
     assert rows[0].b == "x\ny" and rows[1]["_corrupt_record"] is not None
 
 
