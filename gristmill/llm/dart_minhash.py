@@ -11,17 +11,9 @@ signature: two texts agree in a coordinate with the probability of their similar
 pieces with ranks up to about (k ln k + 2k) / weight are looked at, which costs
 O(shingles + k log k) a text; a text with an empty coordinate is thrown again with twice that.
 
-*Joining.* Exact copies collapse first. The rest are joined by bands of the signature:
-
-1. Every member of a bucket is compared with the bucket's least member (a star, no pairs within
-   the bucket), exactly, on whole texts; links give components.
-2. Buckets that still hold several components are compared across components. In small ones the
-   known distances to the least member prune pairs (the distance is a metric: texts whose
-   distances to it differ by more than 0.2 can't be linked). Large ones are cut into slices, and
-   pairs of slices are compared by matrix products within a task, which puts out only links
-   that connect components. So a link between two texts counts whenever they share a bucket,
-   whatever else is in it.
-3. Components of all links are the classes.
+*Joining.* Exact copies collapse first. The rest are joined by bands of the signature and
+compared exactly, on whole texts, as ``operators.buckets`` describes: without all pairs of a
+bucket, yet so that a link between two texts counts whenever they share a bucket.
 """
 
 from __future__ import annotations
@@ -29,28 +21,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.hashing import GOLDEN, mix, unit
 from gristmill.llm import textbatch
-from gristmill.llm.components import connected_components
-from gristmill.llm.scratch import Scratch
+from gristmill.operators.buckets import linked_components
+from gristmill.scratch import Scratch
 
 SHINGLE = 5
 SIMILARITY = 0.8
 # A similar pair (0.8) shares no bucket with probability (1 - 0.8**5)**25, about 5 in 100,000.
 BANDS = 25
 BAND_ROWS = 5
-# A text compared with more others than this is copied, so that its comparisons spread.
-COMPARISONS = 256
-# Buckets of several components: up to this many rows they are compared as pairs, beyond it in
-# blocks of two slices of about SLICE rows, of which only a spanning set of links comes out.
-SMALL_BUCKET = 8
-SLICE = 256
-# Shingles that a block compares at a time.
-COLUMNS = 4096
 
 _U = np.uint64
 
@@ -82,19 +66,19 @@ def throw(
     cell = np.arange(len(owner)) - np.repeat(np.cumsum(cells) - cells, cells)
     low = np.where(cell > 0, 2.0 ** (cell - 1), 0.0)
     width = np.where(cell > 0, low, 1.0)
-    seed = textbatch.mix(element[owner] + (cell.astype(np.uint64) + _U(1)) * textbatch.GOLDEN)
+    seed = mix(element[owner] + (cell.astype(np.uint64) + _U(1)) * GOLDEN)
     pieces = np.ceil(rank_limit[row[owner]] * width).astype(np.int64)
     at = np.repeat(np.arange(len(owner)), pieces)
     piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    seed = textbatch.mix(seed[at] ^ (piece.astype(np.uint64) * textbatch.GOLDEN + _U(7)))
-    darts = np.searchsorted(_poisson_steps(), textbatch.unit(seed), side="right")
+    seed = mix(seed[at] ^ (piece.astype(np.uint64) * GOLDEN + _U(7)))
+    darts = np.searchsorted(_poisson_steps(), unit(seed), side="right")
     of = np.repeat(np.arange(len(at)), darts)
     number = np.arange(len(of)) - np.repeat(np.cumsum(darts) - darts, darts)
-    dart = textbatch.mix(seed[of] + (number.astype(np.uint64) + _U(1)) * textbatch.GOLDEN)
+    dart = mix(seed[of] + (number.astype(np.uint64) + _U(1)) * GOLDEN)
     place = at[of]
-    rank = (piece[of] + textbatch.unit(textbatch.mix(dart + _U(1)))) / width[place]
-    height = low[place] + width[place] * textbatch.unit(textbatch.mix(dart + _U(2)))
-    coordinate = (textbatch.mix(dart + _U(3)) % _U(k)).astype(np.int64)
+    rank = (piece[of] + unit(mix(dart + _U(1)))) / width[place]
+    height = low[place] + width[place] * unit(mix(dart + _U(2)))
+    coordinate = (mix(dart + _U(3)) % _U(k)).astype(np.int64)
     own = owner[place]
     inside = (height < weight[own]) & (rank < rank_limit[row[own]])
     return row[own[inside]], coordinate[inside], rank[inside], dart[inside]
@@ -127,7 +111,7 @@ def band_keys(signature: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
     for b in range(bands):
         key = np.full(len(signature), b + 1, dtype=np.uint64)
         for j in range(b * band_rows, (b + 1) * band_rows):
-            key = textbatch.mix(key * textbatch.GOLDEN + signature[:, j])
+            key = mix(key * GOLDEN + signature[:, j])
         keys[:, b] = key
     return keys.view(np.int64)
 
@@ -153,54 +137,6 @@ def _signature_rows(bands: int, band_rows: int):
     return run
 
 
-def similarity(a: list[bytes | None], b: list[bytes | None]) -> np.ndarray:
-    """Weighted Jaccard similarity of paired texts; 0 where both have no words."""
-    out = np.zeros(len(a))
-    sides = []
-    for texts in (a, b):
-        row, element, weight = weighted_sets(texts)
-        sides.append((textbatch.mix(element + row.astype(np.uint64) * textbatch.GOLDEN), row, weight))
-    (ka, ra, wa), (kb, rb, wb) = sides
-    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    shared = np.bincount(ra[ia], weights=np.minimum(wa[ia], wb[ib]), minlength=len(a))
-    total = np.bincount(ra, weights=wa, minlength=len(a)) + np.bincount(rb, weights=wb, minlength=len(a))
-    return np.divide(shared, total - shared, out=out, where=total > 0)
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = textbatch.utf8(batch.column("_text_a")), textbatch.utf8(batch.column("_text_b"))
-        size = [len(x or b"") + len(y or b"") for x, y in zip(left, right)]
-        ends = np.flatnonzero(np.diff(np.cumsum(size) // textbatch.CHUNK_BYTES, prepend=0)) if size else []
-        found = [
-            similarity(left[i:j], right[i:j]) for i, j in zip([0, *ends], [*ends, len(size)]) if j > i
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(np.concatenate(found) if found else [], pa.float64())],
-            ["a", "b", "similarity"],
-        )
-
-
-def _compared(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b); an ``a`` in many pairs is copied to spread them."""
-    pairs = scratch.keep(pairs, f"{name}-pairs")
-    often = scratch.keep(
-        pairs.groupBy("a")
-        .agg(F.ceil(F.count(F.lit(1)) / COMPARISONS).cast("bigint").alias("copies"))
-        .where("copies > 1"),
-        f"{name}-often",
-    )
-    copies = F.coalesce("copies", F.lit(1).cast("bigint"))
-    dealt = pairs.join(often, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).alias("copy"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("_text_b"))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("_text_a")).join(often, "a", "left")
-    left = left.select("a", "_text_a", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)).alias("copy"))
-    joined = dealt.join(right, "b").join(left, ["a", "copy"]).select("a", "b", "_text_a", "_text_b")
-    out = scratch.keep(joined.mapInArrow(_compare, "a bigint, b bigint, similarity double"), f"{name}-compared")
-    scratch.drop(f"{name}-pairs", f"{name}-often")
-    return out
-
-
 def near_duplicate_classes(
     df: DataFrame,
     row_id: str,
@@ -236,34 +172,14 @@ def near_duplicate_classes(
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    banded = nodes.select("node", F.explode("keys").alias("bucket"))
-    leaders = scratch.keep(
-        banded.groupBy("bucket")
-        .agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .drop("n"),
-        "leaders",
-    )
-    members = scratch.keep(banded.join(leaders, "bucket"), "members")
-    star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    wanted = members.select("node").distinct().join(nodes.select("node", "first_id", "digest"), "node")
-    # Repeated rows leave several equal texts; the grouping needs no exchange of its own.
-    texts = scratch.keep(
-        source.join(wanted, source["digest"].eqNullSafe(wanted["digest"]) & source["_id"].eqNullSafe(wanted["first_id"]))
-        .groupBy("node")
-        .agg(F.first("_text").alias("text")),
-        "texts",
-    )
-    compared = _compared(star, texts, scratch, "star")
-    links = compared.where(F.col("similarity") >= threshold).select("a", "b")
-    first = connected_components(links, scratch, "first")
-    pairs, slices = _across(members, first, compared, threshold, scratch)
-    more = _compared(pairs, texts, scratch, "across").where(F.col("similarity") >= threshold).select("a", "b")
-    blocks = slices.join(texts, "node").select("block", "side", "node", "component", "text")
-    inside = scratch.keep(blocks.groupBy("block").applyInPandas(_block_links(threshold), "a bigint, b bigint"), "inside")
-    scratch.drop("members", "leaders", "texts")
-    links = first.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more).union(inside)
-    final = scratch.keep(connected_components(links, scratch, "final"), "components")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        chosen = wanted.join(nodes.select("node", "first_id", "digest"), "node")
+        same = source["digest"].eqNullSafe(chosen["digest"]) & source["_id"].eqNullSafe(chosen["first_id"])
+        # Repeated rows leave several equal texts of a node.
+        return source.join(chosen, same).groupBy("node").agg(F.first("_text").alias("text"))
+
+    final = linked_components(nodes.select("node", "keys"), texts_of, weighted_sets, threshold, scratch)
     named = nodes.select("digest", "first_id", "node").join(final, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = scratch.keep(
@@ -285,143 +201,6 @@ def near_duplicate_classes(
     return signed.select(F.col("_id").alias(row_id), "digest"), classes
 
 
-def _across(
-    members: DataFrame, labels: DataFrame, compared: DataFrame, threshold: float, scratch: Scratch
-) -> tuple[DataFrame, DataFrame]:
-    """What is left to compare in buckets that hold several components.
-
-    Returns (pairs, slices): the pairs (a, b) of buckets of up to ``SMALL_BUCKET`` rows, and for
-    larger buckets (block, side, node, component), where each block is two slices to be compared.
-    """
-    distance = compared.select(
-        F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("distance")
-    )
-    placed = (
-        members.join(labels, "node", "left")
-        .join(distance, ["leader", "node"], "left")
-        .select(
-            "bucket",
-            "node",
-            "leader",
-            F.coalesce("component", "node").alias("component"),
-            F.coalesce("distance", F.lit(0.0)).alias("distance"),
-        )
-    )
-    placed = scratch.keep(placed, "placed")
-    mixed = scratch.keep(
-        placed.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-        .where("low < high")
-        .select("bucket", "n"),
-        "mixed",
-    )
-    # The least member has been compared with all of its bucket already.
-    rest = scratch.keep(placed.where("node <> leader").join(mixed, "bucket").drop("leader"), "rest")
-    few, many = rest.where(F.col("n") <= SMALL_BUCKET), rest.where(F.col("n") > SMALL_BUCKET)
-    x = few.select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "distance")])
-    y = few.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "distance")])
-    near = F.abs(F.col("distance_x") - F.col("distance_y")) <= 1 - threshold + 1e-9
-    pairs = (
-        x.join(y, "bucket")
-        .where((F.col("component_x") < F.col("component_y")) & near)
-        .select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-        .distinct()
-    )
-    return pairs, _slices(many.select("bucket", "node", "component"), scratch)
-
-
-def _slices(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Cuts buckets into slices of about ``SLICE`` rows and pairs the slices within a bucket.
-
-    A component with more rows than that in a bucket gets slices of its own, which are not
-    paired with one another; small components share slices.
-    """
-    held = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    large = scratch.keep(held.where(F.col("n") > SLICE).withColumnRenamed("n", "large"), "large")
-    small = scratch.keep(
-        held.where(F.col("n") <= SLICE).groupBy("bucket").agg(F.sum("n").alias("small")), "small"
-    )
-    own = F.col("large").isNotNull()
-    parts = F.ceil(F.coalesce("large", "small") / SLICE)
-    slot = F.pmod(F.when(own, F.xxhash64("node")).otherwise(F.xxhash64("component")), parts)
-    cut = rows.join(large, ["bucket", "component"], "left").join(small, "bucket", "left")
-    cut = scratch.keep(
-        cut.select(
-            "bucket", "node", "component", F.when(own, F.col("component")).otherwise(-1).alias("of"), slot.alias("slot")
-        ),
-        "cut",
-    )
-    slices = scratch.keep(cut.select("bucket", "of", "slot").distinct(), "slices")
-    one = slices.select("bucket", F.struct("of", "slot").alias("one"))
-    two = slices.select("bucket", F.struct("of", "slot").alias("two"))
-    worth = (F.col("one") < F.col("two")) & ((F.col("one.of") != F.col("two.of")) | (F.col("one.of") == -1))
-    worth = worth | ((F.col("one") == F.col("two")) & (F.col("one.of") == -1))
-    blocks = one.join(two, "bucket").where(worth).withColumn("block", F.xxhash64("bucket", "one", "two"))
-    blocks = scratch.keep(blocks, "blocks")
-    same = F.col("one") == F.col("two")
-    sides = blocks.select("bucket", "block", F.col("one").alias("slice"), F.when(same, 2).otherwise(0).alias("side"))
-    sides = sides.union(blocks.where(~same).select("bucket", "block", "two", F.lit(1)))
-    return cut.withColumn("slice", F.struct("of", "slot")).join(sides, ["bucket", "slice"]).select(
-        "block", "side", "node", "component"
-    )
-
-
-def shared_weights(a: tuple, b: tuple, rows: tuple[int, int]) -> np.ndarray:
-    """Sum of the lesser weights of shared shingles for every row of ``a`` with every row of ``b``."""
-    out = np.zeros(rows)
-    # An element of weight w is w elements of weight one, the i-th shared with another's i-th.
-    sides = []
-    for row, element, weight in (a, b):
-        times = weight.astype(np.int64)
-        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        key = textbatch.mix(np.repeat(element, times) + nth.astype(np.uint64) * textbatch.GOLDEN)
-        sides.append((np.repeat(row, times), key))
-    (ra, ka), (rb, kb) = sides
-    both = np.intersect1d(ka, kb)
-    order_a, order_b = np.argsort(ka), np.argsort(kb)
-    ra, ka, rb, kb = ra[order_a], ka[order_a], rb[order_b], kb[order_b]
-    for at in range(0, len(both), COLUMNS):
-        part = both[at : at + COLUMNS]
-        grids = []
-        for row, key, n in ((ra, ka, rows[0]), (rb, kb, rows[1])):
-            low, high = np.searchsorted(key, part[0], "left"), np.searchsorted(key, part[-1], "right")
-            column = np.searchsorted(part, key[low:high])
-            found = part[np.minimum(column, len(part) - 1)] == key[low:high]
-            grid = np.zeros((n, len(part)), dtype=np.float32)
-            grid[row[low:high][found], column[found]] = 1
-            grids.append(grid)
-        out += grids[0] @ grids[1].T
-    return out
-
-
-def _block_links(threshold: float):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        first, second = block[block.side != 1], block[block.side != 0]
-        sets = [weighted_sets([t.encode() for t in side.text]) for side in (first, second)]
-        totals = [np.bincount(r, weights=w, minlength=len(side)) for (r, _, w), side in zip(sets, (first, second))]
-        shared = shared_weights(*sets, (len(first), len(second)))
-        whole = totals[0][:, None] + totals[1][None, :] - shared
-        one, two = np.nonzero((shared >= threshold * whole) & (whole > 0))
-        nodes, parts = (first.node.to_numpy(), second.node.to_numpy()), (first.component.tolist(), second.component.tolist())
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        links = []
-        for i, j in zip(one.tolist(), two.tolist()):
-            # Components that the block has linked already need no further link.
-            p, q = root(parts[0][i]), root(parts[1][j])
-            if p != q:
-                parent[p] = q
-                links.append((nodes[0][i], nodes[1][j]))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return run
-
-
 def near_duplicates(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """One row per row of ``df``: ``row_id``, ``exact_of``, ``class_id``, ``is_first``.
 

@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gristmill.functions.hashing import GOLDEN, mix
 from gristmill.llm import textbatch
-from gristmill.llm.scratch import Scratch
+from gristmill.scratch import Scratch
 
 WINDOW = 10
 BLOCK = 2
@@ -89,7 +90,7 @@ def build_patterns(items: list[tuple[str, bytes | None]], window: int = WINDOW)
             np.minimum.at(shift, _slot(ends), np.uint8(length - end))
         suffix = textbatch.runs(hashes[:, length - block :].ravel(), block)[::block]
         prefix = textbatch.runs(hashes[:, :block].ravel(), block)[::block]
-        key = textbatch.mix(suffix + prefix * textbatch.GOLDEN)
+        key = mix(suffix + prefix * GOLDEN)
         order = np.argsort(key)
         texts, owners = list(found), [sorted(s) for _, s in found.values()]
         out.append(Patterns(length, block, shift, key[order], [texts[i] for i in order], [owners[i] for i in order]))
@@ -116,7 +117,7 @@ def search(w: textbatch.Words, patterns: Patterns) -> tuple[np.ndarray, np.ndarr
     end = np.sort(np.concatenate(ends))
     first = end - length + 1
     end, first = end[same := w.doc[first] == w.doc[end]], first[same]
-    key = textbatch.mix(blocks[end - block + 1] + blocks[first] * textbatch.GOLDEN)
+    key = mix(blocks[end - block + 1] + blocks[first] * GOLDEN)
     low, high = np.searchsorted(patterns.bucket, key, "left"), np.searchsorted(patterns.bucket, key, "right")
     at, which = [], []
     for i in np.flatnonzero(high > low):

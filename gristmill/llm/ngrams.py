@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from gristmill.llm import textbatch
+from gristmill.functions.hashing import GOLDEN, mix
 
 _U = np.uint64
 _SPACE = ord(" ")
@@ -35,12 +35,12 @@ def character_ngrams(points: np.ndarray, sizes: range, buckets: int) -> Iterator
     """Per size (size, place, bucket) of the n-grams inside words, word ends marked by one space."""
     space = points == _SPACE
     spaces = np.concatenate([[0], np.cumsum(space)])
-    spread = textbatch.mix(points.astype(np.uint64) + _U(1))
+    spread = mix(points.astype(np.uint64) + _U(1))
     rolling = np.zeros(len(points), dtype=np.uint64)
     for n in range(1, sizes.stop):
         if n > len(points):
             return
-        rolling = rolling[: len(points) - n + 1] * textbatch.GOLDEN + spread[n - 1 :]
+        rolling = rolling[: len(points) - n + 1] * GOLDEN + spread[n - 1 :]
         if n not in sizes:
             continue
         places = len(points) - n + 1
@@ -48,7 +48,7 @@ def character_ngrams(points: np.ndarray, sizes: range, buckets: int) -> Iterator
         inner = spaces[n - 1 : n - 1 + places] - spaces[1 : 1 + places] if n > 2 else np.zeros(places, dtype=np.int64)
         inside = (inner == 0) & ~(space[:places] & space[n - 1 :])
         place = np.flatnonzero(inside)
-        yield n, place, (textbatch.mix(rolling[place] + _U(n)) % _U(buckets)).astype(np.int64)
+        yield n, place, (mix(rolling[place] + _U(n)) % _U(buckets)).astype(np.int64)
 
 
 def tokens(points: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +60,6 @@ def tokens(points: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         return start, start
     number = np.cumsum(np.bincount(start, minlength=len(points))) - 1  # of the token a point belongs to
     within = np.arange(len(points)) - start[np.maximum(number, 0)]
-    point = textbatch.mix(textbatch.mix(points.astype(np.uint64) + _U(1)) + within.astype(np.uint64) * textbatch.GOLDEN)
+    point = mix(mix(points.astype(np.uint64) + _U(1)) + within.astype(np.uint64) * GOLDEN)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(point, dtype=np.uint64)])
-    return start, (textbatch.mix(sums[end] - sums[start] + _U(99)) % _U(buckets)).astype(np.int64)
+    return start, (mix(sums[end] - sums[start] + _U(99)) % _U(buckets)).astype(np.int64)

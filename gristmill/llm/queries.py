@@ -15,12 +15,12 @@ from gristmill.llm import (
     oracles,
     pii,
     quality,
-    scratch,
     token_output,
     toxicity,
     vector_search,
     warc,
 )
+from gristmill.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,7 +89,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_token_output")
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch.Scratch(spark, "packed-ids").folder
+    folder = Scratch(spark, "packed-ids").folder
     return token_output.read_packed(
         token_output.write_packed(table(spark, sf_dir, "documents"), folder, tokenizer())
     )
@@ -97,7 +97,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_warc", oracles.WARC)
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch.Scratch(spark, "warc").folder
+    folder = Scratch(spark, "warc").folder
     warc.write_pages(table(spark, sf_dir, "pages"), folder)
     return warc.read_pages(spark, folder).drop("target_uri")
 

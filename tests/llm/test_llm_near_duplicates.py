@@ -8,8 +8,10 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from gristmill.llm import components, dart_minhash, textbatch
-from gristmill.llm.scratch import Scratch
+from gristmill.functions.hashing import mix
+from gristmill.llm import dart_minhash
+from gristmill.operators import buckets, components
+from gristmill.scratch import Scratch
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id bigint, text string, digest string, node bigint, keys string"
@@ -73,15 +75,15 @@ def classes_of(df):
 
 @pytest.mark.parametrize("small_bucket", [8, 0])
 def test_close_clusters_lose_no_link(spark, monkeypatch, small_bucket):
-    monkeypatch.setattr(dart_minhash, "SMALL_BUCKET", small_bucket)
+    monkeypatch.setattr(buckets, "SMALL_BUCKET", small_bucket)
     rows = close_clusters(small_bucket, 40)
     assert classes_of(frame(spark, rows)) == expected_classes(rows)
 
 
 def test_one_large_group_is_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(dart_minhash, "SLICE", 16)
-    monkeypatch.setattr(dart_minhash, "COMPARISONS", 8)
-    monkeypatch.setattr(dart_minhash, "COLUMNS", 64)
+    monkeypatch.setattr(buckets, "SLICE", 16)
+    monkeypatch.setattr(buckets, "COMPARISONS", 8)
+    monkeypatch.setattr(buckets, "COLUMNS", 64)
     rng = random.Random(3)
     base = [f"w{rng.randrange(500)}" for _ in range(150)]
     rows = [(i, " ".join(edited(rng, base, rng.randrange(1, 14)))) for i in range(160)]
@@ -111,11 +113,11 @@ def test_agreement_is_weighted_jaccard():
     b = a[:230] + [f"z{rng.randrange(60)}" for _ in range(70)]
     texts = [" ".join(a).encode(), " ".join(b).encode()]
     truth = weighted_jaccard(shingles(" ".join(a)), shingles(" ".join(b)))
-    assert dart_minhash.similarity(texts[:1], texts[1:])[0] == pytest.approx(truth)
+    assert buckets.similarity(dart_minhash.weighted_sets, texts[:1], texts[1:])[0] == pytest.approx(truth)
     row, element, weight = dart_minhash.weighted_sets(texts)
     found = []
     for salt in range(30):
-        moved = textbatch.mix(element + np.uint64(salt * 977 + 1))
+        moved = mix(element + np.uint64(salt * 977 + 1))
         s = dart_minhash.signatures(row, moved, weight * 3, 2, 128)
         assert (s != 0).all()
         found.append((s[0] == s[1]).mean())
