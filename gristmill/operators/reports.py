@@ -9,10 +9,13 @@ training_readiness, token_length_fit, distribution_risk, critical_toxicity``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
+from gristmill.operators.gates import certification
 from gristmill.operators.quality import DIMENSIONS
 
 GENERATOR_NAME = "Gristmill"
@@ -175,18 +178,21 @@ def benchmark_text() -> Column:
 
 def recommendation_text() -> Column:
     advice = F.when(F.col("requires_generation"), "Review generated samples before production use.").otherwise(
-        "Ready for hackathon demo export."
+        "No generated samples; ready for export."
     )
     return _say("# Recommendation Report\n\n", advice, "\n")
 
 
-def intelligence_text() -> Column:
+def intelligence_text(gates: dict[str, Column]) -> Column:
+    """``gates`` are verdicts by gate; a certificate needs PASS from each of them."""
     c = F.col
+    passed = reduce(lambda a, b: a & b, [v == "PASS" for v in gates.values()], F.lit(True))
+    certificate = F.coalesce(certification(c("score"), passed, F.lit(False)), F.lit("none"))
     return _say(
         "# Dataset Intelligence Report\n\nDataset: ", c("name"), "\nPurpose: ", c("purpose"), "\nDomain: ", c("domain"), "\nLanguages: ",
         _listed(c("languages")), "\nRows: ", c("row_count"), "\nColumns: ", c("column_count"), "\nMissing values: ", c("missing_cells"),
         "\nDuplicate rows: ", c("duplicate_rows"), "\nQuality score: ", c("score"), "/100\nLicense: ", c("license"), "\nCleaned rows: ",
-        c("output_rows"), "\nBenchmark readiness: ", c("training_readiness"), "\nCertification: Production Ready for demo constraints\n",
+        c("output_rows"), "\nBenchmark readiness: ", c("training_readiness"), "\nCertification: ", certificate, "\n",
     )
 
 
@@ -205,7 +211,7 @@ def all_reports(facts: DataFrame, gates: dict[str, Column]) -> DataFrame:
         "bias_report": bias_text(),
         "benchmark_report": benchmark_text(),
         "recommendation_report": recommendation_text(),
-        "dataset_intelligence_report": intelligence_text(),
+        "dataset_intelligence_report": intelligence_text(gates),
         "explainability_report": explainability_text(F.lit(None).cast("string"), F.lit(0)),
         "dataset_card": package_card(),
     }

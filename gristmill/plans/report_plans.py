@@ -85,10 +85,10 @@ _METRIC_LINES = " || ".join(f"'- {d}: ' || {d} || E'\\n'" for d in DIMENSIONS)
     "report_texts",
     f"""{FACTS_SQL}
     SELECT source AS name, 'quality_report' AS report, E'# Quality Report\\n\\nOverall score: ' || score || E'/100\\nProfile: production\\n\\n## Hard Gates\\n- license: USER_PROVIDED\\n- pii: NOT_EVALUATED\\n- critical_toxicity: NOT_EVALUATED\\n\\n## Weighted Metrics\\n' || {_METRIC_LINES} AS text FROM f
-    UNION ALL SELECT source, 'bias_report', E'# Bias Report\\n\\nRecords sampled: ' || record_count || E'\\nCritical toxicity: PASS\\nDistribution risk: ' || distribution_risk || E'\\nLanguages: ' || languages || E'\\n' FROM f
+    UNION ALL SELECT source, 'bias_report', E'# Bias Report\\n\\nRecords sampled: ' || record_count || E'\\nCritical toxicity: NOT_EVALUATED\\nDistribution risk: ' || distribution_risk || E'\\nLanguages: ' || languages || E'\\n' FROM f
     UNION ALL SELECT source, 'benchmark_report', E'# Benchmark Report\\n\\nRecord count: ' || record_count || E'\\nSchema parse: ' || schema_parse || E'\\nTraining readiness: ' || training_readiness || E'\\nToken length fit: ' || token_length_fit || E'\\n' FROM f
-    UNION ALL SELECT source, 'recommendation_report', E'# Recommendation Report\\n\\n' || CASE WHEN requires_generation THEN 'Review generated samples before production use.' ELSE 'Ready for hackathon demo export.' END || E'\\n' FROM f
-    UNION ALL SELECT source, 'dataset_intelligence_report', E'# Dataset Intelligence Report\\n\\nDataset: ' || source || E'\\nPurpose: uploaded_dataset_analysis\\nDomain: uploaded\\nLanguages: ' || languages || E'\\nRows: ' || row_count || E'\\nColumns: 4\\nMissing values: 0\\nDuplicate rows: ' || duplicate_rows || E'\\nQuality score: ' || score || E'/100\\nLicense: user_provided\\nCleaned rows: ' || row_count || E'\\nBenchmark readiness: ' || training_readiness || E'\\nCertification: Production Ready for demo constraints\\n' FROM f
+    UNION ALL SELECT source, 'recommendation_report', E'# Recommendation Report\\n\\n' || CASE WHEN requires_generation THEN 'Review generated samples before production use.' ELSE 'No generated samples; ready for export.' END || E'\\n' FROM f
+    UNION ALL SELECT source, 'dataset_intelligence_report', E'# Dataset Intelligence Report\\n\\nDataset: ' || source || E'\\nPurpose: uploaded_dataset_analysis\\nDomain: uploaded\\nLanguages: ' || languages || E'\\nRows: ' || row_count || E'\\nColumns: 4\\nMissing values: 0\\nDuplicate rows: ' || duplicate_rows || E'\\nQuality score: ' || score || E'/100\\nLicense: user_provided\\nCleaned rows: ' || row_count || E'\\nBenchmark readiness: ' || training_readiness || E'\\nCertification: none\\n' FROM f
     UNION ALL SELECT source, 'explainability_report', E'# Explainability Report\\n\\nPlanner decision: Planner rationale unavailable.\\nSearch-first policy: existing datasets were evaluated before generation.\\nSynthetic samples added: 0\\nFinal quality score: ' || score || E'/100\\n' FROM f
     UNION ALL SELECT source, 'dataset_card', E'# Dataset Card\\n\\nName: ' || source || E'\\nDomain: uploaded\\nLanguages: ' || languages || E'\\nLicense: user_provided\\nRows: ' || row_count || E'\\nColumns: 4\\nMissing values: 0\\nDuplicate rows: ' || duplicate_rows || E'\\nQuality score: ' || score || E'/100\\nBenchmark readiness: ' || training_readiness || E'\\nSource checksum: Unavailable\\nSources: ' || source || E'\\nGenerated by: Gristmill\\n' FROM f""",
 )

@@ -36,13 +36,13 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
 
     ``multi_line`` allows line breaks in quoted values; a file then is read by one task.
     """
-    header = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line)
+    header = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in header.columns]
         + [T.StructField("_corrupt_record", T.StringType())]
     )
     return spark.read.csv(
-        path, header=True, schema=schema, multiLine=multi_line, mode="PERMISSIVE",
+        path, header=True, schema=schema, multiLine=multi_line, mode="PERMISSIVE", escape='"',
         columnNameOfCorruptRecord="_corrupt_record", enforceSchema=False,
     )
 

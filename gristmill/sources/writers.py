@@ -6,23 +6,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXPORT_FORMATS = {"json": "json", "jsonl": "json", "csv": "csv", "parquet": "parquet"}
-# Keeps every part file far below the size one row can hold when files are hashed whole.
-MAX_RECORDS_PER_FILE = 1_000_000
+# Files are hashed whole, as one row of at most 2 GB each.
+FILE_BYTES = 128 << 20
+
+
+def records_per_file(df: DataFrame) -> int:
+    """Rows that take about ``FILE_BYTES``, by the mean length of the rows as text."""
+    whole = F.octet_length(F.to_json(F.struct(*df.columns)))
+    mean = df.agg(F.avg(whole)).first()[0]
+    return max(1, int(FILE_BYTES / max(1.0, mean or 1.0)))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One JSON object per line, keys in name order, nulls written."""
     ordered = df.select(*sorted(df.columns))
-    ordered.write.option("ignoreNullFields", "false").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).mode("error").json(path)
+    writer = ordered.write.option("ignoreNullFields", "false").option("maxRecordsPerFile", records_per_file(df))
+    writer.mode("error").json(path)
 
 
 def export(df: DataFrame, path: str, file_format: str = "jsonl", partition_by: list[str] | None = None) -> None:
-    """Dataset in one of the export formats, split into files of bounded length."""
+    """Dataset in one of the export formats, split into files of bounded size."""
     if file_format not in EXPORT_FORMATS:
         raise ValueError(f"unsupported export format {file_format}; known: {', '.join(EXPORT_FORMATS)}")
-    writer = df.write.mode("error").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+    writer = df.write.mode("error").option("maxRecordsPerFile", records_per_file(df))
     if file_format == "csv":
-        writer = writer.option("header", "true")
+        # Values are written as they are: white space kept, quotes doubled.
+        kept = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": '"'}
+        writer = writer.options(header="true", **kept)
     if file_format in ("json", "jsonl"):
         writer = writer.option("ignoreNullFields", "false")
     if partition_by:
@@ -36,8 +46,8 @@ def rows_or_candidates(rows: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Report texts (``name, report, text``), one folder per dataset and report."""
-    reports.write.mode("error").partitionBy("name", "report").text(path)
+    """Report texts (``name, report, text``) as JSON lines, one folder per kind of report."""
+    reports.write.mode("error").option("maxRecordsPerFile", records_per_file(reports)).partitionBy("report").json(path)
 
 
 def list_reports(spark: SparkSession, path: str) -> DataFrame:

@@ -104,8 +104,8 @@ def test_process_and_package(spark, tmp_path):
     assert {r.run_id for r in listed} == {"run-9"} and all(len(r.sha256) == 64 for r in listed)
     assert any("report=quality_report" in r.artifact for r in listed)
     assert writers.list_reports(spark, str(tmp_path / "pkg/reports")).count() == 7
-    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "pkg/reports/name=up.csv/report=dataset_intelligence_report")).collect())
-    assert "Rows: 2" in text
+    written = spark.read.json(str(tmp_path / "pkg/reports")).where("name = 'up.csv' and report = 'dataset_intelligence_report'").collect()
+    assert "Rows: 2" in written[0].text and "Certification: none" in written[0].text
     frames["normalized"].unpersist()
 
 
