@@ -100,8 +100,9 @@ def resolve_redirect(href: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def unescape_html(values: pd.Series) -> pd.Series:
-    """Resolve HTML entities; the full entity table is the standard library's."""
-    return values.map(html.unescape, na_action="ignore")
+    """Resolve HTML entities; the full entity table is the standard library's. Other texts are passed on."""
+    found = values.str.contains("&", regex=False).fillna(False).astype(bool)
+    return values.where(~found, values[found].map(html.unescape))
 
 
 def strip_tags(value: Column) -> Column:

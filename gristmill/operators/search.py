@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,8 @@ METADATA_WEIGHTS = {"description": 0.4, "tags": 0.3, "url": 0.3}
 PROVIDER_WEIGHTS = {"huggingface": 0.9, "kaggle": 0.85, "data.gov": 0.8}
 OTHER_PROVIDER_WEIGHT = 0.7
 FULL_POPULARITY = 5000
+# Rows of query terms that go to every task at a time, some 10 MB.
+BLOCK_TERMS = 100_000
 
 
 def _strings(values: tuple[str, ...] | list[str]) -> Column:
@@ -96,20 +100,38 @@ def term_vectors(df: DataFrame, key: str, text: Column) -> DataFrame:
     )
 
 
-def cosine_pairs(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
-    """Cosine of every pair sharing a term; pairs without a common term are 0 and left out."""
+def query_blocks(terms: DataFrame, query: str) -> list[DataFrame]:
+    """Query terms in blocks of whole queries small enough to go to every task.
+
+    A block has about ``BLOCK_TERMS`` rows; each block is a pass over the other side, which
+    thus is never shuffled by term.
+    """
+    blocks = max(1, -(-terms.count() // BLOCK_TERMS))
+    block = F.pmod(F.xxhash64(query), F.lit(blocks))
+    return [F.broadcast(terms.where(block == n)) for n in range(blocks)]
+
+
+def cosine_top_k(left: DataFrame, left_key: str, right: DataFrame, right_key: str, k: int) -> DataFrame:
+    """The ``k`` rows of ``right`` most similar to each of ``left``; only rows sharing a term count.
+
+    Both are term vectors. ``right`` is placed by its key once; a pair then is summed up where
+    its row lies, and each task puts out at most ``k`` rows per query.
+    """
 
     def normed(vectors: DataFrame, key: str, tf: str, norm: str) -> DataFrame:
         total = F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key))
         return vectors.select(key, "term", F.col("tf").alias(tf), F.sqrt(total).alias(norm))
 
-    return (
-        normed(left, left_key, "l", "ln")
-        .join(normed(right, right_key, "r", "rn"), "term")
+    placed = normed(right, right_key, "r", "rn")
+    found = [
+        placed.join(block, "term")
         .groupBy(left_key, right_key)
         .agg(F.sum(F.col("l") * F.col("r")).alias("dot"), F.max("ln").alias("ln"), F.max("rn").alias("rn"))
-        .select(left_key, right_key, (F.col("dot") / (F.col("ln") * F.col("rn"))).alias("cosine"))
-    )
+        .select(left_key, right_key, F.bround(F.col("dot") / (F.col("ln") * F.col("rn")), 6).alias("cosine"))
+        for block in query_blocks(normed(left, left_key, "l", "ln"), left_key)
+    ]
+    best = [top_k(pairs, [left_key], [F.desc("cosine"), F.asc(right_key)], k) for pairs in found]
+    return reduce(DataFrame.union, best)
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -121,10 +143,9 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: st
 
 def semantic_top_k(queries: DataFrame, query: str, text: str, docs: DataFrame, doc: str, doc_text: str, k: int) -> DataFrame:
     """The ``k`` documents most similar to each query."""
-    pairs = cosine_pairs(
-        term_vectors(queries, query, F.col(text)), query, term_vectors(docs, doc, F.col(doc_text)), doc
-    ).withColumn("cosine", F.bround("cosine", 6))
-    return top_k(pairs, [query], [F.desc("cosine"), F.asc(doc)], k)
+    return cosine_top_k(
+        term_vectors(queries, query, F.col(text)), query, term_vectors(docs, doc, F.col(doc_text)), doc, k
+    )
 
 
 def _record_texts() -> tuple[Column, Column]:
@@ -191,52 +212,46 @@ def catalog_search(
     query_terms = _sides(asked, "query_id", F.col("_tokens"), F.array_sort("_tokens"), "n_tokens")
     lexical, semantic = _record_texts()
     record_terms = _sides(catalog, "dataset_id", tx.token_set(lexical), tx.token_bag(semantic), *merits)
-    both = F.col("ql") * F.col("rl")
-    shared = query_terms.select(
-        "query_id", "n_tokens", "term", F.col("sem").alias("qs"), F.col("lex").alias("ql"), F.col("norm").alias("qn")
-    ).join(
-        record_terms.select(
-            "dataset_id", *merits, "term", F.col("sem").alias("rs"), F.col("lex").alias("rl"), F.col("norm").alias("rn")
-        ),
-        "term",
+    records = record_terms.select(
+        "dataset_id", *merits, "term", F.col("sem").alias("rs"), F.col("lex").alias("rl"), F.col("norm").alias("rn")
     )
-    pair_keys = ["query_id", "n_tokens", "dataset_id", *merits]
-    matches = shared.select(
-        *pair_keys,
-        (F.col("qs") * F.col("rs")).alias("dot"),
-        both.alias("common"),
-        (F.col("qn") * F.col("rn")).alias("norms"),
-        F.when(both == 1, F.col("term")).alias("term"),
+    asked_terms = query_terms.select(
+        "query_id", "n_tokens", "term", F.col("sem").alias("qs"), F.col("lex").alias("ql"), F.col("norm").alias("qn")
     )
-    # The best records by merit, as one short array; each query gets them as pairs without a match.
+    found = [_matched(records.join(block, "term"), merits, k, min_relevance) for block in query_blocks(asked_terms, "query_id")]
+    # The best records by merit, as one short array; each query gets them as records without a match.
     merit = record_score(F.lit(0.0), *[F.col(c) for c in merits])
     best = catalog.select("dataset_id", *merits, merit.alias("_merit")).orderBy(F.desc("_merit"), "dataset_id").limit(k)
     best_list = best.agg(F.collect_list(F.struct("dataset_id", *merits))).scalar()
-    fillers = (
-        asked.select("query_id", "n_tokens", F.explode(best_list).alias("b"))
-        .select("query_id", "n_tokens", "b.*")
-        .select(
-            *pair_keys, F.lit(0.0).alias("dot"), F.lit(0).alias("common"), F.lit(None).cast("double").alias("norms"),
-            F.lit(None).cast("string").alias("term"),
-        )
+    fillers = asked.select("query_id", "n_tokens", F.explode(best_list).alias("b")).select(
+        "query_id", "n_tokens", "b.*", F.lit(0.0).alias("semantic"), F.lit(0).alias("common"), F.lit("").alias("matched_terms")
     )
-    candidates = (
-        matches.unionByName(fillers)
-        .groupBy(*pair_keys)
-        .agg(
-            F.sum("dot").alias("dot"),
-            F.sum("common").alias("common"),
-            F.max("norms").alias("norms"),
-            # At most one entry per query token.
-            F.array_join(F.array_sort(F.collect_set("term")), ", ").alias("matched_terms"),
-        )
-        .withColumn("lexical", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.try_divide("common", "n_tokens")))
-        .withColumn("semantic", F.coalesce(F.try_divide("dot", "norms"), F.lit(0.0)))
+    scored = reduce(DataFrame.unionByName, [*found, _scored(fillers, merits, min_relevance)])
+    # A record can be here with and without its match; the match scores no less.
+    once = top_k(scored, ["query_id", "dataset_id"], [F.desc("relevance_score"), F.desc("semantic_relevance"), F.desc("matched_terms")], 1, "_same")
+    return top_k(once.drop("_same"), ["query_id"], [F.desc("relevance_score"), F.asc("dataset_id")], k)
+
+
+def _matched(shared: DataFrame, merits: list[str], k: int, min_relevance: float | None) -> DataFrame:
+    """The ``k`` best matches per query of a block; pairs are summed up where their record lies."""
+    both = F.col("ql") * F.col("rl")
+    pairs = shared.groupBy("query_id", "n_tokens", "dataset_id", *merits).agg(
+        F.coalesce(F.try_divide(F.sum(F.col("qs") * F.col("rs")), F.max(F.col("qn") * F.col("rn"))), F.lit(0.0)).alias("semantic"),
+        F.sum(both).alias("common"),
+        # At most one entry per query token.
+        F.array_join(F.array_sort(F.collect_set(F.when(both == 1, F.col("term")))), ", ").alias("matched_terms"),
     )
+    scored = _scored(pairs, merits, min_relevance)
+    return top_k(scored, ["query_id"], [F.desc("relevance_score"), F.asc("dataset_id")], k, "_best").drop("_best")
+
+
+def _scored(pairs: DataFrame, merits: list[str], min_relevance: float | None) -> DataFrame:
+    lexical = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.try_divide("common", "n_tokens"))
+    candidates = pairs.withColumn("lexical", lexical)
     relevance = F.greatest("lexical", "semantic")
     if min_relevance is not None:
         candidates = candidates.where(relevance >= min_relevance)
-    scored = candidates.select(
+    return candidates.select(
         "query_id",
         "dataset_id",
         record_score(relevance, *[F.col(c) for c in merits]).alias("relevance_score"),
@@ -244,7 +259,6 @@ def catalog_search(
         F.bround("lexical", 4).alias("lexical_relevance"),
         "matched_terms",
     )
-    return top_k(scored, ["query_id"], [F.desc("relevance_score"), F.asc("dataset_id")], k)
 
 
 def public_score(query: Column, title: Column, description: Column, tags: Column, url: Column, downloads: Column, provider: Column) -> Column:
