@@ -2,7 +2,7 @@
 
 Statements are the lines and the paragraphs (blocks between empty lines) of a file, and the
 whole file. Term weights come from the templates: a term's inverse document frequency over them,
-the largest one for any other word. A file's own licence is the template with the highest cosine
+the largest one for any other word, none for stop words. A file's own licence is the template with the highest cosine
 of at least ``LEAST`` to any of its statements.
 
 Whole texts are searched, but few statements are weighed: from each template the fewest terms are
@@ -29,9 +29,14 @@ from pyspark.sql import functions as F
 
 from gristmill.scratch import Scratch
 
-LEAST = 0.6
+LEAST = 0.75
 WORD = "[a-z0-9]+"
 
+# Stop words, which carry no weight, and words that are better no anchors, being frequent in
+# some language or as numbers.
+STOP_WORDS = set("a an and are as at be by for from has he in is it its no not of on or that the this to was with you".split())
+FREQUENT = set("0 2 3 4 mit general public use version work".split())
+
 # Usual statements of each licence.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
@@ -72,7 +77,7 @@ class Model:
     """Weights of the templates; its size is that of the templates, whatever the corpus."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST):
-        counts = [Counter(re.findall(WORD, text.lower())) for _, text in templates]
+        counts = [Counter(t for t in re.findall(WORD, text.lower()) if t not in STOP_WORDS) for _, text in templates]
         spread = Counter(term for c in counts for term in c)
         self.least = least
         self.rare = math.log(1 + len(counts)) + 1
@@ -82,7 +87,8 @@ class Model:
         for number, ((name, _), c) in enumerate(zip(templates, counts)):
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items()))
             left = 0.0
-            for t, n in sorted(c.items(), key=lambda x: (x[1] * self.idf[x[0]], x[0])):
+            # Any order is safe; frequent words first keeps them from being anchors.
+            for t, n in sorted(c.items(), key=lambda x: (x[0] not in FREQUENT, x[1] * self.idf[x[0]], x[0])):
                 weight = n * self.idf[t] / norm
                 self.weights.append((t, number, name, weight))
                 left += weight * weight
@@ -110,6 +116,7 @@ def own_licences(df: DataFrame, key: str, statements: str, model: Model) -> Data
     """(``key``, own_license, own_similarity) of the rows that have a licence; ``key`` is unique."""
     parts = df.select(key, F.posexplode(statements))
     terms = parts.select(key, "pos", F.explode(F.regexp_extract_all("col", F.lit(WORD), F.lit(0))).alias("term"))
+    terms = terms.where(~F.col("term").isin(*sorted(STOP_WORDS)))
     counted = terms.groupBy(key, "pos", "term").agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
     # Templates are a fixed table of some hundred rows.
@@ -177,25 +184,25 @@ def licences(df: DataFrame, path: str, text: str, speaks: Column | None = None,
     speaking = files.where(F.col("own_license").isNotNull() & F.col("_speaks") & F.col("_directory").isNotNull())
     held = scratch.keep(
         speaking.groupBy("_directory")
-        .agg(F.min(F.struct(path, "own_license")).alias("first"))
-        .select(F.col("_directory").alias("from_directory"), F.col("first.own_license").alias("held")),
+        .agg(F.min(F.struct(path, "own_license")).alias("_first"))
+        .select(F.col("_directory").alias("_above"), F.col("_first.own_license").alias("_held")),
         "held",
     )
     # Directories, not files, are joined with the directories above them.
     above = files.where(F.col("_directory").isNotNull()).select("_directory").distinct()
-    above = above.select("_directory", F.explode(directories_above(F.col("_directory"))).alias("from_directory"))
+    above = above.select("_directory", F.explode(directories_above(F.col("_directory"))).alias("_above"))
     nearest = scratch.keep(
-        above.join(held, "from_directory")
+        above.join(held, "_above")
         .groupBy("_directory")
-        .agg(F.max(F.struct(F.length("from_directory").alias("n"), "from_directory", "held")).alias("near"))
-        .select("_directory", "near.from_directory", "near.held"),
+        .agg(F.max(F.struct(F.length("_above").alias("_n"), "_above", "_held")).alias("_near"))
+        .select("_directory", "_near._above", "_near._held"),
         "nearest",
     )
     has = F.col("own_license").isNotNull()
     return (
         files.join(nearest, "_directory", "left")
-        .withColumn("license", F.coalesce("own_license", "held"))
-        .withColumn("basis", F.when(has, "own").when(F.col("held").isNotNull(), "inherited").otherwise("none"))
-        .withColumn("from_directory", F.when(~has, F.col("from_directory")))
-        .drop("_directory", "_speaks", "held")
+        .withColumn("license", F.coalesce("own_license", "_held"))
+        .withColumn("basis", F.when(has, "own").when(F.col("_held").isNotNull(), "inherited").otherwise("none"))
+        .withColumn("from_directory", F.when(~has, F.col("_above")))
+        .drop("_directory", "_speaks", "_held", "_above")
     )

@@ -1,6 +1,6 @@
 """DuckDB twins of the queries that SQL can express, written from their definitions."""
 
-from gristmill.llm.license_scan import Model
+from gristmill.llm.license_scan import STOP_WORDS, Model
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -90,6 +90,7 @@ FROM d LEFT JOIN listed USING (rid)
 
 def licences() -> str:
     model = Model()
+    stop = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
     anchor = "(?:^|[^a-z0-9])(?:" + "|".join(model.anchors) + ")(?:[^a-z0-9]|$)"
     idf = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in model.idf.items())
     weights = ", ".join(f"('{t}', {n}, '{name}', {w!r}::DOUBLE)" for t, n, name, w in model.weights)
@@ -108,7 +109,8 @@ parts AS MATERIALIZED (SELECT rid, pos, list_extract(ss, pos) AS part FROM (
 \s*'), [t])), lambda x: regexp_matches(x, '{anchor}')) AS ss
     FROM d WHERE regexp_matches(t, '{anchor}')), unnest(range(1, len(ss) + 1)) AS u(pos)),
 terms AS (SELECT rid, pos, term, count(*) AS n FROM (
-    SELECT rid, pos, unnest(regexp_extract_all(part, '[a-z0-9]+')) AS term FROM parts) GROUP BY ALL),
+    SELECT rid, pos, unnest(regexp_extract_all(part, '[a-z0-9]+')) AS term FROM parts)
+    WHERE term NOT IN ({stop}) GROUP BY ALL),
 weighed AS MATERIALIZED (SELECT rid, pos, term, n * coalesce(idf, {model.rare!r}::DOUBLE) AS value
     FROM terms LEFT JOIN idf USING (term)),
 norms AS (SELECT rid, pos, sqrt(sum(value * value)) AS norm FROM weighed GROUP BY ALL),

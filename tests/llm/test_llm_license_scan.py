@@ -36,7 +36,7 @@ def plain_own(text, model):
     best = None
     text = text or ""
     for part in [*text.split("\n"), *re.split(r"\n[ \t]*\n\s*", text), text]:
-        counts = Counter(re.findall("[a-z0-9]+", part.lower()))
+        counts = Counter(t for t in re.findall("[a-z0-9]+", part.lower()) if t not in license_scan.STOP_WORDS)
         value = {t: n * model.idf.get(t, model.rare) for t, n in counts.items()}
         norm = math.sqrt(sum(v * v for v in value.values()))
         scores: dict = {}
