@@ -32,7 +32,10 @@ def lowered(points: np.ndarray) -> np.ndarray:
 
 
 def character_ngrams(points: np.ndarray, sizes: range, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per size (size, place, bucket) of the n-grams inside words, word ends marked by one space."""
+    """Per size (size, place, bucket) of the n-grams inside words.
+
+    A word's ends are marked by one space; an n-gram reaches over one end at most.
+    """
     space = points == _SPACE
     spaces = np.concatenate([[0], np.cumsum(space)])
     spread = mix(points.astype(np.uint64) + _U(1))
@@ -44,7 +47,7 @@ def character_ngrams(points: np.ndarray, sizes: range, buckets: int) -> Iterator
         if n not in sizes:
             continue
         places = len(points) - n + 1
-        # Only the first and the last character may be white space, and not both of a short one.
+        # Only the first or the last character may be white space.
         inner = spaces[n - 1 : n - 1 + places] - spaces[1 : 1 + places] if n > 2 else np.zeros(places, dtype=np.int64)
         inside = (inner == 0) & ~(space[:places] & space[n - 1 :])
         place = np.flatnonzero(inside)
