@@ -7,7 +7,7 @@ Parquet in the shared folder and reads it again for the next one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import best_fit, dart_minhash, decontaminate, pii, toxicity
@@ -18,12 +18,19 @@ from gristmill.scratch import Scratch
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns that a stage would replace renamed, and the columns that bring them back."""
+    taken = {c: f"_own_{c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(taken), [F.col(taken.get(c, c)).alias(c) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5; null texts stay."""
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, ~toxicity.held_out("doc_id", 5, 0))
-    scored = toxicity.score(docs, model)
-    return scored.where(F.col("text").isNull() | (F.col("predicted") == 0)).select(*docs.columns)
+    rows, own = _aside(docs, ("score", "predicted"))
+    scored = toxicity.score(rows, model)
+    return scored.where(F.col("text").isNull() | (F.col("predicted") == 0)).select(own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +40,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    judged = decontaminate.contamination(docs, "text", table(spark, sf_dir, "benchmark"))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    rows, own = _aside(docs, (*decontaminate.RESULT.names, "contaminated"))
+    judged = decontaminate.contamination(rows, "text", table(spark, sf_dir, "benchmark"))
+    return judged.where(~F.col("contaminated")).select(own)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by ``<KIND>`` and ``n_chars`` brought in line."""
     length = "n_chars" if "n_chars" in docs.columns else None
-    return pii.mask(docs, "text", length).select(*docs.columns)
+    rows, own = _aside(docs, ("pii",))
+    return pii.mask(rows, "text", length).select(own)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

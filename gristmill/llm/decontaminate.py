@@ -207,7 +207,7 @@ def contamination(
     parts = max(1, -(-total // PATTERN_BYTES))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(parts))
     results = [f.name for f in RESULT.fields] + ["contaminated"]
-    rows = documents.drop(*[c for c in results if c in documents.columns and c != text])
+    rows = documents.drop(*[c for c in documents.columns if c.lower() in results and c != text])
     passes = [f"_pass{k}" for k in range(parts)]
     for k, name in enumerate(passes):
         unused = [text] if k == parts - 1 and not keep_text else []

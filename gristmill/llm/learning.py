@@ -81,7 +81,7 @@ def append(
     """
     shared = df.sparkSession.sparkContext.broadcast(state)
     new = [f.name for f in fields]
-    names = [c for c in df.columns if c not in drop and c not in new]
+    names = [c for c in df.columns if c not in drop and c.lower() not in new]
     schema = T.StructType([*[df.schema[c] for c in names], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
