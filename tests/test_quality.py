@@ -93,3 +93,26 @@ def test_band_limits(spark):
     scores = [(0.9, "easy"), (90.0, "easy"), (0.75, "medium"), (55.0, "hard"), (35.0, "very_hard"), (0.1, "intense"), (250.0, "easy"), (0.0, "intense")]
     got = spark.createDataFrame(scores, "s double, want string").select("want", quality.difficulty_band(F.col("s")).alias("got")).collect()
     assert all(r.want == r.got for r in got)
+
+
+def test_dispersion_of_any_length(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+    groups = {f"g{n}": [[rng.gauss(1, 1) for _ in range(n)] for _ in range(9)] for n in (3, 64, 66)}
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    rows += [("mixed", [1.0, 2.0]), ("mixed", [1.0, 2.0, 3.0]), ("zero", [0.0, 0.0]), ("null", None), ("null", [1.0])]
+    rows += [("hole", [1.0, None]), ("hole", [1.0, 2.0]), ("empty", [])]
+    got = {r.g: (r.row_count, r.dispersion) for r in quality.embedding_dispersion(spark.createDataFrame(rows, "g string, v array<double>"), "g", "v").collect()}
+    for g, vectors in groups.items():
+        centre = [sum(x) / len(vectors) for x in zip(*vectors)]
+        expected = sum(1 - cosine(v, centre) for v in vectors) / len(vectors)
+        assert got[g][0] == 9 and abs(got[g][1] - expected) < 1e-5
+    assert {g: got[g] for g in ("mixed", "zero", "null", "hole", "empty")} == {
+        "mixed": (2, None), "zero": (1, None), "null": (2, None), "hole": (2, None), "empty": (1, None),
+    }

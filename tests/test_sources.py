@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill import session
 from gristmill.operators import process, profile
 from gristmill.sources import readers, tables, writers
 
@@ -124,3 +125,21 @@ def test_snapshot_defaults(spark, tmp_path):
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("dataset_id", "title", "provider")])
     row = readers.read_snapshot(spark, str(tmp_path / "s.json"), schema, {"provider": "local"}).first()
     assert row.provider == "local"
+
+
+def test_no_temporary_checkpoint_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
