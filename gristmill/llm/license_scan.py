@@ -2,12 +2,13 @@
 
 Statements are the lines and the paragraphs (blocks between empty lines) of a file, and the
 whole file. Term weights come from the templates: a term's inverse document frequency over them,
-the largest one for any other word, none for stop words. A file's own licence is the template with the highest cosine
+the largest one for any other word. A file's own licence is the template with the highest cosine
 of at least ``LEAST`` to any of its statements.
 
 Whole texts are searched, but few statements are weighed: from each template the fewest terms are
 taken as anchors without which no statement can reach ``LEAST`` (what the other terms of the
-template weigh is less), so a statement without any anchor is passed over safely.
+template weigh is less), so a statement without any anchor is passed over safely. So is one whose
+cosines stay too low if each unknown word is taken to occur once, which can only raise them.
 
 A directory's licence is that of its first file (by path) that has one and is flagged as
 speaking for its directory. A file without a licence of its own inherits from the nearest
@@ -29,13 +30,14 @@ from pyspark.sql import functions as F
 
 from gristmill.scratch import Scratch
 
-LEAST = 0.75
+LEAST = 0.6
 WORD = "[a-z0-9]+"
 
-# Stop words, which carry no weight, and words that are better no anchors, being frequent in
-# some language or as numbers.
-STOP_WORDS = set("a an and are as at be by for from has he in is it its no not of on or that the this to was with you".split())
-FREQUENT = set("0 2 3 4 mit general public use version work".split())
+# Words of templates by measured frequency in documents; as anchors they would be the costliest.
+FREQUENT = tuple(
+    "in the of and to a is as that it with by this are at or mit under licensed license version 0 3 work general public gnu"
+    " released 4 nc cc 2 apache".split()
+)
 
 # Usual statements of each licence.
 TEMPLATES = (
@@ -77,22 +79,25 @@ class Model:
     """Weights of the templates; its size is that of the templates, whatever the corpus."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST):
-        counts = [Counter(t for t in re.findall(WORD, text.lower()) if t not in STOP_WORDS) for _, text in templates]
+        counts = [Counter(re.findall(WORD, text.lower())) for _, text in templates]
         spread = Counter(term for c in counts for term in c)
         self.least = least
         self.rare = math.log(1 + len(counts)) + 1
         self.idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in sorted(spread.items())}
         self.weights: list[tuple[str, int, str, float]] = []  # term, template, licence, normalized weight
         anchors: set[str] = set()
+        # Cosines are rounded to four digits before they are compared.
+        self.enough = least - 1e-4
+        place = {t: n for n, t in enumerate(FREQUENT)}
         for number, ((name, _), c) in enumerate(zip(templates, counts)):
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items()))
             left = 0.0
             # Any order is safe; frequent words first keeps them from being anchors.
-            for t, n in sorted(c.items(), key=lambda x: (x[0] not in FREQUENT, x[1] * self.idf[x[0]], x[0])):
+            for t, n in sorted(c.items(), key=lambda x: (place.get(x[0], len(place)), x[1] * self.idf[x[0]], x[0])):
                 weight = n * self.idf[t] / norm
                 self.weights.append((t, number, name, weight))
                 left += weight * weight
-                if left >= least * least:
+                if left >= self.enough**2:
                     anchors.add(t)
         self.anchors = sorted(anchors)
 
@@ -104,19 +109,50 @@ def _statements(text: Column) -> Column:
     )
 
 
+def _may_reach(statement: Column, model: Model) -> Column:
+    """Whether a cosine of a statement can be high enough; counts of its known words are exact."""
+    templates = 1 + max(number for _, number, _, _ in model.weights)
+    shares = {t: [0.0] * templates for t in sorted(model.idf)}
+    for t, number, _, weight in model.weights:
+        shares[t][number] = model.idf[t] * weight
+    idf = F.create_map(*[F.lit(x) for t in shares for x in (t, model.idf[t])])
+    share = F.create_map(*[F.lit(x) for t in shares for x in (t, shares[t])])
+
+    def of_words(words: Column) -> Column:
+        known = F.transform(
+            F.array_intersect(words, F.lit(list(shares))),
+            lambda t: F.struct(t.alias("t"), (F.size(words) - F.size(F.array_remove(words, t))).alias("n")),
+        )
+        start = F.struct(F.size(words).alias("other"), F.lit(0.0).alias("square"), F.lit([0.0] * templates).alias("dots"))
+        return F.aggregate(
+            known,
+            start,
+            lambda acc, k: F.struct(
+                (acc["other"] - k["n"]).alias("other"),
+                (acc["square"] + F.pow(k["n"] * idf[k["t"]], F.lit(2.0))).alias("square"),
+                F.zip_with(acc["dots"], share[k["t"]], lambda dot, x: dot + k["n"] * x).alias("dots"),
+            ),
+            lambda acc: F.array_max(acc["dots"])
+            >= model.enough * F.sqrt(acc["square"] + acc["other"] * F.lit(model.rare * model.rare)),
+        )
+
+    # The one-element array binds the words, so that a text is split once.
+    words = F.array(F.array_remove(F.split(statement, "[^a-z0-9]+"), ""))
+    return F.exists(words, of_words)
+
+
 def anchored(text: Column, model: Model) -> Column:
-    """Lowered statements with an anchor; null for a text without any."""
+    """Lowered statements that may reach ``LEAST``; null for a text without any anchor."""
     anchor = "(?:^|[^a-z0-9])(?:" + "|".join(model.anchors) + ")(?:[^a-z0-9]|$)"
     # ASCII capitals only, so that every engine lowers alike.
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(low.rlike(anchor), F.filter(_statements(low), lambda s: s.rlike(anchor)))
+    return F.when(low.rlike(anchor), F.filter(_statements(low), lambda s: s.rlike(anchor) & _may_reach(s, model)))
 
 
 def own_licences(df: DataFrame, key: str, statements: str, model: Model) -> DataFrame:
     """(``key``, own_license, own_similarity) of the rows that have a licence; ``key`` is unique."""
     parts = df.select(key, F.posexplode(statements))
     terms = parts.select(key, "pos", F.explode(F.regexp_extract_all("col", F.lit(WORD), F.lit(0))).alias("term"))
-    terms = terms.where(~F.col("term").isin(*sorted(STOP_WORDS)))
     counted = terms.groupBy(key, "pos", "term").agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
     # Templates are a fixed table of some hundred rows.

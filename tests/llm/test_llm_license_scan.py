@@ -36,7 +36,7 @@ def plain_own(text, model):
     best = None
     text = text or ""
     for part in [*text.split("\n"), *re.split(r"\n[ \t]*\n\s*", text), text]:
-        counts = Counter(t for t in re.findall("[a-z0-9]+", part.lower()) if t not in license_scan.STOP_WORDS)
+        counts = Counter(re.findall("[a-z0-9]+", part.lower()))
         value = {t: n * model.idf.get(t, model.rare) for t, n in counts.items()}
         norm = math.sqrt(sum(v * v for v in value.values()))
         scores: dict = {}
@@ -82,3 +82,26 @@ def test_anchors_lose_nothing(spark):
         best = plain_own(text, model)
         assert (r["own_license"], r["own_similarity"]) == ((best[1], -best[0]) if best else (None, None)), text
         assert r["basis"] == ("own" if best else "none")
+
+
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+GPL_HEAD = """GNU GENERAL PUBLIC LICENSE
+Version 3, 29 June 2007"""
+
+
+def test_licence_file_parts_are_found(spark):
+    got = {r["path"]: r["own_license"] for r in scan(spark, [("a/LICENSE", MIT_BODY), ("b/LICENSE", GPL_HEAD)]).collect()}
+    assert got == {"a/LICENSE": "mit", "b/LICENSE": "gpl-3.0"}
+    assert license_scan.LEAST == 0.6
+
+
+def test_only_statements_that_may_reach_are_kept(spark):
+    prose = "in the of and to a is as that it with by this are at or " + "word " * 200
+    df = spark.createDataFrame([(f"{prose}\n{MIT}\n{prose}",), (prose,)], "text string")
+    kept = df.select(license_scan.anchored(F.col("text"), license_scan.Model()).alias("s")).collect()
+    assert [r["s"] for r in kept] == [[MIT.lower()], []]
