@@ -1,13 +1,14 @@
 """Toxicity by a character n-gram linear classifier on naive Bayes log-count ratios.
 
-Features are the n-grams of 3 to 5 characters inside words (word ends marked, capitals lowered),
-hashed into 2**18 buckets and taken as present or absent. A bucket's ratio is the logarithm of
+Features are the n-grams of 3 to 10 characters inside words (word ends marked, capitals lowered),
+hashed into 2**21 buckets and taken as present or absent. A bucket's ratio is the logarithm of
 its smoothed frequency in toxic over that in other training texts, drawn towards 0; a text's
 features are these ratios, scaled to the text's number of known buckets. A logistic model is trained on them by
-numpy gradient descent with per-weight steps. Every text is scored whole.
+numpy gradient descent with per-weight steps. The model lists known buckets only, by number. Every
+text is scored whole.
 
 Defined results: a null, empty or unknown text gets the score of the bias alone (0.5 without any
-training row); very long texts take one bit per bucket; repeated rows get equal scores.
+training row); very long texts take one byte per bucket; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import types as T
 
 from gristmill.llm import learning, ngrams
 
-BUCKETS = 1 << 18
-SIZES = range(3, 6)
+BUCKETS = 1 << 21
+# Words that mark toxic texts may share their first 5 to 7 characters with clean ones.
+SIZES = range(3, 11)
 SMOOTHING = 0.5
 # Buckets seen in fewer training texts are not used.
 LEAST_TEXTS = 3
@@ -42,16 +44,20 @@ def present(texts: list[bytes | None]) -> list[np.ndarray]:
     seen = np.zeros(BUCKETS, dtype=bool)
     out = []
     for i in range(len(texts)):
-        for cut, bucket in parts:
-            seen[bucket[cut[i] : cut[i + 1]]] = True
-        found = np.flatnonzero(seen)
-        seen[found] = False
+        found = np.concatenate([np.empty(0, np.int64), *(bucket[cut[i] : cut[i + 1]] for cut, bucket in parts)])
+        if len(found) < BUCKETS >> 6:
+            found = np.sort(found)
+            found = found[np.diff(found, prepend=-1) > 0]
+        else:
+            seen[found] = True
+            found = np.flatnonzero(seen)
+            seen[found] = False
         out.append(found)
     return out
 
 
 def train(features: list[np.ndarray], labels: np.ndarray) -> bytes:
-    """bias, then per bucket (ratio x weight, known) as float32."""
+    """bias as float32, then the known buckets as int32, then their ratio x weight as float32."""
     counts = np.full((2, BUCKETS), SMOOTHING)
     for x, label in zip(features, labels):
         counts[label, x] += 1
@@ -74,14 +80,30 @@ def train(features: list[np.ndarray], labels: np.ndarray) -> bytes:
             weight[at] -= STEP * slope / np.sqrt(moved[at])
             bias_moved += error * error
             bias -= STEP * error / np.sqrt(bias_moved)
-    return np.concatenate([[bias], ratio * weight, known]).astype(np.float32).tobytes()
+    buckets = np.flatnonzero(known)
+    values = (ratio * weight)[buckets].astype(np.float32)
+    return np.float32(bias).tobytes() + buckets.astype(np.int32).tobytes() + values.tobytes()
 
 
 def _score(model: bytes, texts: list[bytes | None]) -> list[np.ndarray]:
-    values = np.frombuffer(model, dtype=np.float32)
-    weight, known = values[1 : BUCKETS + 1], values[BUCKETS + 1 :]
-    sums = np.array([[weight[x].sum(), known[x].sum()] for x in present(texts)], dtype=np.float64).reshape(-1, 2)
-    score = learning.sigmoid(sums[:, 0] / np.sqrt(np.maximum(sums[:, 1], 1)) + float(values[0]))
+    bias, n = float(np.frombuffer(model, np.float32, 1)[0]), (len(model) - 4) // 8
+    # Slot 0 stands for all unknown buckets.
+    slot = np.zeros(BUCKETS, dtype=np.int32)
+    slot[np.frombuffer(model, np.int32, n, 4)] = np.arange(1, n + 1, dtype=np.int32)
+    weight = np.concatenate([np.zeros(1, np.float32), np.frombuffer(model, np.float32, n, 4 + 4 * n)])
+    points, first = ngrams.code_points(texts)
+    rows, slots = [], []
+    for _, place, bucket in ngrams.character_ngrams(ngrams.lowered(points), SIZES, BUCKETS):
+        found = slot[bucket]
+        at = np.flatnonzero(found)
+        rows.append(np.searchsorted(first, place[at], side="right") - 1)
+        slots.append(found[at].astype(np.int64))
+    # Every known bucket of a text once.
+    pairs = np.unique(np.concatenate([np.empty(0, np.int64), *(r * (n + 1) + k for r, k in zip(rows, slots))]))
+    row = pairs // (n + 1)
+    sums = np.bincount(row, weight[pairs % (n + 1)], minlength=len(texts))[: len(texts)]
+    known = np.bincount(row, minlength=len(texts))[: len(texts)]
+    score = learning.sigmoid(sums / np.sqrt(np.maximum(known, 1)) + bias)
     return [score, (score >= 0.5).astype(np.int32)]
 
 
@@ -94,7 +116,7 @@ def fit(
     label: str = "toxic",
     sample: int = SAMPLE,
 ) -> bytes:
-    """Model of about 2 MB, whatever the input, from at most ``sample`` labelled texts."""
+    """Model of at most 16 MB, whatever the input, from at most ``sample`` labelled texts."""
     rows = learning.labelled_sample(documents, labels, row_id, text, label, sample, learn)
     return learning.fit(rows, present, train)
 

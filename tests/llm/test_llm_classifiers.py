@@ -68,8 +68,7 @@ def test_sample_is_bounded_and_repeatable(spark):
 
 @pytest.mark.parametrize(
     "name, label, least, rare_least, majority",
-    # Words that mark toxic documents in other languages are made of syllables that clean ones have too.
-    [("op2_toxicity", "toxic", 0.94, 0.55, 0), ("op4_quality_classifier", "quality", 0.97, 0.9, 1)],
+    [("op2_toxicity", "toxic", 0.97, 0.85, 0), ("op4_quality_classifier", "quality", 0.97, 0.9, 1)],
 )
 def test_held_out_accuracy(spark, name, label, least, rare_least, majority):
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
@@ -81,3 +80,16 @@ def test_held_out_accuracy(spark, name, label, least, rare_least, majority):
     assert right[rare].mean() >= rare_least
     assert right[~rare].mean() >= 0.99
     assert np.isfinite(scored["score"]).all()
+
+
+def test_sparse_scores_are_those_of_present_buckets():
+    texts = [b"plain words here", b"awful dreadful words", b"x" * 50_000, b"awful awful words", None] * 4
+    labels = np.array([0, 1, 0, 1, 0] * 4)
+    features = toxicity.present(texts)
+    model = toxicity.train(features, labels)
+    n = (len(model) - 4) // 8
+    known = dict(zip(np.frombuffer(model, np.int32, n, 4).tolist(), np.frombuffer(model, np.float32, n, 4 + 4 * n).tolist()))
+    bias = float(np.frombuffer(model, np.float32, 1)[0])
+    for x, got in zip(features, toxicity._score(model, texts)[0]):
+        own = [known[b] for b in x.tolist() if b in known]
+        assert got == pytest.approx(1 / (1 + np.exp(-(sum(own) / max(1, len(own)) ** 0.5 + bias))))
