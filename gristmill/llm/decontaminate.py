@@ -13,7 +13,7 @@ The scan runs in lockstep over many short stretches of a chunk's words, so that
 advances all of them. Texts are read once, in place, and never shuffled.
 
 Defined results: null and word-free texts have no words and no hits; null and word-free items
-have no patterns; repeated document rows are judged one by one; equal windows of several items
+have no patterns; items without an id are searched for, but count in the hit words only; repeated document rows are judged one by one; equal windows of several items
 count for each item; ids of repeated items count once.
 """
 
@@ -67,7 +67,7 @@ def _slot(block_hash: np.ndarray) -> np.ndarray:
     return (block_hash >> np.uint64(64 - SHIFT_BITS)).astype(np.int64)
 
 
-def build_patterns(items: list[tuple[str, bytes | None]], window: int = WINDOW) -> list[Patterns]:
+def build_patterns(items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> list[Patterns]:
     """Tables for the items' windows; ``items`` are (id, text) pairs."""
     by_length: dict[int, dict[bytes, tuple[np.ndarray, set[int]]]] = {}
     w = textbatch.words([text for _, text in items])
@@ -130,7 +130,7 @@ def search(w: textbatch.Words, patterns: Patterns) -> tuple[np.ndarray, np.ndarr
     return np.array(at, dtype=np.int64), np.array(which, dtype=np.int64)
 
 
-def judge(texts: list[bytes | None], ids: list[str], tables: list[Patterns]) -> Iterator[dict]:
+def judge(texts: list[bytes | None], ids: list[str | None], tables: list[Patterns]) -> Iterator[dict]:
     """One result per text: words, hit words, ids of the occurring items, spans of hit words."""
     for _, part in textbatch.chunks(texts):
         w = textbatch.words(part)
@@ -149,7 +149,7 @@ def judge(texts: list[bytes | None], ids: list[str], tables: list[Patterns]) ->
             if row in found:
                 marks = np.flatnonzero(np.diff(np.concatenate([[0], hit[first : first + n].astype(np.int8), [0]])))
                 spans = marks.reshape(-1, 2).tolist()
-            names = sorted({ids[k] for k in found.get(row, ())})
+            names = sorted({ids[k] for k in found.get(row, ()) if ids[k] is not None})
             yield {
                 "n_words": n,
                 "n_hit": sum(b - a for a, b in spans),
@@ -161,7 +161,7 @@ def judge(texts: list[bytes | None], ids: list[str], tables: list[Patterns]) ->
 
 def _search_pass(df: DataFrame, text: str, out: str, items: list[Row], window: int, drop: list[str]) -> DataFrame:
     """Adds the judgement of every row against ``items`` as the struct column ``out``."""
-    pairs = [(str(r["id"]), r["text"].encode() if r["text"] is not None else None) for r in items]
+    pairs = [(None if r["id"] is None else str(r["id"]), r["text"].encode() if r["text"] is not None else None) for r in items]
     shared = df.sparkSession.sparkContext.broadcast(pairs)
     names = [c for c in df.columns if c not in drop]
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField(out, RESULT)])
@@ -199,7 +199,7 @@ def contamination(
     scratch = Scratch(documents.sparkSession, "decontaminate")
     items = scratch.keep(
         benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
-        .where("id IS NOT NULL AND text IS NOT NULL")
+        .where("text IS NOT NULL")
         .dropDuplicates(),
         "items",
     )

@@ -60,3 +60,11 @@ def test_odd_rows(spark):
     assert found[6][1] == 0
     assert run(spark, ["some text here"], []) == {0: (3, 0, 0, [])}
     assert run(spark, [], items) == {}
+
+
+@pytest.mark.parametrize("pattern_bytes", [1 << 20, 30])
+def test_passage_that_only_an_item_without_id_holds(spark, monkeypatch, pattern_bytes):
+    monkeypatch.setattr(decontaminate, "PATTERN_BYTES", pattern_bytes)
+    passage, other = (" ".join(f"{w}{i}" for i in range(12)) for w in ("word", "other"))
+    found = run(spark, [f"x {passage} y", f"{passage} {other}", "x y"], [(None, passage), (7, other)])
+    assert found == {0: (14, 12, 0, []), 1: (24, 24, 1, ["7"]), 2: (2, 0, 0, [])}
