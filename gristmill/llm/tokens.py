@@ -13,7 +13,7 @@ import numpy as np
 UNUSUAL = re.compile("[^\\x00-\\u036f\\u0391-\\u03a1\\u03a3-\\u0481\\u1e00-\\u1eff\\u2000-\\u205e\\u3041-\\u3096\\u4e00-\\u9fa5]")
 
 
-def _byte_characters() -> dict[str, int]:
+def byte_characters() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     printable = set(chain(range(33, 127), range(161, 173), range(174, 256)))
     rest = [b for b in range(256) if b not in printable]
@@ -21,20 +21,23 @@ def _byte_characters() -> dict[str, int]:
 
 
 class Encoder:
-    """Encodes texts; strings of special tokens in a text are ordinary text.
+    """Encodes texts as the library does by default: strings of special tokens become their ids.
 
     A byte-level file whose ids follow its merges is run by ``tiktoken``, which gives the same
-    ids several times faster; anything else, and texts with unusual characters, by ``tokenizers``.
+    ids several times faster; anything else, and texts with unusual characters or with strings
+    of added tokens, by ``tokenizers``.
     """
 
     def __init__(self, path: str, end_id: int | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.end = [] if end_id is None else [end_id]
         with open(path, encoding="utf-8") as f:
-            self.fast = self._fast(json.load(f))
+            spec = json.load(f)
+        self.fast = self._fast(spec)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        self.slow = re.compile("|".join([UNUSUAL.pattern, *added]))
 
     @staticmethod
     def _fast(spec: dict):
@@ -49,7 +52,7 @@ class Encoder:
         vocabulary = model["vocab"]
         if any(vocabulary.get(m) != 256 + k for k, m in enumerate(merged)):
             return None
-        as_byte = _byte_characters()
+        as_byte = byte_characters()
         special = {t["content"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(as_byte[c] for c in t): i for t, i in vocabulary.items() if t not in special}
         return tiktoken.Encoding(
@@ -58,7 +61,7 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         """Ids of the whole text and the end id, as uint32."""
-        if self.fast is None or UNUSUAL.search(text):
+        if self.fast is None or self.slow.search(text):
             ids = self.library.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
