@@ -139,3 +139,46 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
+
+
+def spelling() -> str:
+    """Words by plain counting, crc32 bit by bit from its polynomial, neighbours by deleted letters."""
+    octet = "list_reduce([b] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    table = f"[{octet} for b in range(256)]"
+    octets = (
+        "flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]"
+        " ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64]::BIGINT[] END for c in string_split(doc_id || ':' || run, '')])"
+    )
+    return f"""
+WITH RECURSIVE occurrences AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run
+  FROM documents),
+runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS k FROM occurrences WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS MATERIALIZED (
+  SELECT run, k, xor(list_reduce([4294967295::BIGINT] || {octets},
+    lambda c, b: xor(list_extract(t, CAST(xor(c, b) & 255 AS BIGINT) + 1), c >> 8)), 4294967295) AS h
+  FROM runs, (SELECT {table} AS t)),
+slipped AS (
+  SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+    ELSE run END AS word FROM hashed),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+shorter AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+pairs AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.rest = w.word),
+ranked AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+    row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM pairs),
+judged AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form,
+    CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+steps AS (
+  SELECT word, word AS root FROM judged
+  UNION ALL SELECT s.word, j.form FROM steps s JOIN judged j ON j.word = s.root WHERE j.form IS NOT NULL)
+SELECT j.word, j.form, s.root, j.n, j.n_near, j.form_n
+FROM judged j JOIN steps s ON s.word = j.word JOIN judged e ON e.word = s.root AND e.form IS NULL
+"""

@@ -15,6 +15,9 @@ from gristmill.llm import (
     oracles,
     pii,
     quality,
+    repetitions,
+    spelling,
+    token_count,
     token_output,
     toxicity,
     vector_search,
@@ -131,3 +134,25 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings")
     return vector_search.top_k(embeddings, F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op11_spelling_variants", oracles.spelling())
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), plant=True)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetitions.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+def word_tokenizer() -> str:
+    """Place of the public tokenizer file whose tokens are counted; every worker has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), word_tokenizer())
