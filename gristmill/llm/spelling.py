@@ -67,29 +67,36 @@ def word_counts(
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Both directions of each word: letters, half, and for its prefixes their names and what follows."""
     for batch in batches:
-        columns: list[list] = [[] for _ in range(7)]
-        for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-            half = len(word) // 2
-            for backward, letters, first in ((0, word, half), (1, word[::-1], len(word) - half)):
-                codes = np.frombuffer(letters.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-                powers = np.full(len(codes), _BASE, dtype=np.uint64)
-                names = np.cumsum(mix(codes + _U(backward << 32)) * np.cumprod(powers, dtype=np.uint64), dtype=np.uint64)
-                # From the least place where a word of this vocabulary can begin to differ.
-                own = mix(names[SHORTEST - 1 :]).view(np.int64)
-                follows = np.append(codes[SHORTEST:], _U(0)).astype(np.int32)
-                for column, value in zip(columns, (word, n, backward == 1, letters, first, own, follows)):
-                    column.append(value)
+        words = batch.column("word").to_pylist()
+        letters = words + [w[::-1] for w in words]
+        size = np.array([len(w) for w in letters], dtype=np.int64)
+        half = size // 2
+        half[len(words) :] = size[len(words) :] - half[len(words) :]
+        backward = np.arange(len(letters)) >= len(words)
+        codes = np.frombuffer("".join(letters).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        first = np.cumsum(size) - size
+        at = np.arange(len(codes)) - np.repeat(first, size)
+        powers = np.cumprod(np.full(int(size.max(initial=1)), _BASE, dtype=np.uint64), dtype=np.uint64)
+        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        marked = codes + (np.repeat(backward, size).astype(np.uint64) << _U(32))
+        np.cumsum(mix(marked) * powers[at], dtype=np.uint64, out=sums[1:])
+        # From the least place where a word of this vocabulary can begin to differ.
+        kept = at >= SHORTEST - 1
+        names = mix(sums[1:] - np.repeat(sums[first], size))[kept].view(np.int64)
+        last = at == np.repeat(size, size) - 1
+        follows = np.where(last, 0, np.append(codes[1:], _U(0)))[kept].astype(np.int32)
+        cuts = pa.array(np.concatenate([[0], np.cumsum(size - SHORTEST + 1)]), pa.int32())
+        n = batch.column("n").to_numpy()
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(columns[0], pa.string()),
-                pa.array(columns[1], pa.int64()),
-                pa.array(columns[2], pa.bool_()),
-                pa.array(columns[3], pa.string()),
-                pa.array(columns[4], pa.int32()),
-                pa.array(columns[5], pa.list_(pa.int64())),
-                pa.array(columns[6], pa.list_(pa.int32())),
+                pa.array(words + words, pa.string()),
+                pa.array(np.concatenate([n, n]), pa.int64()),
+                pa.array(letters, pa.string()),
+                pa.array(half, pa.int32()),
+                pa.ListArray.from_arrays(cuts, pa.array(names, pa.int64())),
+                pa.ListArray.from_arrays(cuts, pa.array(follows, pa.int32())),
             ],
-            ["word", "n", "backward", "letters", "half", "node", "follows"],
+            ["word", "n", "letters", "half", "node", "follows"],
         )
 
 
@@ -99,7 +106,7 @@ class Trie:
     def __init__(self, words: DataFrame, scratch: Scratch):
         both = words.select("word", "n").mapInArrow(
             _prefixes,
-            "word string, n bigint, backward boolean, letters string, half int, node array<bigint>, follows array<int>",
+            "word string, n bigint, letters string, half int, node array<bigint>, follows array<int>",
         )
         strings = scratch.keep(both.withColumn("string", F.monotonically_increasing_id()), "strings")
         # Narrow rows: a word has as many prefixes as letters. What follows a whole word is 0.
@@ -123,22 +130,28 @@ class Trie:
             F.when(F.col("e.child").isNull(), F.col("word")).alias("near"),
             F.when(F.col("e.child").isNull(), F.col("n")).alias("near_n"),
         )
-        self.edges = scratch.keep(edges.distinct(), "edges")
+        edges = scratch.keep(edges.distinct(), "edges")
+        # The letters that go on from a node, as many as the alphabet has at most: a state that has
+        # its edit is of use only where its next letter does, or a word ends with it.
+        onward = F.array_join(F.collect_set(F.substr("label", F.lit(1), F.lit(1))), "")
+        ends = F.max(F.col("label") == "")
+        beyond = edges.groupBy(F.col("node").alias("child")).agg(onward.alias("onward"), ends.alias("ends"))
+        self.edges = scratch.keep(edges.join(beyond, "child", "left"), "edges-onward")
         first = F.expr("get(filter(path, x -> x.depth >= half), 0)")
-        here = partings.select("word", "backward", "letters", "half", first.alias("p")).where("p is not null")
+        here = partings.select("word", "letters", "half", first.alias("p")).where("p is not null")
         state = "named_struct('position', {0}, 'edits', {1})"
         starts = F.expr(
             f"concat(array({state.format('p.depth', 0)}),"
             f" if(p.depth > half, array({state.format('p.depth - 1', 1)}), array()),"
             f" if(p.depth > half and p.depth < length(letters), array({state.format('p.depth + 1', 1)}), array()))"
         )
-        self.starts = here.select(
-            "word", "backward", "letters", F.col("p.node").alias("node"), F.explode(starts).alias("s")
-        ).select("word", "backward", "letters", "node", "s.position", "s.edits")
+        self.starts = here.select("word", "letters", F.col("p.node").alias("node"), F.explode(starts).alias("s")).select(
+            "word", "letters", "node", "s.position", "s.edits"
+        )
 
 
 def _advanced() -> Column:
-    """(position, edits) after an edge's letters, for each number of edits that fits."""
+    """(position, edits) after an edge's letters, null for each way to go that they don't fit."""
     length = F.length("label")
     same = F.substr("letters", F.col("position") + 1, length) == F.col("label")
     outcome = lambda position, edits: F.struct(position.cast("int").alias("position"), F.lit(edits).alias("edits"))
@@ -153,7 +166,16 @@ def _advanced() -> Column:
         )
         edited.append(F.when(one, outcome(end, 1)))
     second = F.when(same, outcome(F.col("position") + length, 1))
-    return F.filter(F.when(F.col("edits") == 1, F.array(second)).otherwise(F.array(exact, *edited)), lambda x: x.isNotNull())
+    return F.when(F.col("edits") == 1, F.array(second)).otherwise(F.array(exact, *edited))
+
+
+def _useful() -> Column:
+    """Whether a state is a neighbour or can still become one."""
+    over = F.col("position") == F.length("letters")
+    further = F.contains("onward", F.substr("letters", F.col("position") + 1, F.lit(1)))
+    return F.when(F.col("node").isNull(), over & (F.col("edits") == 1)).otherwise(
+        (F.col("edits") == 0) | F.when(over, F.col("ends")).otherwise(further)
+    )
 
 
 def neighbours(words: DataFrame, scratch: Scratch) -> DataFrame:
@@ -164,9 +186,10 @@ def neighbours(words: DataFrame, scratch: Scratch) -> DataFrame:
     while not states.isEmpty():
         moved = (
             states.join(trie.edges, "node")
-            .select("word", "backward", "letters", "child", "near", "near_n", F.explode(_advanced()).alias("s"))
-            .select("word", "backward", "letters", F.col("child").alias("node"), "near", "near_n", "s.position", "s.edits")
-            .where("node is not null or (position = length(letters) and edits = 1)")
+            .select("word", "letters", "child", "near", "near_n", "onward", "ends", F.explode(_advanced()).alias("s"))
+            .select("word", "letters", F.col("child").alias("node"), "near", "near_n", "onward", "ends", "s.position", "s.edits")
+            .where(F.col("position").isNotNull() & _useful())
+            .drop("onward", "ends")
         )
         level += 1
         states = scratch.keep(moved, f"states-{level}")
