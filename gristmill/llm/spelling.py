@@ -136,7 +136,10 @@ class Trie:
         onward = F.array_join(F.collect_set(F.substr("label", F.lit(1), F.lit(1))), "")
         ends = F.max(F.col("label") == "")
         beyond = edges.groupBy(F.col("node").alias("child")).agg(onward.alias("onward"), ends.alias("ends"))
-        self.edges = scratch.keep(edges.join(beyond, "child", "left"), "edges-onward")
+        # Leaves lead nowhere and stay out of the join, where they would be one key.
+        leaves = edges.where("child is null").select("*", F.lit(None).cast("string").alias("onward"), F.lit(None).cast("boolean").alias("ends"))
+        inner = edges.where("child is not null").join(beyond, "child")
+        self.edges = scratch.keep(inner.unionByName(leaves), "edges-onward")
         first = F.expr("get(filter(path, x -> x.depth >= half), 0)")
         here = partings.select("word", "letters", "half", first.alias("p")).where("p is not null")
         state = "named_struct('position', {0}, 'edits', {1})"
