@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators import profile, quality, reports
+from gristmill.scratch import Scratch
 from gristmill.session import durable
 
 DEFAULT_GATES = {"license": "USER_PROVIDED", "pii": "NOT_EVALUATED", "critical_toxicity": "NOT_EVALUATED"}
@@ -74,10 +75,10 @@ def process_collection(
 ) -> dict[str, DataFrame]:
     """Normalized rows, column profile, facts and report texts of every dataset in ``raw``.
 
-    The normalized rows feed several aggregations and are therefore kept; call
-    ``unpersist`` on ``normalized`` when done.
+    The normalized rows feed several aggregations and are therefore written once, in the shared
+    folder.
     """
-    rows = profile.normalize(raw).persist()
+    rows = Scratch(raw.sparkSession, "process").keep(profile.normalize(raw), "normalized")
     facts = dataset_facts(rows, dataset, quality_profile, language)
     gates = {k: F.lit(v) for k, v in DEFAULT_GATES.items()}
     return {

@@ -104,16 +104,22 @@ def row_measures(layout: Layout) -> list[Column]:
 def metrics_from_measures(
     measures: DataFrame,
     dataset: str,
-    layout: Layout,
+    layout: Layout | None,
     key_set: str | None = None,
     row_id: str | None = None,
     scorers: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Dimensions from rows that carry ``row_measures``; see ``quality_metrics``."""
+    """Dimensions from rows that carry ``row_measures``; see ``quality_metrics``.
+
+    Without a layout each row also carries its number of values (``_values``) and its dataset's
+    structure (``_kind``) and base compatibility (``_base``).
+    """
     scorers = dict(scorers or {})
+    given = {"_kind": "kind", "_base": "base"} if layout is None else {}
     keys = F.sha2(F.col(key_set).cast("string"), 256) if key_set else F.lit("")
     rows = measures.withColumn("_keys", keys).withColumn("_row", F.col(row_id) if row_id else F.lit(0))
-    sums = ["n", "complete", "clean", "readable", "over", *[f"own_{d}" for d in scorers]]
+    sums = ["n", "complete", "clean", "readable", "over", *[f"own_{d}" for d in scorers], *(["values"] if given else [])]
+    carried = [F.max(c).alias(c) for c in given.values()]
     # First by (dataset, text, field set): a dataset holding most of the rows spreads over its texts.
     grouped = rows.groupBy(dataset, "_text_key", "_keys").agg(
         F.count(F.lit(1)).alias("n"),
@@ -124,6 +130,8 @@ def metrics_from_measures(
         F.sum((tx.approx_tokens(F.col("_words")) > MAX_TOKENS).cast("long")).alias("over"),
         F.max("_words").alias("max_words"),
         *[F.sum(c).alias(f"own_{d}") for d, c in scorers.items()],
+        *([F.sum("_values").alias("values")] if given else []),
+        *[F.max(c).alias(a) for c, a in given.items()],
     )
     if key_set:
         by_keys = grouped.groupBy(dataset, "_keys").agg(
@@ -132,25 +140,30 @@ def metrics_from_measures(
         same_keys = by_keys.groupBy(dataset).agg(F.min_by("n", "first_row").alias("same_keys"))
         # A text seen under two field sets is still one text.
         grouped = grouped.groupBy(dataset, "_text_key").agg(
-            *[F.sum(c).alias(c) for c in sums], F.max("max_words").alias("max_words")
+            *[F.sum(c).alias(c) for c in sums], F.max("max_words").alias("max_words"), *carried
         )
     totals = grouped.groupBy(dataset).agg(
         *[F.sum(c).alias(c) for c in sums],
         F.count(F.lit(1)).alias("texts"),
         F.max("max_words").alias("max_words"),
+        *carried,
     )
     totals = totals.join(same_keys, dataset) if key_set else totals.withColumn("same_keys", F.col("n"))
     n = F.col("n")
+    if layout is None:
+        values, base, structured = F.col("values"), F.col("base"), F.col("kind") != "none"
+    else:
+        values = n * F.lit(len(layout.columns))
+        base, structured = F.lit(BASE_COMPATIBILITY[layout.kind]), F.lit(bool(layout.fields))
     raw = {
         "completeness": F.col("complete") / n,
         "consistency": F.col("same_keys") / n,
         "diversity": F.col("texts") / n,
         "duplicate_ratio": F.col("texts") / n,
-        "formatting": F.col("clean") / (n * F.lit(len(layout.columns))),
-        "readability": F.col("readable") / n if layout.fields else F.lit(0.0),
-        "model_compatibility": F.greatest(
-            F.lit(0.0), F.lit(BASE_COMPATIBILITY[layout.kind]) * (1 - F.col("over") / n)
-        ),
+        # Rows without any value have nothing well formatted.
+        "formatting": F.coalesce(F.try_divide(F.col("clean"), values), F.lit(0.0)),
+        "readability": F.when(structured, F.col("readable") / n).otherwise(F.lit(0.0)),
+        "model_compatibility": F.greatest(F.lit(0.0), base * (1 - F.col("over") / n)),
     }
     raw.update({d: F.col(f"own_{d}") / n for d in scorers})
     unrounded = totals.select(

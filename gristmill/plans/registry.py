@@ -27,6 +27,7 @@ PLAN_MODULES = (
     "response_plans",
     "export_plans",
     "stream_plans",
+    "json_plans",
 )
 
 
