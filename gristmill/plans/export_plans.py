@@ -153,7 +153,6 @@ def package_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "package")
     frames = process.process_collection(table(spark, sf_dir, "documents"), "source", language="lang")
     stored = spark.read.json(writers.package(frames, path, "run-1"))
-    frames["normalized"].unpersist()
     again = writers.artifact_checksums(spark, path).select("artifact", F.col("sha256").alias("now"))
     broken = stored.join(again, "artifact", "full").agg(F.count_if(~F.col("sha256").eqNullSafe(F.col("now")))).scalar()
     rows = spark.read.json(f"{path}/normalized_dataset").groupBy(F.col("source").alias("name")).agg(

@@ -12,11 +12,15 @@ from gristmill.session import ensure_checkpoint_dir
 from gristmill.streaming import jobs
 from gristmill.streaming.machines import CircuitBreaker, RepeatWindow, TokenBucket
 from gristmill.streaming.ordered_scan import ordered_scan
+from gristmill.streaming.ordered_stream import OrderedStream
 
 # Events are sparse, so limits are scaled to them: three tokens, one back every six hours.
 BUCKET = TokenBucket(capacity=3, token_us=6 * 3600 * 1_000_000)
 REPEATS = RepeatWindow(ttl_us=12 * 3600 * 1_000_000)
 BREAKER = CircuitBreaker(threshold=3, cooldown_us=24 * 3600 * 1_000_000)
+LATE_US = 24 * 3600 * 1_000_000
+LOADS = 4
+FILES_PER_LOAD = 2
 SESSION_GAP_US = 6 * 3600 * 1_000_000
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -29,6 +33,28 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of loads in which they arrive up to 20 hours late, a load a trigger."""
+    landing = _folder(spark, "landed")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(20 * 3600)) * 1_000_000
+    events = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    events = events.withColumn("_arrival", F.unix_micros("ts") + late)
+    first, last = events.agg(F.min("_arrival"), F.max("_arrival")).first()
+    load = F.least(F.floor((F.col("_arrival") - first) / ((last - first) / LOADS)), F.lit(LOADS - 1))
+    for number in range(LOADS):
+        part = events.where(load == number).drop("_arrival").repartition(FILES_PER_LOAD)
+        part.write.mode("append").parquet(landing)
+    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", FILES_PER_LOAD).parquet(landing)
+
+
+def _ordered(spark: SparkSession, stream: DataFrame, key: str, rule, flag: str | None = None) -> DataFrame:
+    """Codes of all events of a stream that ends."""
+    run = OrderedStream(spark, _folder(spark, "ordered"), key, "ts", "event_id", rule, LATE_US, flag)
+    run.run(stream, _folder(spark, "ordered-progress"))
+    run.finish(spark.createDataFrame([], stream.schema))
+    return run.outcome(stream.schema)
+
+
 _NUMBERED_SQL = """
   e AS (SELECT event_id, {key} AS k, epoch_us(ts) AS t, event_type <> 'error' AS ok,
     row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events)"""
@@ -66,8 +92,19 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rate_limit_stream", RATE_SQL)
 def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = jobs.keyed_stream(_event_stream(spark, sf_dir), "user_id", "ts", "event_id", BUCKET)
-    return jobs.run_to_files(stream, _folder(spark, "rate"), _folder(spark, "rate-state")).drop("ts")
+    return _ordered(spark, _landed(spark, sf_dir), "user_id", BUCKET).drop("ts")
+
+
+@query(
+    "rate_limit_released_stream",
+    f"""SELECT r.* FROM ({RATE_SQL}) r JOIN events USING (event_id)
+    WHERE epoch_us(ts) < (SELECT epoch_us(max(ts)) // 1000 * 1000 - {LATE_US} FROM events)""",
+)
+def rate_limit_released_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that the watermark, one day behind the newest event, has released from their keys' state."""
+    with jobs.rocksdb_state(spark):
+        stream = jobs.released_stream(_landed(spark, sf_dir), "user_id", "ts", "event_id", BUCKET, "1 day")
+        return jobs.run_to_files(stream, _folder(spark, "released"), _folder(spark, "released-state")).drop("ts")
 
 
 @query("ttl_dedup", REPEAT_SQL)
@@ -78,9 +115,8 @@ def ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ttl_dedup_stream", REPEAT_SQL)
 def ttl_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = _event_stream(spark, sf_dir).withColumn("key", F.concat_ws(":", "event_type", "user_id"))
-    stream = jobs.keyed_stream(keyed, "key", "ts", "event_id", REPEATS)
-    return jobs.run_to_files(stream, _folder(spark, "ttl"), _folder(spark, "ttl-state")).select("event_id", "code")
+    keyed = _landed(spark, sf_dir).withColumn("key", F.concat_ws(":", "event_type", "user_id"))
+    return _ordered(spark, keyed, "key", REPEATS).select("event_id", "code")
 
 
 @query("circuit_breaker", BREAKER_SQL)
@@ -93,11 +129,10 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("circuit_breaker_stream", BREAKER_SQL)
 def circuit_breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _event_stream(spark, sf_dir).select(
+    calls = _landed(spark, sf_dir).select(
         "event_id", "ts", (F.col("user_id") % 50).alias("provider"), (F.col("event_type") != "error").alias("ok")
     )
-    stream = jobs.keyed_stream(calls, "provider", "ts", "event_id", BREAKER, "ok")
-    return jobs.run_to_files(stream, _folder(spark, "breaker"), _folder(spark, "breaker-state")).drop("ts")
+    return _ordered(spark, calls, "provider", BREAKER, "ok").drop("ts")
 
 
 _SESSION_SQL = f"""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gristmill.operators import profile
@@ -62,6 +63,96 @@ def keyed_stream(
     )
 
 
+def _outcomes(key, events: list[tuple], codes: list[int]) -> pd.DataFrame:
+    """Columns of plain objects: texts of the library's own type don't fit into a struct."""
+    return pd.DataFrame(
+        {
+            "event": pd.Series([e[1] for e in events], dtype=object),
+            "entity": pd.Series([key] * len(events), dtype=object),
+            "micros": pd.Series([e[0] for e in events], dtype="int64"),
+            "code": pd.Series(codes, dtype="int64"),
+        }
+    )
+
+
+class _Released(StatefulProcessor):
+    """Buffers the events of a key and runs the rule over them once the watermark has passed them."""
+
+    def __init__(self, rule, id_type: str, key_type: str):
+        self.rule, self.id_type, self.key_type = rule, id_type, key_type
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", STATE_SCHEMA)
+        self.waiting = handle.getListState("waiting", f"micros bigint, event {self.id_type}, flag boolean")
+
+    def _wake(self, first_us: int, now_ms: int) -> None:
+        """One timer a key, for its earliest waiting event."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(first_us // 1000 + 1, now_ms + 1))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N803
+        arrived = []
+        for batch in rows:
+            arrived += list(zip(batch["micros"].tolist(), batch["event"].tolist(), batch["flag"].tolist()))
+        if arrived:
+            self.waiting.appendList(arrived)
+            waiting = [e[0] for e in self.waiting.get()]
+            self._wake(min(waiting), timerValues.getCurrentWatermarkInMs())
+        yield _outcomes(key[0], [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted(tuple(e) for e in self.waiting.get())
+        ready = [e for e in events if e[0] < mark]
+        rest = events[len(ready) :]
+        current = tuple(self.state.get()) if self.state.exists() else START
+        codes = []
+        for t, _, flag in ready:
+            current, code = self.rule.step(current, int(t), bool(flag))
+            codes.append(code)
+        # A past time with an empty counter means the same as no state.
+        if current[1] == 0 and current[0] <= mark and not rest:
+            self.state.clear()
+        else:
+            self.state.update(current)
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0], timerValues.getCurrentWatermarkInMs())
+        else:
+            self.waiting.clear()
+        yield _outcomes(key[0], ready, codes)
+
+    def close(self) -> None:
+        pass
+
+
+def released_stream(events: DataFrame, key: str, ts: str, event_id: str, rule, late: str, flag: str | None = None) -> DataFrame:
+    """The rule's outcome code for every event of a stream, in event-time order across micro-batches.
+
+    Events wait in their key's state until the watermark, ``late`` behind the newest event, has
+    passed them; later ones are dropped. One task holds what waits of a key, so this form is for
+    keys of bounded rate; ``ordered_stream`` also serves a key that has most events. Needs the
+    RocksDB state store.
+    """
+    key_type = events.schema[key].dataType.simpleString()
+    id_type = events.schema[event_id].dataType.simpleString()
+    prepared = events.withWatermark(ts, late).select(
+        F.col(key).alias("entity"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"),
+        F.col(event_id).alias("event"),
+        (F.col(flag) if flag else F.lit(True)).alias("flag"),
+        ts,
+    )
+    outcome = prepared.groupBy("entity").transformWithStateInPandas(
+        _Released(rule, id_type, key_type), f"event {id_type}, entity {key_type}, micros bigint, code int", "append", "eventTime"
+    )
+    return outcome.select(
+        F.col("event").alias(event_id), F.col("entity").alias(key), F.timestamp_micros("micros").cast(events.schema[ts].dataType).alias(ts), "code"
+    )
+
+
 def drop_repeats(events: DataFrame, keys: list[str], ts: str, delay: str = "300 seconds") -> DataFrame:
     """Cheap repeat suppression of a stream: repeats within the delay are dropped for sure, later ones perhaps."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
@@ -137,6 +228,18 @@ def live_sessions(logins: DataFrame, login_ts: str, now: Column, lifetime_days:
     return logins.withColumn("expires_at", expires).where(F.col("expires_at") > now)
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that ``released_stream`` needs, for queries started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process what is available, write it as Parquet and read it back."""
     writer = stream.writeStream.outputMode(mode).format("parquet").option("path", path)

@@ -107,7 +107,6 @@ def test_process_and_package(spark, tmp_path):
     assert writers.list_reports(spark, str(tmp_path / "pkg/reports")).count() == 7
     written = spark.read.json(str(tmp_path / "pkg/reports")).where("name = 'up.csv' and report = 'dataset_intelligence_report'").collect()
     assert "Rows: 2" in written[0].text and "Certification: none" in written[0].text
-    frames["normalized"].unpersist()
 
 
 def test_upsert_many_rows_loses_nothing(spark):

@@ -6,7 +6,8 @@ from hypothesis import strategies as st
 
 from gristmill.streaming import jobs
 from gristmill.streaming.machines import START, CircuitBreaker, Pieces, RepeatWindow, TokenBucket
-from gristmill.streaming.ordered_scan import ordered_scan
+from gristmill.streaming.ordered_scan import ordered_scan, scan_with_states
+from gristmill.streaming.ordered_stream import OrderedStream
 
 RULES = [TokenBucket(4, 10), RepeatWindow(25), CircuitBreaker(3, 15)]
 
@@ -115,3 +116,95 @@ def test_dropping_idle_state_changes_nothing(spark, tmp_path, rule):
         )
     want = reference(rule, [(i, k, s * 1_000_000, ok) for i, k, s, ok in events])
     assert {r.id: r.code for r in out.collect()} == want
+
+
+EVENT_SCHEMA = "id long, k string, s long, ok boolean"
+
+
+def out_of_order(n, seed, hot="hot"):
+    """(id, key, second, flag); one key has a third of all events, times are up to 20 minutes off."""
+    rng = random.Random(seed)
+    return [
+        (i, hot if i % 3 == 0 else f"k{rng.randrange(6)}", 10_000 + i * 200 + rng.randrange(-1200, 1200), rng.random() < 0.6) for i in range(n)
+    ]
+
+
+def land(spark, path, events, load):
+    for at in range(0, len(events), load):
+        batch = spark.createDataFrame(events[at : at + load], EVENT_SCHEMA).selectExpr("id", "k", "timestamp_seconds(s) AS ts", "ok")
+        batch.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema("id long, k string, ts timestamp, ok boolean").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+SECOND_RULES = [TokenBucket(2, 900_000_000), RepeatWindow(1_800_000_000), CircuitBreaker(2, 600_000_000)]
+
+
+@pytest.mark.parametrize("rule", SECOND_RULES, ids=lambda r: type(r).__name__)
+def test_stream_in_order_of_events_equals_the_batch(spark, tmp_path, rule):
+    events = out_of_order(240, 4)
+    too_late = [(1000 + i, "hot", 10_000, True) for i in range(3)]
+    stream = land(spark, str(tmp_path / "in"), events + too_late, 60)
+    run = OrderedStream(spark, str(tmp_path / "run"), "k", "ts", "id", rule, 3_600_000_000, "ok")
+    run.run(stream, str(tmp_path / "progress"))
+    waiting = run.outcome(stream.schema).count()
+    assert 0 < waiting < len(events)
+    run.finish(spark.createDataFrame([], stream.schema))
+    want = reference(rule, [(i, k, s * 1_000_000, ok) for i, k, s, ok in events])
+    got = run.outcome(stream.schema).collect()
+    assert {r.id: r.code for r in got} == want and len(got) == len(events)
+    late = spark.read.parquet(str(tmp_path / "run/late"))
+    assert sorted(r["_id"] for r in late.collect()) == [e[0] for e in too_late]
+    # Only the last two micro-batches keep their tables.
+    assert len(list((tmp_path / "run/state").iterdir())) == 2
+
+
+def test_a_repeated_micro_batch_overwrites_itself(spark, tmp_path):
+    events, rule = out_of_order(120, 8), TokenBucket(2, 900_000_000)
+    rows = spark.createDataFrame(events, EVENT_SCHEMA).selectExpr("id", "k", "timestamp_seconds(s) AS ts", "ok")
+    run = OrderedStream(spark, str(tmp_path / "run"), "k", "ts", "id", rule, 3_600_000_000, "ok")
+    for number, (a, b) in enumerate([(0, 40), (40, 80), (40, 80), (80, 120)]):
+        run.step(rows.where(f"id >= {a} and id < {b}"), number - (number > 1))
+    run.finish(rows.limit(0))
+    run.finish(rows.limit(0))
+    got = run.outcome(rows.schema).collect()
+    assert {r.id: r.code for r in got} == reference(rule, [(i, k, s * 1_000_000, ok) for i, k, s, ok in events])
+    assert len(got) == len(events)
+
+
+def test_events_without_time_or_key(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, 5), (2, None, 6), (3, "a", None), (4, "a", 7)], "id long, k string, s long")
+    rows = rows.selectExpr("id", "k", "timestamp_seconds(s) AS ts")
+    run = OrderedStream(spark, str(tmp_path / "run"), "k", "ts", "id", TokenBucket(1, 10_000_000), 1_000_000)
+    run.step(rows, 0)
+    run.finish(rows.limit(0))
+    assert {r.id: r.code for r in run.outcome(rows.schema).collect()} == {1: 1, 2: 0, 4: 1}
+    assert [r["_id"] for r in spark.read.parquet(str(tmp_path / "run/late")).collect()] == [3]
+
+
+@pytest.mark.parametrize("rule", SECOND_RULES, ids=lambda r: type(r).__name__)
+def test_states_carry_a_scan_on(spark, rule):
+    """A table cut anywhere and scanned in parts, one hot key over many partitions, gives the same codes."""
+    events = sorted(out_of_order(3000, 6), key=lambda e: e[2])
+    states, codes = None, {}
+    for at in range(0, 3000, 1000):
+        part = spark.createDataFrame(events[at : at + 1000], EVENT_SCHEMA).selectExpr("id", "k", "timestamp_seconds(s) AS ts", "ok")
+        rows = scan_with_states(part, "k", "ts", "id", rule, "ok", states).collect()
+        codes.update({r["_id"]: r["code"] for r in rows if r["_id"] is not None})
+        last = {}
+        for r in sorted((r for r in rows if r["_last"]), key=lambda r: (r["_t"], r["_id"] or 0)):
+            last[r["_key"]] = (r["_key"], r["_time"], r["_count"])
+        states = spark.createDataFrame(list(last.values()), "_key string, _time long, _count long")
+    assert codes == reference(rule, [(i, k, s * 1_000_000, ok) for i, k, s, ok in events])
+
+
+def test_events_are_released_in_order_by_the_watermark(spark, tmp_path):
+    events, rule = out_of_order(160, 9), TokenBucket(2, 900_000_000)
+    stream = land(spark, str(tmp_path / "in"), events, 40)
+    with jobs.rocksdb_state(spark):
+        out = jobs.run_to_files(
+            jobs.released_stream(stream, "k", "ts", "id", rule, "1 hour", "ok"), str(tmp_path / "out"), str(tmp_path / "progress")
+        )
+    want = reference(rule, [(i, k, s * 1_000_000, ok) for i, k, s, ok in events])
+    mark = max(e[2] for e in events) - 3600
+    got = out.collect()
+    assert {r.id: r.code for r in got} == {i: want[i] for i, _, s, _ in events if s < mark} and len(got) > 100
