@@ -28,6 +28,7 @@ PLAN_MODULES = (
     "export_plans",
     "stream_plans",
     "json_plans",
+    "assembly_plans",
 )
 
 
