@@ -6,9 +6,7 @@ so a text held by a third of all rows costs one row of output per copy, not a sq
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +18,7 @@ from gristmill.functions import text as tx
 from gristmill.functions.hashing import GOLDEN, mix
 from gristmill.operators import gates
 from gristmill.operators.buckets import linked_components
+from gristmill.operators.overlap import chunk_bounds, chunk_keys, distinct_keys, gram_keys
 from gristmill.scratch import Scratch
 
 # Rows of one slice when a stratum is ranked.
@@ -116,50 +115,20 @@ def modification_log(df: DataFrame, row_id: str, text: str) -> DataFrame:
     return own.unionByName(removed)
 
 
-def word_ngrams(text: Column, n: int) -> Column:
-    """Word n-grams of the whole text in lower case; a shorter text is its own single n-gram."""
-
-    def grams(ws: Column) -> Column:
-        joined = F.transform(
-            F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " ")
-        )
-        return (
-            F.when(F.size(ws) == 0, F.array().cast("array<string>"))
-            .when(F.size(ws) < n, F.array(F.array_join(ws, " ")))
-            .otherwise(joined)
-        )
-
-    # The word list is bound once as a lambda variable; inlined, it would be split anew per n-gram.
-    return F.flatten(F.transform(F.array(tx.words(F.lower(text))), grams))
-
-
 def gram_sets(n: int):
     """Function giving texts' distinct word n-grams as arrays (row, hash, 1.0), sorted by row.
 
-    Words are cut as by ``word_ngrams``; a text of fewer words is its own single n-gram, a text
-    without words has none.
+    A text of fewer words is its own single n-gram, a text without words has none.
     """
-    spaces = re.compile(f"[{tx.WHITESPACE_CLASS}]+")
 
     def sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        known: dict[str, int] = {}
-        rows, hashes = [], []
-        for row, text in enumerate(texts):
-            words = [w for w in spaces.split(text.decode("utf-8", "replace").lower()) if w]
-            for w in words:
-                if w not in known:
-                    known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            own = np.array([known[w] for w in words], dtype=np.uint64)
-            size = min(n, len(own))
-            grams = np.full(len(own) - size + 1 if size else 0, size, dtype=np.uint64)
-            for j in range(size):
-                grams = mix(grams * GOLDEN + own[j : j + len(grams)])
-            grams = np.unique(grams)
-            rows.append(np.full(len(grams), row))
-            hashes.append(grams)
-        row = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
-        element = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
-        return row, element, np.ones(len(row))
+        row, key, _ = chunk_keys([t.decode("utf-8", "replace") for t in texts], n)
+        order = np.lexsort((key, row))
+        row, key = row[order], key[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+        row, key = row[new], key[new].view(np.uint64)
+        return row, key, np.ones(len(row))
 
     return sets
 
@@ -169,19 +138,27 @@ def _signature_rows(shingle: int, bands: int, band_rows: int):
     sets = gram_sets(shingle)
     seeds = mix(np.arange(1, bands * band_rows + 1, dtype=np.uint64) * GOLDEN)
 
-    def keys_of(hashes: np.ndarray) -> list[int]:
-        if not len(hashes):
-            return []
-        # One permutation at a time keeps memory at the size of the text itself.
-        least = np.array([mix(hashes ^ seed).min() for seed in seeds]).reshape(bands, band_rows)
-        keys = np.arange(1, bands + 1, dtype=np.uint64)
-        for j in range(band_rows):
-            keys = mix(keys * GOLDEN + least[:, j])
-        return keys.view(np.int64).tolist()
+    def keys_of(texts: list[bytes]) -> list[list[int]]:
+        row, element, _ = sets(texts)
+        filled, starts = np.unique(row, return_index=True)
+        keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :], len(filled), axis=0)
+        # One permutation at a time keeps memory at the size of the texts themselves.
+        for at, seed in enumerate(seeds if len(filled) else []):
+            least = np.minimum.reduceat(mix(element ^ seed), starts)
+            # The j-th value of a band is mixed into its key after the ones before it.
+            band = at // band_rows
+            keys[:, band] = mix(keys[:, band] * GOLDEN + least)
+        out: list[list[int]] = [[] for _ in texts]
+        for text, own in zip(filled.tolist(), keys.view(np.int64).tolist()):
+            out[text] = own
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [keys_of(sets([text or b""])[1]) for text in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            keys: list[list[int]] = []
+            for begin, end in chunk_bounds([len(t) for t in texts]):
+                keys += keys_of(texts[begin:end])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"]
             )
@@ -245,16 +222,12 @@ def near_duplicates(
     )
 
 
-def distinct_grams(df: DataFrame, dataset: str, text: str, n: int) -> DataFrame:
-    """Distinct (dataset, n-gram) pairs; n-grams travel as 16-byte digests."""
-    grams = F.explode(F.array_distinct(word_ngrams(F.col(text), n)))
-    return df.select(dataset, grams.alias("g")).select(dataset, F.unhex(F.md5("g")).alias("gram")).distinct()
-
-
 def overlap_between(df: DataFrame, dataset: str, text: str, n: int = 5) -> DataFrame:
     """Per dataset, how many of its distinct n-grams also occur in another dataset."""
-    spread = F.count(F.lit(1)).over(Window.partitionBy("gram"))
-    seen = distinct_grams(df, dataset, text, n).withColumn("spread", spread)
+    pairs = gram_keys(df, dataset, text, n).distinct()
+    # A key in very many datasets is one row per dataset; how many there are is all that counts.
+    spread = F.count(F.lit(1)).over(Window.partitionBy("hi", "lo"))
+    seen = pairs.withColumn("spread", spread)
     shared = F.count_if(F.col("spread") > 1)
     return seen.groupBy(dataset).agg(
         F.count(F.lit(1)).alias("grams"),
@@ -264,12 +237,14 @@ def overlap_between(df: DataFrame, dataset: str, text: str, n: int = 5) -> DataF
 
 
 def overlap_with(df: DataFrame, dataset: str, text: str, other: DataFrame, other_text: str, n: int = 5) -> DataFrame:
-    """Per dataset, the share of the other collection's distinct n-grams it contains."""
-    held_out = other.select(
-        F.explode(F.array_distinct(word_ngrams(F.col(other_text), n))).alias("g")
-    ).select(F.unhex(F.md5("g")).alias("gram")).distinct()
+    """Per dataset, its distinct n-grams and the share of the other collection's that it contains.
+
+    Counting the distinct n-grams shuffles their keys; where the shared ones are enough, use
+    ``overlap.shared_with``, and ``overlap.estimates`` where an estimate is.
+    """
+    held_out = distinct_keys(other, other_text, n)
     total = held_out.agg(F.count(F.lit(1))).scalar()
-    marked = distinct_grams(df, dataset, text, n).join(held_out.withColumn("_held", F.lit(1)), "gram", "left")
+    marked = gram_keys(df, dataset, text, n).distinct().join(held_out.withColumn("_held", F.lit(1)), ["hi", "lo"], "left")
     counts = marked.groupBy(dataset).agg(
         F.count(F.lit(1)).alias("grams"), F.count("_held").alias("shared_grams")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.operators import curate, gates, profile
+from gristmill.operators import curate, gates, overlap, profile
 from gristmill.plans.gate_plans import GATED_SQL, LICENSE_GUESS_SQL, gated_documents, license_guess
 from gristmill.plans.registry import query, table
 from gristmill.session import durable
@@ -196,6 +196,41 @@ def overlap_with_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "shared_with_benchmark",
+    f"""WITH g AS ({_grams_sql('documents', 'source', 5)}), b AS (SELECT DISTINCT gram FROM ({_grams_sql('benchmark', 'item_id', 5)}))
+    SELECT source, count(b.gram) AS shared_grams, round_even(count(b.gram) / (SELECT count(*) FROM b), 4) AS overlap_ratio
+    FROM g LEFT JOIN b ON b.gram = g.gram GROUP BY source""",
+)
+def shared_with_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.shared_with(
+        table(spark, sf_dir, "documents"), "source", "text", table(spark, sf_dir, "benchmark"), "text"
+    )
+
+
+@query(
+    "overlap_estimates",
+    f"""WITH g AS ({_grams_sql('documents', 'source', 5)}), b AS (SELECT DISTINCT gram FROM ({_grams_sql('benchmark', 'item_id', 5)}))
+    SELECT source, count(*) AS grams, count(b.gram) AS shared_grams, TRUE AS grams_close, TRUE AS shared_close
+    FROM g LEFT JOIN b ON b.gram = g.gram GROUP BY source""",
+)
+def overlap_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts, and whether the sketches' estimates are within four times their error of them."""
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    exact = curate.overlap_with(documents, "source", "text", benchmark, "text").drop("overlap_ratio")
+    held = overlap.sketches(benchmark.select(F.lit("benchmark").alias("name"), "text"), "name", "text")
+    estimated = overlap.estimates(overlap.sketches(documents, "source", "text"), "source", held)
+    estimated = estimated.withColumnsRenamed({"grams": "e_grams", "shared_grams": "e_shared"})
+    allowed = F.greatest("grams", F.lit(1)) * 4 / 2 ** (overlap.SKETCH_LOG / 2)
+    return exact.join(estimated, "source").select(
+        "source",
+        "grams",
+        "shared_grams",
+        (F.abs(F.col("e_grams") - F.col("grams")) <= allowed).alias("grams_close"),
+        (F.abs(F.col("e_shared") - F.col("shared_grams")) <= allowed).alias("shared_close"),
+    )
+
+
 @query(
     "balance_by_language",
     """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id)
