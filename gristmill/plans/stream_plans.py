@@ -7,7 +7,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.operators import sketches
 from gristmill.plans.registry import query, table
+from gristmill.scratch import Scratch
 from gristmill.session import ensure_checkpoint_dir
 from gristmill.streaming import jobs
 from gristmill.streaming.machines import CircuitBreaker, RepeatWindow, TokenBucket
@@ -159,7 +161,8 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rolling_sql(starts: str, condition: str = "TRUE") -> str:
     return f"""WITH b AS (SELECT event_type, value, {starts} AS window_start FROM events)
     SELECT event_type, window_start, window_start + INTERVAL 6 HOUR AS window_end, count(*) AS count, round_even(sum(value), 4) AS sum,
-      min(value) AS min, max(value) AS max, round_even(avg(value), 8) AS avg FROM b GROUP BY 1, 2 HAVING {condition}"""
+      min(value) AS min, max(value) AS max, round_even(avg(value), 8) AS avg,
+      list_sort(list(value))[CAST(ceil(round(0.95 * count(value), 7)) AS INT)] AS p95 FROM b GROUP BY 1, 2 HAVING {condition}"""
 
 
 _TUMBLING = "to_timestamp(epoch_us(ts) // 21600000000 * 21600)::TIMESTAMP"
@@ -168,19 +171,39 @@ _SLIDING = "unnest([to_timestamp(epoch_us(ts) // 7200000000 * 7200 - i * 7200)::
 
 @query("rolling_metrics", _rolling_sql(_TUMBLING))
 def rolling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.rolling_metrics(table(spark, sf_dir, "events"), "event_type", "ts", "value", "6 hours").drop("p95")
+    return jobs.rolling_metrics(table(spark, sf_dir, "events"), "event_type", "ts", "value", "6 hours")
 
 
 @query("rolling_metrics_sliding", _rolling_sql(_SLIDING))
 def rolling_metrics_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.rolling_metrics(table(spark, sf_dir, "events"), "event_type", "ts", "value", "6 hours", "2 hours").drop("p95")
+    return jobs.rolling_metrics(table(spark, sf_dir, "events"), "event_type", "ts", "value", "6 hours", "2 hours")
 
 
 @query("rolling_metrics_stream", _rolling_sql(_TUMBLING, "window_start + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"))
 def rolling_metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows closed by the watermark, one hour behind the newest event."""
     stream = jobs.rolling_metrics(_event_stream(spark, sf_dir), "event_type", "ts", "value", "6 hours", late="1 hour")
-    return jobs.run_to_files(stream, _folder(spark, "rolling"), _folder(spark, "rolling-state")).drop("p95")
+    return jobs.run_to_files(stream, _folder(spark, "rolling"), _folder(spark, "rolling-state"))
+
+
+@query(
+    "metric_rollup",
+    """SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, count(value) AS count, min(value) AS min, max(value) AS max,
+      """ + ", ".join(
+        f"list_sort(list(value))[CAST(ceil(round({share} * count(value), 7)) AS INT)] AS {name}"
+        for name, share in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+    ) + " FROM events GROUP BY ALL",
+)
+def metric_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly sketches, kept as a table, added up to days."""
+    hours = sketches.metric_sketches(table(spark, sf_dir, "events"), "event_type", "ts", "value")
+    kept = Scratch(spark, "metrics").keep(hours, "hours")
+    days = sketches.rolled_up(kept, "event_type")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return days.select(
+        "event_type", F.col("span").alias("day"), "count", "min", "max",
+        *[sketches.quantile("sketch", share).alias(name) for name, share in shares.items()],
+    )
 
 
 @query(
