@@ -12,17 +12,17 @@ SCHEMA = "vec_id bigint, embedding array<double>, shard string, score int"
 
 
 def expected(rows, k, asks):
-    whole = set()
+    whole = []
     for i, v, *_ in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            whole.add((i, tuple(math.floor(256 * x) for x in v)))
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            whole.append((i, [math.floor(256 * x) for x in v]))
     out = []
-    for q in sorted({i for i, _ in whole if asks(i)}):
-        scores = sorted(
-            {(-sum(a * b for a, b in zip(v, w)), i) for j, v in whole if j == q for i, w in whole if i != q and len(v) == len(w)}
-        )
-        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
-    return out
+    for at, (q, v) in enumerate(whole):
+        if asks(q):
+            others = [(i, w) for place, (i, w) in enumerate(whole) if place != at and len(w) == len(v)]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in others)
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
 
 
 def run(spark, rows, k, step):
@@ -55,3 +55,29 @@ def test_large_numbers_stay_exact(spark):
     assert run(spark, rows, 5, 5) == expected(rows, 5, lambda i: i % 5 == 0)
     rows = [(i, [1e6 + i, 7.0]) for i in range(4)]
     assert run(spark, rows, 5, 1) == expected(rows, 5, lambda i: True)
+
+
+def test_outliers_cost_no_other_result(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.uniform(-2, 2) for _ in range(8)]) for i in range(40)]
+    at = lambda **places: [places.get(f"p{i}", 0.0) for i in range(8)]
+    rows += [(40, at(p6=2e6)), (41, at(p5=2e6)), (42, at(p4=3e14, p7=0.5))]
+    # Sums that leave 64 bits on the way and come back, and one that falls below without being among the best.
+    rows += [(50, at(p0=3e13, p1=3e13, p2=3e13)), (51, at(p0=3e13, p1=-3e13, p3=1.0)), (52, at(p2=-3e13))]
+    want = expected(rows, 5, lambda i: i % 10 == 0)
+    assert all(abs(score) < 2**63 for *_, score in want)
+    assert run(spark, rows, 5, 10) == want
+
+
+def test_a_returned_score_beyond_64_bits_stops_the_query(spark):
+    with pytest.raises(Exception, match="64 bits"):
+        run(spark, [(0, [1e16]), (1, [1e16])], 5, 1)
+    with pytest.raises(Exception, match="64 bits"):
+        run(spark, [(0, [1e16]), (1, [-1e16])], 5, 1)
+
+
+def test_repeated_rows_and_empty_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, []), (4, []), (4, []), (3, [0.0, 1.0])]
+    got = run(spark, rows, 3, 2)
+    assert got == expected(rows, 3, lambda i: i % 2 == 0)
+    assert (2, 1, 4, 0) in got and got.count((0, 1, 0, 5 * 65536)) == 2
