@@ -104,7 +104,10 @@ def structures(narrow: DataFrame, dataset: str, aligned: bool) -> DataFrame:
 
 
 def measures(narrow: DataFrame, dataset: str, of: DataFrame) -> DataFrame:
-    """Each row's measures under its dataset's structure, as ``quality.metrics_from_measures`` reads them."""
+    """Each row's measures under its dataset's structure, as ``quality.metrics_from_measures`` reads them.
+
+    What else ``of`` says of a dataset is carried along.
+    """
     kinds = F.array(*[F.lit(kind) for kind, _ in STRUCTURES])
     bases = F.array(*[F.lit(quality.BASE_COMPATIBILITY[kind]) for kind, _ in STRUCTURES])
     spread = of.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -117,6 +120,7 @@ def measures(narrow: DataFrame, dataset: str, of: DataFrame) -> DataFrame:
     empty = F.struct(F.sha2(F.lit(""), 256).alias("key"), F.lit(0).cast("long").alias("complete"), F.lit(0).alias("words"))
     return joined.withColumn("_o", F.coalesce(option, empty)).select(
         *[c for c in narrow.columns if c not in ("_mask", "_options")],
+        *[c for c in of.columns if c not in (dataset, "column_count")],
         F.col("_o.key").alias("_text_key"),
         F.col("_o.complete").alias("_complete"),
         F.col("_o.words").alias("_words"),

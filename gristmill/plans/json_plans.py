@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from gristmill.operators import gates, json_rows, quality
 from gristmill.plans.gate_plans import GATED_SQL, gated_documents
 from gristmill.plans.quality_plans import clean_sql
 from gristmill.plans.registry import query, table
+from gristmill.session import ensure_checkpoint_dir
 from gristmill.sources import readers
+from gristmill.streaming.live_quality import LiveQuality, dimensions
 
 
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +111,31 @@ def json_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows.json_quality(rows, "name", "row", "position")
 
 
+@query(
+    "live_quality",
+    f"""WITH {_LINES_SQL}, r AS ({_RAGGED_SQL}),
+    f AS (SELECT name, arg_min(kind, position) AS of_kind, arg_min(keys, position) AS first_keys FROM r GROUP BY name),
+    p AS (SELECT r.*, of_kind, first_keys, CASE WHEN of_kind = 'none' THEN object ELSE whole END AS text FROM r JOIN f USING (name)),
+    w AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS n_words FROM p),
+    q AS ({_scores_sql('SELECT * FROM w', 'sum(CASE WHEN keys = first_keys THEN 1 ELSE 0 END) / count(*)', 'sum(n_values)')}),
+    refused AS (SELECT 'events-' || event_type AS name, count(*) AS rejected FROM events WHERE event_id % 50 IN (7, 9) GROUP BY ALL)
+    SELECT q.* EXCLUDE (max_tokens), coalesce(rejected, 0) AS rejected, TRUE AS ready FROM q LEFT JOIN refused USING (name)""",
+)
+def live_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines arrive in three loads, in order within each collection; the running totals after the last."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/live-quality-{uuid4().hex}"
+    lines = json_lines(spark, sf_dir)
+    span = lines.groupBy("name").agg(F.min("position").alias("low"), F.max("position").alias("high"))
+    load = F.floor(3 * (F.col("position") - F.col("low")) / (F.col("high") - F.col("low") + 1))
+    placed = lines.join(span, "name").withColumn("load", load).drop("low", "high")
+    for number in range(3):
+        placed.where(F.col("load") == number).drop("load").repartition(2).write.mode("append").parquet(f"{folder}/landed")
+    stream = spark.readStream.schema("name STRING, position BIGINT, line STRING").option("maxFilesPerTrigger", 2)
+    live = LiveQuality(spark, f"{folder}/live")
+    live.run(stream.parquet(f"{folder}/landed"), f"{folder}/progress")
+    return dimensions(live.totals())
+
+
 _PII = "|".join(gates.PII_PATTERNS.values())
 _CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 _NONE = "NULL::VARCHAR"
