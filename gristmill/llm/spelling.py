@@ -100,6 +100,20 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _letter_bits(code: Column) -> tuple[Column, Column]:
+    """Two numbers with one bit among them set for a letter, or for 0, the end of a word.
+
+    Together they have a bit for each letter of the alphabet, a to z and U+00C0 to U+00FF, so the
+    letters that follow a node are two numbers, whatever their count.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    small = F.when(code == 0, 26).otherwise(code - ord("a")).cast("int")
+    return (
+        F.when(code < 0xC0, F.call_function("shiftleft", one, small)).otherwise(none),
+        F.when(code >= 0xC0, F.call_function("shiftleft", one, (code - 0xC0).cast("int"))).otherwise(none),
+    )
+
+
 class Trie:
     """Edge table of the words in both directions, and where each word starts in it."""
 
@@ -112,34 +126,28 @@ class Trie:
         # Narrow rows: a word has as many prefixes as letters. What follows a whole word is 0.
         prefixes = strings.select("string", F.posexplode(F.arrays_zip("node", "follows")).alias("at", "p"))
         prefixes = prefixes.select("string", (F.col("at") + SHORTEST).alias("depth"), "p.node", "p.follows")
-        parting = prefixes.groupBy("node").agg(F.min("follows").alias("a"), F.max("follows").alias("b")).where("a <> b")
+        low, high = _letter_bits(F.col("follows"))
+        follows = prefixes.groupBy("node").agg(F.bit_or(low).alias("low"), F.bit_or(high).alias("high"))
+        parting = follows.where(F.bit_count("low") + F.bit_count("high") > 1)
         path = (
-            prefixes.join(parting.select("node"), "node")
+            prefixes.drop("follows")
+            .join(parting, "node")
             .groupBy("string")
-            .agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))
+            .agg(F.sort_array(F.collect_list(F.struct("depth", "node", "low", "high"))).alias("path"))
         )
         partings = scratch.keep(strings.drop("node", "follows").join(path, "string"), "partings")
         # From each parting of a word to its next one, or to its end.
         after = F.expr(
             "transform(path, (x, i) -> named_struct('node', x.node,"
             " 'label', substr(letters, x.depth + 1, coalesce(get(path, i + 1).depth, length(letters)) - x.depth),"
-            " 'child', get(path, i + 1).node))"
+            " 'child', get(path, i + 1).node, 'low', get(path, i + 1).low, 'high', get(path, i + 1).high))"
         )
         edges = partings.select("word", "n", F.explode(after).alias("e")).select(
             "e.*",
             F.when(F.col("e.child").isNull(), F.col("word")).alias("near"),
             F.when(F.col("e.child").isNull(), F.col("n")).alias("near_n"),
         )
-        edges = scratch.keep(edges.distinct(), "edges")
-        # The letters that go on from a node, as many as the alphabet has at most: a state that has
-        # its edit is of use only where its next letter does, or a word ends with it.
-        onward = F.array_join(F.collect_set(F.substr("label", F.lit(1), F.lit(1))), "")
-        ends = F.max(F.col("label") == "")
-        beyond = edges.groupBy(F.col("node").alias("child")).agg(onward.alias("onward"), ends.alias("ends"))
-        # Leaves lead nowhere and stay out of the join, where they would be one key.
-        leaves = edges.where("child is null").select("*", F.lit(None).cast("string").alias("onward"), F.lit(None).cast("boolean").alias("ends"))
-        inner = edges.where("child is not null").join(beyond, "child")
-        self.edges = scratch.keep(inner.unionByName(leaves), "edges-onward")
+        self.edges = scratch.keep(edges.distinct(), "edges")
         first = F.expr("get(filter(path, x -> x.depth >= half), 0)")
         here = partings.select("word", "letters", "half", first.alias("p")).where("p is not null")
         state = "named_struct('position', {0}, 'edits', {1})"
@@ -175,10 +183,10 @@ def _advanced() -> Column:
 def _useful() -> Column:
     """Whether a state is a neighbour or can still become one."""
     over = F.col("position") == F.length("letters")
-    further = F.contains("onward", F.substr("letters", F.col("position") + 1, F.lit(1)))
-    return F.when(F.col("node").isNull(), over & (F.col("edits") == 1)).otherwise(
-        (F.col("edits") == 0) | F.when(over, F.col("ends")).otherwise(further)
-    )
+    letter = F.ascii(F.substr("letters", F.col("position") + 1, F.lit(1)))
+    low, high = _letter_bits(F.when(over, 0).otherwise(letter))
+    further = (F.col("low").bitwiseAND(low) != 0) | (F.col("high").bitwiseAND(high) != 0)
+    return F.when(F.col("node").isNull(), over & (F.col("edits") == 1)).otherwise((F.col("edits") == 0) | further)
 
 
 def neighbours(words: DataFrame, scratch: Scratch) -> DataFrame:
@@ -189,10 +197,10 @@ def neighbours(words: DataFrame, scratch: Scratch) -> DataFrame:
     while not states.isEmpty():
         moved = (
             states.join(trie.edges, "node")
-            .select("word", "letters", "child", "near", "near_n", "onward", "ends", F.explode(_advanced()).alias("s"))
-            .select("word", "letters", F.col("child").alias("node"), "near", "near_n", "onward", "ends", "s.position", "s.edits")
+            .select("word", "letters", "child", "near", "near_n", "low", "high", F.explode(_advanced()).alias("s"))
+            .select("word", "letters", F.col("child").alias("node"), "near", "near_n", "low", "high", "s.position", "s.edits")
             .where(F.col("position").isNotNull() & _useful())
-            .drop("onward", "ends")
+            .drop("low", "high")
         )
         level += 1
         states = scratch.keep(moved, f"states-{level}")
@@ -234,7 +242,6 @@ def spelling_variants(documents: DataFrame, row_id: str = "doc_id", text: str =
     words = scratch.keep(word_counts(documents, row_id, text, plant), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("by_n"), F.col("near")))
     near = neighbours(words, scratch).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    near = scratch.keep(near, "near")
     judged = words.join(near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), (-F.col("best.by_n")).alias("top"), "best.near"
     )
