@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app: str = "gristmill", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators assume (UTC, AQE with skew handling).
 
-    ``spark.sql.files.minPartitionNum`` is left to the caller: it makes a few small files give
-    enough splits without a shuffle.
+    ``spark.sql.files.minPartitionNum`` is left to the caller: it makes files of several row groups
+    give enough splits without a shuffle; a file of one row group stays one task.
     """
     builder = SparkSession.builder.appName(app)
     if master:
