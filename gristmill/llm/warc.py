@@ -129,6 +129,17 @@ class _Inflated:
         self.held = data[n:]
         return data[:n]
 
+    def next_block(self) -> bytes | None:
+        """The next headers; None if the member holds no further record."""
+        while True:
+            block = self.upto(b"\r\n\r\n")
+            if block is None or block.strip(b"\r\n"):
+                return block and block.lstrip(b"\r\n")
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (passed := len(self.take(min(n, 1 << 16)))):
+            n -= passed
+
     def pass_over(self) -> bytes:
         """Throws the rest of the member away; what follows it in the file."""
         while self._more():
@@ -148,7 +159,8 @@ class _Inflated:
 def records(file, size: int, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers, payload) of the records for which ``wanted(headers)`` holds.
 
-    ``file`` can seek. A truncated last record ends the file.
+    ``file`` can seek. A compressed member may hold one record or several. A truncated last record
+    ends the file.
     """
     at = 0
     while at < size:
@@ -158,12 +170,16 @@ def records(file, size: int, wanted, payload: bool) -> Iterator[tuple[dict[str,
             known = start[3] & 4 and start[12:16] == b"SL" + struct.pack("<H", 4)
             file.seek(at)
             member = _Inflated(file, 31)
-            block = member.upto(b"\r\n\r\n")
-            if block is None:
-                return
-            headers = parse_headers(block.lstrip(b"\r\n"))
-            if wanted(headers):
-                yield headers, member.take(int(headers.get("Content-Length", 0))) if payload else None
+            while (block := member.next_block()) is not None:
+                headers = parse_headers(block)
+                length = int(headers.get("Content-Length", 0))
+                if wanted(headers):
+                    yield headers, member.take(length) if payload else None
+                    length = 0 if payload else length
+                if known:
+                    # Our own members hold one record and name their length.
+                    break
+                member.skip(length)
             if known:
                 at += struct.unpack("<I", start[16:20])[0]
             else:

@@ -83,6 +83,22 @@ def test_foreign_archives_and_predicates(spark, tmp_path):
     assert "PushedFilters" in plan or "EqualTo" in plan or "warc" in plan.lower()
 
 
+@pytest.mark.parametrize("per_member", [1, 2, 5, 100])
+def test_members_of_several_records(tmp_path, per_member):
+    """Payloads that look like headers, empty ones and ones larger than what is inflated at a time."""
+    bodies = [b"", b"a\r\n\r\nWARC/1.1\r\n\r\nb", b"\r\n\r\n", bytes(range(256)) * 900, b"last"] * 4
+    every = [record("response" if n % 2 else "request", n, b) for n, b in enumerate(bodies)]
+    members = [b"".join(every[i : i + per_member]) for i in range(0, len(every), per_member)]
+    path = tmp_path / "several.warc.gz"
+    path.write_bytes(b"".join(map(gzip.compress, members)))
+    for payload in (True, False):
+        for wanted in (lambda h: True, lambda h: h["WARC-Type"] == "response"):
+            with open(path, "rb") as f:
+                got = [(h["WARC-Record-ID"], b) for h, b in warc.records(f, path.stat().st_size, wanted, payload)]
+            kept = [(f"<urn:{n}>", b if payload else None) for n, b in enumerate(bodies) if n % 2 or wanted({"WARC-Type": ""})]
+            assert got == kept
+
+
 def test_predicates_reach_the_reader():
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
