@@ -13,6 +13,9 @@ from gristmill.scratch import Scratch
 from gristmill.session import ensure_checkpoint_dir
 from gristmill.sources import readers, writers
 
+# A list is parsed as one value, and a task gathers some hundred lists at a time.
+LIST_BYTES = 1 << 20
+
 
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
@@ -105,13 +108,19 @@ def jsonl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("json_document_files", _ROWS_SQL)
 def json_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON file per document folder, holding a list of rows, read as whole documents."""
+    """JSON files in a folder per source, each holding a list of rows, read as whole documents."""
     path = _folder(spark, "json")
-    rows = table(spark, sf_dir, "documents").groupBy("source", F.expr("doc_id div 100").alias("part")).agg(
-        F.collect_list(F.struct("doc_id", "lang", "source", "text")).alias("rows")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    # Rows are dealt to lists of about LIST_BYTES, whatever their ids are; most sources of a few rows need one only.
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 100)
+    lists = rows.groupBy(F.col("source").alias("_of")).agg(F.ceil(size / LIST_BYTES).alias("_lists")).where("_lists > 1")
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_lists", F.lit(1)))
+    grouped = (
+        rows.join(F.broadcast(lists), F.col("source").eqNullSafe(F.col("_of")), "left")
+        .groupBy("source", dealt.alias("part"))
+        .agg(F.collect_list(F.struct("doc_id", "lang", "source", "text")).alias("rows"))
     )
-    # A part has at most 100 documents.
-    rows.select("source", F.to_json("rows").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)
+    grouped.select("source", F.to_json("rows").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)
     found = readers.read_json(spark, path)
     field = lambda name, kind: F.try_variant_get("row", f"$.{name}", kind)
     return found.select(
