@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
 from gristmill.functions.hashing import GOLDEN, mix
-from gristmill.operators import gates
+from gristmill.operators import gates, overlap
 from gristmill.operators.buckets import linked_components
-from gristmill.operators.overlap import chunk_bounds, chunk_keys, distinct_keys, gram_keys
+from gristmill.operators.overlap import chunk_bounds, chunk_keys, distinct_keys, placed_keys
 from gristmill.scratch import Scratch
 
 # Rows of one slice when a stratum is ranked.
@@ -224,7 +224,7 @@ def near_duplicates(
 
 def overlap_between(df: DataFrame, dataset: str, text: str, n: int = 5) -> DataFrame:
     """Per dataset, how many of its distinct n-grams also occur in another dataset."""
-    pairs = gram_keys(df, dataset, text, n).distinct()
+    pairs = placed_keys(df, dataset, text, n)
     # A key in very many datasets is one row per dataset; how many there are is all that counts.
     spread = F.count(F.lit(1)).over(Window.partitionBy("hi", "lo"))
     seen = pairs.withColumn("spread", spread)
@@ -243,8 +243,10 @@ def overlap_with(df: DataFrame, dataset: str, text: str, other: DataFrame, other
     ``overlap.shared_with``, and ``overlap.estimates`` where an estimate is.
     """
     held_out = distinct_keys(other, other_text, n)
-    total = held_out.agg(F.count(F.lit(1))).scalar()
-    marked = gram_keys(df, dataset, text, n).distinct().join(held_out.withColumn("_held", F.lit(1)), ["hi", "lo"], "left")
+    total = held_out.count()
+    held = held_out.withColumn("_held", F.lit(1))
+    side = F.broadcast(held) if total <= overlap.BROADCAST_KEYS else held
+    marked = placed_keys(df, dataset, text, n).join(side, ["hi", "lo"], "left")
     counts = marked.groupBy(dataset).agg(
         F.count(F.lit(1)).alias("grams"), F.count("_held").alias("shared_grams")
     )

@@ -10,7 +10,7 @@ and estimates come from their intersections.
 from __future__ import annotations
 
 import hashlib
-import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,25 +18,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions import text as tx
 from gristmill.functions.hashing import GOLDEN, mix
 
 # Keys of 16 bytes: 64 MB at most as a broadcast table.
 BROADCAST_KEYS = 1 << 20
 # Logarithm of a sketch's entries: relative error of some 1 / sqrt(2**14), 0.8 %.
 SKETCH_LOG = 14
-_SPACES = re.compile(f"[{tx.WHITESPACE_CLASS}]+")
 _LANES = (np.uint64(0), np.uint64(0xA0761D6478BD642F))
 CHUNK_CHARS = 1 << 20
+# Some million keys, which a task holds by hash in about 270 MB.
+PART_BYTES = 8 << 20
 
 
 def chunk_keys(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hi, lo) of all n-grams of some texts; a text of fewer words is one n-gram."""
-    known: dict[str, int] = {}
+    # A new word gets the next number.
+    known: defaultdict[str, int] = defaultdict()
+    known.default_factory = known.__len__
     numbers, sizes = [], []
     for text in texts:
-        words = [w for w in _SPACES.split(text.lower()) if w]
-        numbers += [known.setdefault(w, len(known)) for w in words]
+        # Without an argument the white space is that of ``functions.text``.
+        words = text.lower().split()
+        numbers += map(known.__getitem__, words)
         sizes.append(len(words))
     digests = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=16).digest() for w in known), dtype="<u8")
     own = digests.reshape(-1, 2)[np.array(numbers, dtype=np.int64)] if known else np.empty((0, 2), dtype=np.uint64)
@@ -100,6 +103,15 @@ def gram_keys(df: DataFrame, dataset: str, text: str, n: int) -> DataFrame:
     return rows.mapInArrow(run, f"_dataset {name}, hi bigint, lo bigint").withColumnRenamed("_dataset", dataset)
 
 
+def placed_keys(df: DataFrame, dataset: str, text: str, n: int) -> DataFrame:
+    """(dataset, hi, lo), each once, placed by (hi, lo): joins and groups by key need no further shuffle.
+
+    The tasks are as many as hold the keys of about ``PART_BYTES`` of text each, without spilling.
+    """
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return gram_keys(df, dataset, text, n).repartition(1 + total // PART_BYTES, "hi", "lo").distinct()
+
+
 def distinct_keys(other: DataFrame, text: str, n: int) -> DataFrame:
     """(hi, lo) of a whole collection."""
     return gram_keys(other.select(F.lit(0).alias("_all"), text), "_all", text, n).select("hi", "lo").distinct()
