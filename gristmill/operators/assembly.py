@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import text as tx
 from gristmill.operators import curate, gates, quality
 from gristmill.operators.stages import Stage
+from gristmill.scratch import Scratch
 from gristmill.sources import writers
 
 ROW = ("row_id", "origin", "language", "text")
@@ -31,9 +32,11 @@ def clean_stage(merged: DataFrame) -> DataFrame:
     """Texts stripped and masked, blank ones and copies gone; ``lineage`` names all origins of a text.
 
     Copies are found by digests, one narrow row each; of a text the least id stays. The list of
-    origins is as long as there are candidates at most.
+    origins is as long as there are candidates at most. Masked texts are written, so that they are
+    masked once.
     """
-    rows = merged.withColumn("text", gates.mask_pii(tx.blank_to_null(F.col("text")))).where("text is not null")
+    stripped = merged.withColumn("text", tx.blank_to_null(F.col("text"))).where("text is not null")
+    rows = Scratch(merged.sparkSession, "assembly").keep(stripped.withColumn("text", gates.mask_pii(F.col("text"))), "masked")
     by_origin = rows.select(F.sha2("text", 256).alias("digest"), "origin", "row_id").groupBy("digest", "origin").agg(
         F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("copies")
     )

@@ -22,6 +22,8 @@ PII_PATTERNS = {
     "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
     "card": r"\b[0-9]{16}\b",
 }
+# A character or phrase in every match; a text without it is not searched.
+PII_MARKS = {"email": "@", "phone": " (", "ipv4": "."}
 EMAIL_SHAPE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 
@@ -59,14 +61,24 @@ def license_verdict(decisions: DataFrame, group: str, candidate: str, order: str
     )
 
 
+def _unmarked(text: Column, kind: str) -> Column:
+    """The text surely has no match of this kind; null for a null text."""
+    return ~text.contains(PII_MARKS[kind]) if kind in PII_MARKS else F.lit(False)
+
+
 def pii_counts(text: Column) -> dict[str, Column]:
-    return {kind: F.regexp_count(text, F.lit(p)) for kind, p in PII_PATTERNS.items()}
+    return {
+        kind: F.when(_unmarked(text, kind), 0).otherwise(F.regexp_count(text, F.lit(p)))
+        for kind, p in PII_PATTERNS.items()
+    }
 
 
 def mask_pii(text: Column) -> Column:
+    masked = text
     for kind, pattern in PII_PATTERNS.items():
-        text = F.regexp_replace(text, pattern, f"[{kind}]")
-    return text
+        # No mask has or joins up such a mark, so the given text tells it.
+        masked = F.when(_unmarked(text, kind), masked).otherwise(F.regexp_replace(masked, pattern, f"[{kind}]"))
+    return masked
 
 
 def normalize_email(value: Column) -> Column:
