@@ -148,28 +148,33 @@ def variant_profile(df: DataFrame, dataset: str, row: str) -> DataFrame:
     A key absent from a row counts as missing there, as in ``column_profile``. Values are
     compared as canonical JSON with their type tag, so 1, 1.0 and "1" stay apart.
     """
-    value = F.try_variant_get("v", "$", "string")
-    fields = df.select(
-        dataset, F.explode(F.col(row).cast("map<string,variant>")).alias("column", "v")
-    ).select(
-        dataset,
-        "column",
-        variant_tag(F.col("v")).alias("tag"),
-        F.when(variant_tag(F.col("v")) == "string", tx.blank_to_null(value))
-        .otherwise(F.to_json("v"))
-        .alias("value"),
-    )
-    fields = fields.withColumn("tag", F.when(F.col("value").isNotNull(), F.col("tag"))).withColumn(
-        "value",
-        F.when(F.col("tag").isNotNull(), F.sha2(F.concat_ws(":", "tag", "value"), 256)),
-    )
+    cells = df.select(dataset, F.explode(variant_cells(F.col(row))).alias("cell")).select(dataset, "cell.*")
+    return profile_of_cells(cells, df, dataset)
+
+
+def variant_cells(row: Column) -> Column:
+    """A VARIANT object's fields as array of (column, tag, value): the type tag and digest of each, null for missing."""
+
+    def cell(entry: Column) -> Column:
+        value = entry["value"]
+        tag = variant_tag(value)
+        text = F.when(tag == "string", tx.blank_to_null(F.try_variant_get(value, "$", "string"))).otherwise(F.to_json(value))
+        known = F.when(text.isNotNull(), tag)
+        digest = F.when(known.isNotNull(), F.unhex(F.sha2(F.concat_ws(":", known, text), 256)))
+        return F.struct(entry["key"].alias("column"), known.alias("tag"), digest.alias("value"))
+
+    return F.transform(F.map_entries(row.cast("map<string,variant>")), cell)
+
+
+def profile_of_cells(fields: DataFrame, rows: DataFrame, dataset: str) -> DataFrame:
+    """Profile from ``variant_cells``, one a row, and the rows they come from."""
     by_value = fields.groupBy(dataset, "column", "tag", "value").agg(F.count(F.lit(1)).alias("n"))
     by_column = by_value.groupBy(dataset, "column").agg(
         fold_types(F.collect_set("tag")).alias("type"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("present"),
         F.count("value").alias("unique_count"),
     )
-    sizes = df.groupBy(dataset).agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy(dataset).agg(F.count(F.lit(1)).alias("n"))
     return by_column.join(sizes, dataset).select(
         dataset,
         "column",
