@@ -64,12 +64,12 @@ def keyed_stream(
     )
 
 
-def _outcomes(key, events: list[tuple], codes: list[int]) -> pd.DataFrame:
+def _outcomes(events: list[tuple], codes: list[int]) -> pd.DataFrame:
     """Columns of plain objects: texts of the library's own type don't fit into a struct."""
     return pd.DataFrame(
         {
-            "event": pd.Series([e[1] for e in events], dtype=object),
-            "entity": pd.Series([key] * len(events), dtype=object),
+            "event": pd.Series([e[1] if e[2] else None for e in events], dtype=object),
+            "entity": pd.Series([e[4] for e in events], dtype=object),
             "micros": pd.Series([e[0] for e in events], dtype="int64"),
             "code": pd.Series(codes, dtype="int64"),
         }
@@ -77,80 +77,97 @@ def _outcomes(key, events: list[tuple], codes: list[int]) -> pd.DataFrame:
 
 
 class _Released(StatefulProcessor):
-    """Buffers the events of a key and runs the rule over them once the watermark has passed them."""
+    """Buffers the events of some keys and runs the rule over each key's once the watermark has passed them."""
 
-    def __init__(self, rule, id_type: str, key_type: str):
-        self.rule, self.id_type, self.key_type = rule, id_type, key_type
+    def __init__(self, rule, id_type: str):
+        self.rule, self.id_type = rule, id_type
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", STATE_SCHEMA)
-        self.waiting = handle.getListState("waiting", f"micros bigint, event {self.id_type}, flag boolean")
+        self.states = handle.getListState("states", f"entity string, {STATE_SCHEMA}")
+        self.waiting = handle.getListState(
+            "waiting", f"micros bigint, event {self.id_type}, named boolean, flag boolean, entity string"
+        )
 
     def _wake(self, first_us: int, now_ms: int) -> None:
-        """One timer a key, for its earliest waiting event."""
+        """One timer, for the earliest waiting event; one that has expired goes."""
+        at = max(first_us // 1000 + 1, now_ms + 1)
         for timer in list(self.handle.listTimers()):
+            if now_ms < timer <= at:
+                return
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(first_us // 1000 + 1, now_ms + 1))
+        self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N803
-        arrived = []
+        first = None
         for batch in rows:
-            arrived += list(zip(batch["micros"].tolist(), batch["event"].tolist(), batch["flag"].tolist()))
-        if arrived:
-            self.waiting.appendList(arrived)
-            waiting = [e[0] for e in self.waiting.get()]
-            self._wake(min(waiting), timerValues.getCurrentWatermarkInMs())
-        yield _outcomes(key[0], [], [])
+            arrived = list(zip(*(batch[c].tolist() for c in ("micros", "event", "named", "flag", "entity"))))
+            if arrived:
+                self.waiting.appendList(arrived)
+                least = min(e[0] for e in arrived)
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self._wake(first, timerValues.getCurrentWatermarkInMs())
+        yield _outcomes([], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(tuple(e) for e in self.waiting.get())
+        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:3])
         ready = [e for e in events if e[0] < mark]
         rest = events[len(ready) :]
-        current = tuple(self.state.get()) if self.state.exists() else START
+        states = {entity: (time, count) for entity, time, count in self.states.get()} if self.states.exists() else {}
         codes = []
-        for t, _, flag in ready:
-            current, code = self.rule.step(current, int(t), bool(flag))
+        for t, _, _, flag, entity in ready:
+            states[entity], code = self.rule.step(states.get(entity, START), int(t), bool(flag))
             codes.append(code)
         # A past time with an empty counter means the same as no state.
-        if current[1] == 0 and current[0] <= mark and not rest:
-            self.state.clear()
+        awaited = {e[4] for e in rest}
+        kept = [(e, *s) for e, s in states.items() if s[1] != 0 or s[0] > mark or e in awaited]
+        if kept:
+            self.states.put(kept)
         else:
-            self.state.update(current)
+            self.states.clear()
         if rest:
             self.waiting.put(rest)
             self._wake(rest[0][0], timerValues.getCurrentWatermarkInMs())
         else:
             self.waiting.clear()
-        yield _outcomes(key[0], ready, codes)
+        yield _outcomes(ready, codes)
 
     def close(self) -> None:
         pass
 
 
-def released_stream(events: DataFrame, key: str, ts: str, event_id: str, rule, late: str, flag: str | None = None) -> DataFrame:
+def released_stream(
+    events: DataFrame, key: str, ts: str, event_id: str, rule, late: str, flag: str | None = None, groups: int = 512
+) -> DataFrame:
     """The rule's outcome code for every event of a stream, in event-time order across micro-batches.
 
-    Events wait in their key's state until the watermark, ``late`` behind the newest event, has
-    passed them; later ones are dropped. One task holds what waits of a key, so this form is for
-    keys of bounded rate; ``ordered_stream`` also serves a key that has most events. Needs the
-    RocksDB state store.
+    Events wait in state until the watermark, ``late`` behind the newest event, has passed them;
+    later ones, and those without a time, are dropped. Keys are dealt to ``groups``, which hold
+    their keys' events and states together: a state costs a few calls a group and not a key. One
+    task holds what waits of a group, so this form is for keys of bounded rate; ``ordered_stream``
+    also serves a key that has most events. Needs the RocksDB state store.
     """
-    key_type = events.schema[key].dataType.simpleString()
+    key_type = events.schema[key].dataType
     id_type = events.schema[event_id].dataType.simpleString()
-    prepared = events.withWatermark(ts, late).select(
-        F.col(key).alias("entity"),
+    entity = F.col(key).cast("string")
+    prepared = events.where(F.col(ts).isNotNull()).withWatermark(ts, late).select(
+        F.pmod(F.xxhash64(entity), F.lit(groups)).alias("keys"),
+        entity.alias("entity"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"),
-        F.col(event_id).alias("event"),
+        # A null would turn whole numbers of a batch into floating ones.
+        F.coalesce(F.col(event_id), F.lit(0).cast(id_type)).alias("event"),
+        F.col(event_id).isNotNull().alias("named"),
         (F.col(flag) if flag else F.lit(True)).alias("flag"),
         ts,
     )
-    outcome = prepared.groupBy("entity").transformWithStateInPandas(
-        _Released(rule, id_type, key_type), f"event {id_type}, entity {key_type}, micros bigint, code int", "append", "eventTime"
+    outcome = prepared.groupBy("keys").transformWithStateInPandas(
+        _Released(rule, id_type), f"event {id_type}, entity string, micros bigint, code int", "append", "eventTime"
     )
     return outcome.select(
-        F.col("event").alias(event_id), F.col("entity").alias(key), F.timestamp_micros("micros").cast(events.schema[ts].dataType).alias(ts), "code"
+        F.col("event").alias(event_id), F.col("entity").cast(key_type).alias(key),
+        F.timestamp_micros("micros").cast(events.schema[ts].dataType).alias(ts), "code",
     )
 
 
