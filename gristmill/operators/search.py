@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
+from gristmill.scratch import Scratch
 
 # One-hop synonyms used for the semantic vectors.
 VECTOR_SYNONYMS = {
@@ -71,6 +72,8 @@ OTHER_PROVIDER_WEIGHT = 0.7
 FULL_POPULARITY = 5000
 # Rows of query terms that go to every task at a time, some 10 MB.
 BLOCK_TERMS = 100_000
+# Shared terms of queries and records that a task sums up.
+TASK_MATCHES = 1 << 18
 
 
 def _strings(values: tuple[str, ...] | list[str]) -> Column:
@@ -115,14 +118,18 @@ def cosine_top_k(left: DataFrame, left_key: str, right: DataFrame, right_key: st
     """The ``k`` rows of ``right`` most similar to each of ``left``; only rows sharing a term count.
 
     Both are term vectors. ``right`` is placed by its key once; a pair then is summed up where
-    its row lies, and each task puts out at most ``k`` rows per query.
+    its row lies, and each task puts out at most ``k`` rows per query. There are so many tasks
+    that each sums up about ``TASK_MATCHES`` shared terms.
     """
+    right = Scratch(right.sparkSession, "top-k").keep(right, "vectors")
+    often = [side.groupBy("term").agg(F.count(F.lit(1)).alias(n)) for side, n in ((left, "n_left"), (right, "n_right"))]
+    matches = often[0].join(often[1], "term").agg(F.sum(F.col("n_left") * F.col("n_right"))).first()[0] or 0
 
     def normed(vectors: DataFrame, key: str, tf: str, norm: str) -> DataFrame:
         total = F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key))
         return vectors.select(key, "term", F.col("tf").alias(tf), F.sqrt(total).alias(norm))
 
-    placed = normed(right, right_key, "r", "rn")
+    placed = normed(right.repartition(1 + matches // TASK_MATCHES, right_key), right_key, "r", "rn")
     found = [
         placed.join(block, "term")
         .groupBy(left_key, right_key)
