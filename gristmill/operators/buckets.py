@@ -35,9 +35,11 @@ from gristmill.scratch import Scratch
 # A text compared with more others than this is copied, so that its comparisons spread.
 COMPARISONS = 256
 # Buckets of several components: up to this many rows they are compared as pairs, beyond it in
-# blocks of two slices of about SLICE rows, of which only a spanning set of links comes out.
+# blocks of slices of about SLICE rows, of which only a spanning set of links comes out.
 SMALL_BUCKET = 8
 SLICE = 256
+# Slices that a block compares with one, at most.
+PARTNERS = 4
 # Elements that a block compares at a time, and bytes of texts that are compared at a time.
 COLUMNS = 4096
 CHUNK_BYTES = 1 << 20
@@ -83,15 +85,33 @@ def similarity(sets: Sets, a: list[bytes], b: list[bytes]) -> np.ndarray:
     out = np.zeros(len(a))
     sides = []
     for texts in (a, b):
-        row, element, weight = sets(texts)
+        row, element, weight = _sets_of_all(sets, texts)
         sides.append((mix(element + row.astype(np.uint64) * GOLDEN), row, weight))
     (ka, ra, wa), (kb, rb, wb) = sides
-    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    key = np.concatenate([ka, kb])
+    order = np.argsort(key)
+    key = key[order]
+    # Each key occurs once in a side, so equal neighbours are one of either side.
+    same = np.flatnonzero(key[1:] == key[:-1])
+    ia, ib = np.minimum(order[same], order[same + 1]), np.maximum(order[same], order[same + 1]) - len(ka)
     shared = np.bincount(ra[ia], weights=np.minimum(wa[ia], wb[ib]), minlength=len(a))
-    total = np.bincount(ra, weights=wa, minlength=len(a)) + np.bincount(rb, weights=wb, minlength=len(a))
+    total = np.bincount(ra, weights=wa, minlength=len(a)) + np.bincount(rb, weights=wb, minlength=len(b))
     return np.divide(shared, total - shared, out=out, where=total > 0)
 
 
+def _sets_of_all(sets: Sets, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``sets(texts)``, but repeated texts are worked off once."""
+    number = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    row, element, weight = sets([*number])
+    if len(number) == len(texts):
+        return row, element, weight
+    which = np.array([number[t] for t in texts])
+    size = np.bincount(row, minlength=len(number))
+    first, size = (np.cumsum(size) - size)[which], size[which]
+    take = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+    return np.repeat(np.arange(len(texts)), size), element[take], weight[take]
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary()).to_pylist()
 
@@ -139,7 +159,8 @@ def _across(
     """What is left to compare in buckets that hold several components.
 
     Returns (pairs, slices): the pairs (a, b) of buckets of up to ``SMALL_BUCKET`` rows, and for
-    larger buckets (block, side, node, component), where each block is two slices to be compared.
+    larger buckets (block, side, node, component), where each block is one slice (side 0) and those
+    to be compared with it (side 1), or a slice to be compared with itself (side 2).
     """
     distance = compared.select(
         F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("distance")
@@ -204,53 +225,72 @@ def _slices(rows: DataFrame, scratch: Scratch) -> DataFrame:
     two = slices.select("bucket", F.struct("of", "slot").alias("two"))
     worth = (F.col("one") < F.col("two")) & ((F.col("one.of") != F.col("two.of")) | (F.col("one.of") == -1))
     worth = worth | ((F.col("one") == F.col("two")) & (F.col("one.of") == -1))
-    blocks = one.join(two, "bucket").where(worth).withColumn("block", F.xxhash64("bucket", "one", "two"))
-    blocks = scratch.keep(blocks, "blocks")
     same = F.col("one") == F.col("two")
+    # Several slices are compared with one that is worked off once.
+    some = F.when(~same, F.struct("two.of", F.floor(F.col("two.slot") / PARTNERS).alias("slots")))
+    blocks = one.join(two, "bucket").where(worth).withColumn("block", F.xxhash64("bucket", "one", some))
+    blocks = scratch.keep(blocks, "blocks")
     sides = blocks.select("bucket", "block", F.col("one").alias("slice"), F.when(same, 2).otherwise(0).alias("side"))
-    sides = sides.union(blocks.where(~same).select("bucket", "block", "two", F.lit(1)))
+    sides = sides.distinct().union(blocks.where(~same).select("bucket", "block", "two", F.lit(1)))
     return cut.withColumn("slice", F.struct("of", "slot")).join(sides, ["bucket", "slice"]).select(
         "block", "side", "node", "component"
     )
 
 
-def shared_weights(a: tuple, b: tuple, rows: tuple[int, int]) -> np.ndarray:
-    """Sum of the lesser weights of shared elements for every row of ``a`` with every row of ``b``."""
-    out = np.zeros(rows)
-    # An element of weight w is w elements of weight one, the i-th shared with another's i-th.
-    sides = []
-    for row, element, weight in (a, b):
-        times = weight.astype(np.int64)
-        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        key = mix(np.repeat(element, times) + nth.astype(np.uint64) * GOLDEN)
-        sides.append((np.repeat(row, times), key))
-    (ra, ka), (rb, kb) = sides
-    both = np.intersect1d(ka, kb)
-    order_a, order_b = np.argsort(ka), np.argsort(kb)
-    ra, ka, rb, kb = ra[order_a], ka[order_a], rb[order_b], kb[order_b]
-    for at in range(0, len(both), COLUMNS):
-        part = both[at : at + COLUMNS]
-        grids = []
-        for row, key, n in ((ra, ka, rows[0]), (rb, kb, rows[1])):
-            low, high = np.searchsorted(key, part[0], "left"), np.searchsorted(key, part[-1], "right")
-            column = np.searchsorted(part, key[low:high])
-            found = part[np.minimum(column, len(part) - 1)] == key[low:high]
-            grid = np.zeros((n, len(part)), dtype=np.float32)
-            grid[row[low:high][found], column[found]] = 1
-            grids.append(grid)
-        out += grids[0] @ grids[1].T
-    return out
+def _units(row: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An element of weight w as w elements of weight one, the i-th shared with another's i-th."""
+    times = weight.astype(np.int64)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(row, times), mix(np.repeat(element, times) + nth.astype(np.uint64) * GOLDEN)
+
+
+def shared_weights(a: tuple, rows: int) -> Callable[[tuple, int], np.ndarray]:
+    """Function giving, for other sets and their number of rows, the sum of the lesser weights of
+    shared elements for every row of ``a`` with every row of these."""
+    ra, ka = _units(*a)
+    order = np.argsort(ka)
+    ra, ka = ra[order], ka[order]
+    new = np.ones(len(ka), dtype=bool)
+    new[1:] = ka[1:] != ka[:-1]
+    known, column = ka[new], np.cumsum(new) - 1
+
+    def shared(b: tuple, others: int) -> np.ndarray:
+        out = np.zeros((rows, others))
+        rb, kb = _units(*b)
+        if not len(known) or not len(kb):
+            return out
+        at = np.minimum(np.searchsorted(known, kb), len(known) - 1)
+        found = known[at] == kb
+        used = np.zeros(len(known), dtype=bool)
+        used[at[found]] = True
+        number = np.cumsum(used) - 1
+        mine = used[column]
+        order = np.argsort(at[found])
+        sides = ((ra[mine], number[column[mine]], rows), (rb[found][order], number[at[found][order]], others))
+        columns = int(used.sum())
+        for first in range(0, columns, COLUMNS):
+            last = min(first + COLUMNS, columns)
+            grids = []
+            for row, col, n in sides:
+                low, high = np.searchsorted(col, (first, last))
+                grid = np.zeros((n, last - first), dtype=np.float32)
+                grid[row[low:high], col[low:high] - first] = 1
+                grids.append(grid)
+            out += grids[0] @ grids[1].T
+        return out
+
+    return shared
 
 
 def _block_links(sets: Sets, threshold: float):
+    def measured(side: pd.DataFrame) -> tuple[tuple, np.ndarray]:
+        found = sets([t.encode() for t in side.text])
+        return found, np.bincount(found[0], weights=found[2], minlength=len(side))
+
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        first, second = block[block.side != 1], block[block.side != 0]
-        found = [sets([t.encode() for t in side.text]) for side in (first, second)]
-        totals = [np.bincount(r, weights=w, minlength=len(side)) for (r, _, w), side in zip(found, (first, second))]
-        shared = shared_weights(*found, (len(first), len(second)))
-        whole = totals[0][:, None] + totals[1][None, :] - shared
-        one, two = np.nonzero((shared >= threshold * whole) & (whole > 0))
-        nodes, parts = (first.node.to_numpy(), second.node.to_numpy()), (first.component.tolist(), second.component.tolist())
+        first, others = block[block.side != 1], block[block.side == 1]
+        found, total = measured(first)
+        shared_with = shared_weights(found, len(first))
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -259,12 +299,23 @@ def _block_links(sets: Sets, threshold: float):
             return x
 
         links = []
-        for i, j in zip(one.tolist(), two.tolist()):
-            # Components that the block has linked already need no further link.
-            p, q = root(parts[0][i]), root(parts[1][j])
-            if p != q:
-                parent[p] = q
-                links.append((nodes[0][i], nodes[1][j]))
+        # One slice at a time bounds the memory.
+        for second in [others[at : at + SLICE] for at in range(0, len(others), SLICE)] or [first]:
+            theirs, sums = (found, total) if second is first else measured(second)
+            shared = shared_with(theirs, len(second))
+            whole = total[:, None] + sums[None, :] - shared
+            one, two = np.nonzero((shared >= threshold * whole) & (whole > 0))
+            if not len(one):
+                continue
+            parts = np.stack([first.component.to_numpy()[one], second.component.to_numpy()[two]])
+            # One link of each two components; those that the block has linked already need none.
+            pairs, chosen = np.unique(parts, axis=1, return_index=True)
+            nodes = zip(first.node.to_numpy()[one[chosen]].tolist(), second.node.to_numpy()[two[chosen]].tolist())
+            for (x, y), link in zip(pairs.T.tolist(), nodes):
+                p, q = root(x), root(y)
+                if p != q:
+                    parent[p] = q
+                    links.append(link)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run

@@ -15,14 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
-from gristmill.functions.hashing import GOLDEN, mix
+from gristmill.functions.hashing import GOLDEN, mix, word_hashes
 from gristmill.operators import gates, overlap
 from gristmill.operators.buckets import linked_components
-from gristmill.operators.overlap import chunk_bounds, chunk_keys, distinct_keys, placed_keys
+from gristmill.operators.overlap import chunk_bounds, distinct_keys, placed_keys
 from gristmill.scratch import Scratch
 
 # Rows of one slice when a stratum is ranked.
 SLICE_ROWS = 50_000
+# N-grams whose minimal hashes are sought at a time: 128 KB.
+CACHED_GRAMS = 1 << 14
 
 
 def text_digest(text: Column) -> Column:
@@ -115,39 +117,68 @@ def modification_log(df: DataFrame, row_id: str, text: str) -> DataFrame:
     return own.unionByName(removed)
 
 
-def gram_sets(n: int):
-    """Function giving texts' distinct word n-grams as arrays (row, hash, 1.0), sorted by row.
+def grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the texts' word n-grams, sorted by row; repeated ones stay.
 
     A text of fewer words is its own single n-gram, a text without words has none.
     """
+    words: list[str] = []
+    sizes = []
+    for text in texts:
+        # Without an argument the white space is that of ``functions.text``.
+        own = text.decode("utf-8", "replace").lower().split()
+        words += own
+        sizes.append(len(own))
+    word = word_hashes(words)
+    size = np.array(sizes, dtype=np.int64)
+    number = np.where(size < n, np.minimum(size, 1), size - n + 1)
+    row = np.repeat(np.arange(len(size)), number)
+    at = np.arange(len(row)) + np.repeat(np.cumsum(size) - size - np.cumsum(number) + number, number)
+    length = np.minimum(size, n)[row]
+    key = length.astype(np.uint64)
+    for j in range(n):
+        longer = mix(key * GOLDEN + word[np.minimum(at + j, len(word) - 1)])
+        key = np.where(j < length, longer, key)
+    return row, key
+
+
+def gram_sets(n: int):
+    """Function giving texts' distinct word n-grams as arrays (row, hash, 1.0), sorted by row."""
 
     def sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, key, _ = chunk_keys([t.decode("utf-8", "replace") for t in texts], n)
-        order = np.lexsort((key, row))
-        row, key = row[order], key[order]
-        new = np.ones(len(row), dtype=bool)
-        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-        row, key = row[new], key[new].view(np.uint64)
-        return row, key, np.ones(len(row))
+        row, key = grams(texts, n)
+        own = mix(key + row.astype(np.uint64) * GOLDEN)
+        order = np.argsort(own)
+        own = own[order]
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = own[1:] != own[:-1]
+        chosen = np.sort(order[new])
+        return row[chosen], key[chosen], np.ones(len(chosen))
 
     return sets
 
 
 def _signature_rows(shingle: int, bands: int, band_rows: int):
     """Bucket keys of each text: a min-hash signature cut into bands."""
-    sets = gram_sets(shingle)
-    seeds = mix(np.arange(1, bands * band_rows + 1, dtype=np.uint64) * GOLDEN)
+    # The hashes are mixed already; times an odd number they come in another order.
+    seeds = mix(np.arange(1, bands * band_rows + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
 
     def keys_of(texts: list[bytes]) -> list[list[int]]:
-        row, element, _ = sets(texts)
+        # A repeated n-gram changes no minimum.
+        row, element = grams(texts, shingle)
         filled, starts = np.unique(row, return_index=True)
         keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :], len(filled), axis=0)
-        # One permutation at a time keeps memory at the size of the texts themselves.
-        for at, seed in enumerate(seeds if len(filled) else []):
-            least = np.minimum.reduceat(mix(element ^ seed), starts)
-            # The j-th value of a band is mixed into its key after the ones before it.
-            band = at // band_rows
-            keys[:, band] = mix(keys[:, band] * GOLDEN + least)
+        ends = np.append(starts[1:], len(element))
+        # Some texts at a time, so that their n-grams stay in the processor's cache.
+        cuts = np.flatnonzero(np.diff(starts // CACHED_GRAMS, prepend=-1))
+        for first, last in zip(cuts, np.append(cuts[1:], len(filled))):
+            part, begins = element[starts[first] : ends[last - 1]], starts[first:last] - starts[first]
+            value = np.empty_like(part)
+            for at, seed in enumerate(seeds):
+                least = np.minimum.reduceat(np.multiply(part, seed, out=value), begins)
+                # The j-th value of a band is mixed into its key after the ones before it.
+                band = at // band_rows
+                keys[first:last, band] = mix(keys[first:last, band] * GOLDEN + least)
         out: list[list[int]] = [[] for _ in texts]
         for text, own in zip(filled.tolist(), keys.view(np.int64).tolist()):
             out[text] = own
@@ -200,8 +231,10 @@ def near_duplicates(
     )
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        chosen = wanted.join(nodes.select("node", F.col("leader").alias("id")), "node")
-        return source.select("id", "text").join(chosen, "id").select("node", "text")
+        chosen = scratch.keep(wanted.join(nodes.select("node", F.col("leader").alias("id")), "node"), "chosen")
+        # If they are few enough, no text is shuffled to find theirs.
+        side = F.broadcast(chosen) if chosen.count() <= overlap.BROADCAST_KEYS else chosen
+        return source.select("id", "text").join(side, "id").select("node", "text")
 
     linked = linked_components(nodes.select("node", "keys"), texts_of, gram_sets(shingle), threshold, scratch)
     named = nodes.select("node", "digest", "leader").join(linked, "node", "left")
@@ -209,7 +242,7 @@ def near_duplicates(
         named.where("component IS NOT NULL").groupBy("component").agg(F.min("leader").alias("near_of")), "least"
     )
     groups = scratch.keep(named.join(least, "component", "left").select("digest", "leader", "near_of"), "groups")
-    scratch.drop("nodes", "components", "least")
+    scratch.drop("nodes", "chosen", "components", "least")
     copy, near = F.col("leader") != F.col("id"), F.col("near_of") != F.col("id")
     return (
         signed.select("id", "digest")

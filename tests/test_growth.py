@@ -1,11 +1,14 @@
 """Work that must not grow faster than the input."""
 
+from collections import Counter
 from pathlib import Path
 
 import pytest
 
-from gristmill.operators import assembly, curate, gates, json_rows, overlap, search
+from gristmill.functions import hashing
+from gristmill.operators import assembly, buckets, curate, gates, json_rows, overlap, search
 from gristmill.plans import export_plans
+from gristmill.scratch import Scratch
 from gristmill.sources import readers
 from gristmill.streaming import jobs
 from gristmill.streaming.machines import TokenBucket
@@ -103,3 +106,61 @@ def test_matches_of_a_task_are_bounded(spark, monkeypatch):
     found = search.semantic_top_k(queries, "q", "t", docs, "d", "t", 3)
     assert any("REPARTITION_BY_NUM" in line and ", 21)" in line for line in plan_of(found).splitlines())
     assert sorted((r.q, r.d, r["rank"]) for r in found.collect()) == [(q, d, d + 1) for q in range(5) for d in range(3)]
+
+
+def test_a_text_in_many_pairs_is_worked_off_once():
+    seen, sets = [], curate.gram_sets(3)
+
+    def counted(texts):
+        seen.extend(texts)
+        return sets(texts)
+
+    a, b = b"one two three four five six seven", [b"one two three four five six seven", b"one two three four five", b"", b"x y"]
+    assert buckets.similarity(counted, [a] * 4, b).tolist() == [1.0, 0.6, 0.0, 0.0]
+    assert seen.count(a) == 2
+
+
+@pytest.mark.parametrize("partners", [1, 4])
+def test_a_slice_is_worked_off_once_per_block(spark, monkeypatch, partners):
+    """A bucket of 12 slices: every pair of rows is in one block, every block begins with one slice."""
+    monkeypatch.setattr(buckets, "SLICE", 10)
+    monkeypatch.setattr(buckets, "PARTNERS", partners, raising=False)
+    rows = spark.range(120).selectExpr("1L AS bucket", "id AS node", "id AS component")
+    dealt = buckets._slices(rows, Scratch(spark, "t")).toPandas()
+    pairs, slices = Counter(), 0
+    for _, block in dealt.groupby("block"):
+        assert set(block.side) in ({2}, {0, 1})
+        first, others = block[block.side != 1].node.tolist(), block[block.side != 0].node.tolist()
+        pairs.update({tuple(sorted((x, y))) for x in first for y in others if x != y})
+        slices += len(block) / 10
+    assert len(pairs) == 120 * 119 / 2 and set(pairs.values()) == {1}
+    assert slices > 140 if partners == 1 else slices < 120
+
+
+def test_few_texts_are_found_without_a_shuffle_of_all(spark, tmp_path, monkeypatch):
+    plans = {}
+    kept = Scratch.keep
+    monkeypatch.setattr(curate.Scratch, "keep", lambda self, df, name: (plans.setdefault(name, plan_of(df)), kept(self, df, name))[1])
+    monkeypatch.setattr(curate.overlap, "BROADCAST_KEYS", 5)
+    for n in (2, 9):
+        plans.clear()
+        rows = [(i, f"a b c d e f g h i j k l m n o p {i} {'.' * i}") for i in range(n)]
+        spark.createDataFrame(rows, "id bigint, text string").write.parquet(f"{tmp_path}/{n}")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            got = curate.near_duplicates(spark.read.parquet(f"{tmp_path}/{n}"), "id", "text").collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert {r.copy_of for r in got if r.id} == {0}
+        assert ("Exchange hashpartitioning" in plans["texts"]) == (n > 5)
+
+
+def test_hashes_of_words():
+    words = ["a", "b", "ab", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "é", "日本語テキスト", "a\0", "a\0\0", "\0", "x" * 5000, "x" * 5001]
+    found = hashing.word_hashes(words)
+    assert len(set(found.tolist())) == len(words) and [hashing.word_hashes([w])[0] for w in words] == found.tolist()
+    assert len(hashing.word_hashes([])) == 0
+    # All words of a chunk may be one word, and all texts may be empty.
+    row, key = curate.grams([b"", b"one", b"a b c d", b" ", b"One\xc2\xa0"], 3)
+    assert row.tolist() == [1, 2, 2, 4] and key[0] == key[3] and len(set(key.tolist())) == 3
+    assert [len(x) for x in curate.grams([b""], 3)] == [0, 0]
