@@ -87,16 +87,16 @@ def _tokenize(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer, end_id)
         for batch in batches:
-            texts = textbatch.utf8(batch.column("_text"))
             own, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(texts):
-                ids = encode((text or b"").decode("utf-8", "replace"))
-                for k, (a, n) in enumerate(pieces(len(ids), capacity)):
-                    own.append(i)
-                    piece.append(k)
-                    start.append(a)
-                    length.append(n)
-                    crc.append(zlib.crc32(ids[a : a + n].astype("<u4").tobytes()))
+            for first, part in textbatch.parts(batch.column("_text")):
+                for i, text in enumerate(part, first):
+                    ids = encode((text or b"").decode("utf-8", "replace"))
+                    for k, (a, n) in enumerate(pieces(len(ids), capacity)):
+                        own.append(i)
+                        piece.append(k)
+                        start.append(a)
+                        length.append(n)
+                        crc.append(zlib.crc32(ids[a : a + n].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id").take(pa.array(own, pa.int64())),

@@ -36,6 +36,11 @@ SIMILARITY = 0.8
 BANDS = 25
 BAND_ROWS = 5
 
+# Some 900 darts are thrown for a text however short it is, and more for a long one: texts and
+# bytes that are signed at a time.
+PART_ROWS = 128
+PART_BYTES = 1 << 17
+
 _U = np.uint64
 
 
@@ -119,8 +124,7 @@ def band_keys(signature: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
 def _signature_rows(bands: int, band_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = textbatch.utf8(batch.column("_text"))
-            for first, part in textbatch.chunks(texts):
+            for first, part in textbatch.parts(batch.column("_text"), PART_BYTES, PART_ROWS):
                 row, element, weight = weighted_sets(part)
                 keys = band_keys(signatures(row, element, weight, len(part), bands * band_rows), bands, band_rows)
                 some = np.bincount(row, minlength=len(part)) > 0

@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 
 from gristmill.llm import textbatch
 
+# An n-gram of every size begins at every character, so a text's features take some hundred times
+# its bytes while they are made: bytes of texts that are worked off at a time.
+PART_BYTES = 1 << 17
+
 
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, row_id: str, text: str, label: str, limit: int, learn: Column
@@ -50,7 +54,7 @@ def fit(sample: DataFrame, features: Callable, train: Callable) -> bytes:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for _, part in textbatch.chunks(textbatch.utf8(batch.column("text"))):
+            for _, part in textbatch.parts(batch.column("text"), PART_BYTES):
                 found.extend(np.asarray(x, dtype=np.int32).tobytes() for x in features(part))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("order"), batch.column("_id").cast(pa.string()), batch.column("label"), pa.array(found, pa.binary())],
@@ -60,7 +64,8 @@ def fit(sample: DataFrame, features: Callable, train: Callable) -> bytes:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels = [], []
         for batch in batches:
-            rows += [np.frombuffer(x, dtype=np.int32) for x in batch.column("features").to_pylist()]
+            # Views of the batch, not copies.
+            rows += [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in batch.column("features")]
             labels += batch.column("label").to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([train(rows, np.array(labels, dtype=np.int64))], pa.binary())], ["model"])
 
@@ -89,7 +94,7 @@ def append(
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
         for batch in batches:
-            for first, part in textbatch.chunks(textbatch.utf8(batch.column(text))):
+            for first, part in textbatch.parts(batch.column(text), PART_BYTES):
                 own = batch.slice(first, len(part))
                 made = [pa.array(x, kind) for x, kind in zip(compute(shared.value, part), kinds)]
                 yield pa.RecordBatch.from_arrays([*[own.column(c) for c in names], *made], [*names, *new])

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from gristmill.functions.hashing import GOLDEN, mix
 
@@ -42,6 +43,23 @@ def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes | None]]
         yield first, texts[first:]
 
 
+def parts(
+    column: pa.Array, most_bytes: int = CHUNK_BYTES, most_rows: int = CHUNK_ROWS
+) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(first row, texts) of consecutive parts of a column; every text is in exactly one part.
+
+    Only the part at hand is held as Python objects. A text over ``most_bytes`` is a part alone.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(sizes, dtype=np.int64), 0
+    while first < len(ends):
+        before = ends[first] - sizes[first]
+        last = int(np.searchsorted(ends, before + most_bytes, side="right"))
+        last = max(first + 1, min(last, first + most_rows))
+        yield first, utf8(column.slice(first, last - first))
+        first = last
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32

@@ -58,17 +58,21 @@ def present(texts: list[bytes | None]) -> list[np.ndarray]:
 
 def train(features: list[np.ndarray], labels: np.ndarray) -> bytes:
     """bias as float32, then the known buckets as int32, then their ratio x weight as float32."""
-    counts = np.full((2, BUCKETS), SMOOTHING)
+    counts = np.zeros((2, BUCKETS), dtype=np.int32)
     for x, label in zip(features, labels):
         counts[label, x] += 1
     of_class = np.bincount(labels, minlength=2) + 2 * SMOOTHING
-    ratio = np.log(counts[1] / of_class[1]) - np.log(counts[0] / of_class[0])
-    ratio[counts.sum(axis=0) - 2 * SMOOTHING < LEAST_TEXTS] = 0
+    buckets = np.flatnonzero(counts[0] + counts[1] >= LEAST_TEXTS)
+    clean, toxic = counts[:, buckets] + SMOOTHING
+    ratio = np.log(toxic / of_class[1]) - np.log(clean / of_class[0])
     ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - LEAST_RATIO)
-    known = ratio != 0
-    weight, moved = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
+    buckets, ratio = buckets[ratio != 0], ratio[ratio != 0]
+    # All that follows has one number per known bucket.
+    slot = np.full(BUCKETS, -1, dtype=np.int32)
+    slot[buckets] = np.arange(len(buckets), dtype=np.int32)
+    weight, moved = np.zeros(len(buckets)), np.full(len(buckets), 1e-8)
     bias, bias_moved = 0.0, 1e-8
-    used = [x[known[x]] for x in features]
+    used = [found[found >= 0] for found in (slot[x] for x in features)]
     random = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in random.permutation(len(used)):
@@ -80,8 +84,7 @@ def train(features: list[np.ndarray], labels: np.ndarray) -> bytes:
             weight[at] -= STEP * slope / np.sqrt(moved[at])
             bias_moved += error * error
             bias -= STEP * error / np.sqrt(bias_moved)
-    buckets = np.flatnonzero(known)
-    values = (ratio * weight)[buckets].astype(np.float32)
+    values = (ratio * weight).astype(np.float32)
     return np.float32(bias).tobytes() + buckets.astype(np.int32).tobytes() + values.tobytes()
 
 

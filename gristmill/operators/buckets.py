@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ SLICE = 256
 PARTNERS = 4
 # Elements that a block compares at a time, and bytes of texts that are compared at a time.
 COLUMNS = 4096
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 Sets = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -119,11 +120,14 @@ def _bytes(column: pa.Array) -> list[bytes]:
 def _compare(sets: Sets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = _bytes(batch.column("_text_a")), _bytes(batch.column("_text_b"))
-            size = [len(x) + len(y) for x, y in zip(left, right)]
-            ends = np.flatnonzero(np.diff(np.cumsum(size) // CHUNK_BYTES, prepend=0)) if size else []
+            left, right = batch.column("_text_a"), batch.column("_text_b")
+            size = sum(pc.binary_length(x).to_numpy().astype(np.int64) for x in (left, right))
+            ends = np.flatnonzero(np.diff(np.cumsum(size) // CHUNK_BYTES, prepend=0))
+            # Only the texts of one chunk at a time are held as Python objects.
             found = [
-                similarity(sets, left[i:j], right[i:j]) for i, j in zip([0, *ends], [*ends, len(size)]) if j > i
+                similarity(sets, _bytes(left.slice(i, j - i)), _bytes(right.slice(i, j - i)))
+                for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(size)])
+                if j > i
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(np.concatenate(found) if found else [], pa.float64())],

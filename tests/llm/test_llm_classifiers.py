@@ -1,11 +1,13 @@
 """Features against plain Python, and accuracy on labels kept from learning."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
-from gristmill.llm import learning, ngrams, quality, toxicity
+from gristmill.llm import learning, ngrams, quality, textbatch, toxicity
 
 SF_DIR = "/root/testdata/sf0.1"
 ODD = [None, b"", b"   ", "ab cd abc".encode(), "Übermut, déjà vu!".encode(), b"x" * 300, b"a a a b"]
@@ -40,6 +42,32 @@ def test_repeats_are_marked():
     assert [int((b == quality.REPEAT).sum()) for b in bag] == [2, 0, 0, 0]
 
 
+def test_texts_are_worked_off_in_small_parts(spark):
+    texts = ["w" * 1000, None, "", "z" * 300_000] + ["w" * 1000] * 400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    sizes = lambda texts: np.full(len(texts), sum(len(t or b"") for t in texts))
+    field = [T.StructField("held", T.LongType())]
+    rows = learning.append(docs, "text", field, lambda _, texts: [sizes(texts)], None).collect()
+    assert [(r["doc_id"], r["text"]) for r in rows] == list(enumerate(texts))
+    assert max(r["held"] for r in rows if r["doc_id"] != 3) <= 1 << 18 and rows[3]["held"] == 300_000
+    sample = docs.selectExpr("doc_id AS order", "doc_id AS _id", "1 AS label", "text").where("doc_id > 3")
+    features = lambda texts: [np.array([x]) for x in sizes(texts)]
+    model = learning.fit(sample, features, lambda rows, _: np.concatenate([[len(rows)], *rows]).astype(np.int64).tobytes())
+    seen, *held = np.frombuffer(model, dtype=np.int64).tolist()
+    assert seen == 400 and max(held) <= 1 << 18
+
+
+def test_parts_hold_every_text_once():
+    texts = [None, "", "é" * 10, "abc", None, "x" * 50, "y", ""]
+    for kind in (pa.string(), pa.large_string()):
+        for column in (pa.array(texts, kind), pa.array(["before", *texts], kind).slice(1)):
+            found = list(textbatch.parts(column, 20, 3))
+            assert [t for _, part in found for t in part] == [None if t is None else t.encode() for t in texts]
+            assert [first for first, _ in found] == np.cumsum([0, *[len(part) for _, part in found]])[:-1].tolist()
+            assert all(len(part) == 1 or len(part) <= 3 and sum(len(t or b"") for t in part) <= 20 for _, part in found)
+    assert list(textbatch.parts(pa.array([], pa.string()))) == []
+
+
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality")])
 def test_odd_rows(spark, module, label):
     texts = ["plain words here", "awful dreadful words", None, "", "z" * 100_000] * 8

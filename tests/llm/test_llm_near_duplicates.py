@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gristmill.functions.hashing import mix
@@ -144,3 +146,18 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in found} == {x: root(x) for x in list(parent)}
     empty = components.connected_components(df.where("a < 0"), Scratch(spark, "t"), "e")
     assert empty.count() == 0
+
+
+def test_many_short_texts_are_signed_in_bounded_memory():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefgh", k=40)) for _ in range(4000)] + [None, "", "word " * 60_000]
+    arrays = [pa.array(range(len(texts))), pa.array([b"x"] * len(texts)), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(arrays, ["_id", "digest", "_text"])
+    sign = dart_minhash._signature_rows(dart_minhash.BANDS, dart_minhash.BAND_ROWS)
+    tracemalloc.start()
+    out = pa.Table.from_batches(sign(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["_id"].to_pylist() == list(range(len(texts)))
+    assert [len(x) for x in out["keys"].to_pylist()] == [dart_minhash.BANDS] * 4000 + [0, 0, dart_minhash.BANDS]
+    assert peak < 64 << 20
