@@ -18,7 +18,7 @@ from gristmill.functions import text as tx
 from gristmill.functions.hashing import GOLDEN, mix, word_hashes
 from gristmill.operators import gates, overlap
 from gristmill.operators.buckets import linked_components
-from gristmill.operators.overlap import chunk_bounds, distinct_keys, placed_keys
+from gristmill.operators.overlap import Packed, chunk_bounds, text_bytes
 from gristmill.scratch import Scratch
 
 # Rows of one slice when a stratum is ranked.
@@ -257,16 +257,10 @@ def near_duplicates(
 
 def overlap_between(df: DataFrame, dataset: str, text: str, n: int = 5) -> DataFrame:
     """Per dataset, how many of its distinct n-grams also occur in another dataset."""
-    pairs = placed_keys(df, dataset, text, n)
-    # A key in very many datasets is one row per dataset; how many there are is all that counts.
-    spread = F.count(F.lit(1)).over(Window.partitionBy("hi", "lo"))
-    seen = pairs.withColumn("spread", spread)
-    shared = F.count_if(F.col("spread") > 1)
-    return seen.groupBy(dataset).agg(
-        F.count(F.lit(1)).alias("grams"),
-        shared.alias("shared_grams"),
-        F.bround(shared / F.count(F.lit(1)), 4).alias("overlap_ratio"),
-    )
+    size = text_bytes(df, text)
+    keys = Packed(df.schema[dataset].dataType.simpleString(), n, size)
+    counts = keys.counts(keys.keys(df, dataset, text), dataset, size, against=False)
+    return counts.withColumn("overlap_ratio", F.bround(F.col("shared_grams") / F.col("grams"), 4))
 
 
 def overlap_with(df: DataFrame, dataset: str, text: str, other: DataFrame, other_text: str, n: int = 5) -> DataFrame:
@@ -275,17 +269,13 @@ def overlap_with(df: DataFrame, dataset: str, text: str, other: DataFrame, other
     Counting the distinct n-grams shuffles their keys; where the shared ones are enough, use
     ``overlap.shared_with``, and ``overlap.estimates`` where an estimate is.
     """
-    held_out = distinct_keys(other, other_text, n)
-    total = held_out.count()
-    held = held_out.withColumn("_held", F.lit(1))
-    side = F.broadcast(held) if total <= overlap.BROADCAST_KEYS else held
-    marked = placed_keys(df, dataset, text, n).join(side, ["hi", "lo"], "left")
-    counts = marked.groupBy(dataset).agg(
-        F.count(F.lit(1)).alias("grams"), F.count("_held").alias("shared_grams")
-    )
-    return counts.select(
-        dataset, "grams", "shared_grams", F.bround(F.col("shared_grams") / total, 4).alias("overlap_ratio")
-    )
+    size, other_size = text_bytes(df, text), text_bytes(other, other_text)
+    keys = Packed(df.schema[dataset].dataType.simpleString(), n, size, other_size)
+    held = keys.distinct(other, other_text, other_size)
+    # All names are null, so a row has one count.
+    total = held.agg(F.sum(F.col("counts")[0])).first()[0] or 0
+    counts = keys.counts(keys.keys(df, dataset, text).unionByName(held), dataset, size + other_size, against=True)
+    return counts.withColumn("overlap_ratio", F.bround(F.col("shared_grams") / total, 4))
 
 
 def balance(df: DataFrame, stratum: str, row_id: str, quota: int | None = None) -> DataFrame:

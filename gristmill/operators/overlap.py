@@ -1,10 +1,14 @@
 """Shared word n-grams between collections: exact keys, a filter in the scan, and theta sketches.
 
-An n-gram is a key of two 64-bit numbers computed per Arrow batch, and a batch puts out each key
-of a dataset once. ``shared_with`` joins the keys with those of the other collection before any
-shuffle, so only shared keys travel; the other side is broadcast if its counted size allows, else
+An n-gram is a key of two 64-bit numbers computed per Arrow batch, and a chunk of a batch puts out
+each key of a dataset once. ``shared_with`` joins the keys with those of the other collection before
+any shuffle, so only shared keys travel; the other side is broadcast if its counted size allows, else
 both sides are shuffled. ``sketches`` shuffles none: a theta sketch per dataset and task is merged,
 and estimates come from their intersections.
+
+Where all keys have to meet, they travel packed: a row has the keys of one part, as 12 bytes each, and
+how many of them are whose. Parts are the leading bits of keys, so all that is known of a key is
+in its part, and a task holds one part at a time.
 """
 
 from __future__ import annotations
@@ -12,9 +16,11 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +32,22 @@ BROADCAST_KEYS = 1 << 20
 SKETCH_LOG = 14
 _LANES = (np.uint64(0), np.uint64(0xA0761D6478BD642F))
 CHUNK_CHARS = 1 << 20
-# Some million keys, which a task holds by hash in about 270 MB.
+# Text of one task; a part of its keys, of which there are two to four a task, takes some 50 MB.
 PART_BYTES = 8 << 20
+# Keys that are packed at a time, and keys of a part beyond which repeated ones are dropped early.
+PACKED_KEYS = 1 << 19
+MERGED_KEYS = 1 << 21
+# 96 bits: of 10**12 n-grams two are taken for one with a chance of less than 1 in 100,000.
+_KEY = np.dtype([("hi", "<u8"), ("lo", "<u4")])
+_HELD = -2
+# Dataset names, their numbers (-1 is null, -2 a held key of the other collection), and keys.
+Keys = tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]
 
 
 def chunk_keys(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, hi, lo) of all n-grams of some texts; a text of fewer words is one n-gram."""
-    # A new word gets the next number.
-    known: defaultdict[str, int] = defaultdict()
-    known.default_factory = known.__len__
+    # A new word gets the next number. Nothing here refers to itself, so all goes at once.
+    known: defaultdict[str, int] = defaultdict(count().__next__)
     numbers, sizes = [], []
     for text in texts:
         # Without an argument the white space is that of ``functions.text``.
@@ -74,42 +87,214 @@ def chunk_bounds(sizes: list[int]) -> Iterator[tuple[int, int]]:
         begin = end
 
 
+def batch_keys(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[Keys]:
+    """(names, number, hi, lo) of all n-grams, chunk by chunk of about ``CHUNK_CHARS`` bytes.
+
+    Only a chunk's texts are Python objects at a time, so memory is bounded by that and the longest text.
+    """
+    for batch in batches:
+        text, encoded = batch.column("_text"), batch.column("_dataset").dictionary_encode()
+        codes = np.asarray(encoded.indices.fill_null(-1), dtype=np.int64)
+        for begin, end in chunk_bounds(pc.fill_null(pc.binary_length(text), 0).to_pylist()):
+            row, hi, lo = chunk_keys([t or "" for t in text.slice(begin, end - begin).to_pylist()], n)
+            yield encoded.dictionary, codes[begin:end][row], hi, lo
+
+
+def _named(df: DataFrame, dataset: str, text: str) -> DataFrame:
+    return df.select(F.col(dataset).alias("_dataset"), F.col(text).alias("_text"))
+
+
 def gram_keys(df: DataFrame, dataset: str, text: str, n: int) -> DataFrame:
-    """(dataset, hi, lo): word n-grams in lower case, each at most once per dataset and batch.
+    """(dataset, hi, lo): word n-grams in lower case, each at most once per dataset and chunk of a batch.
 
-    Texts without words have none. Batches are worked off in chunks of about ``CHUNK_CHARS``
-    characters, so memory is bounded by that and the longest text.
+    Texts without words have none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
-            encoded = batch.column("_dataset").dictionary_encode()
-            codes = np.asarray(encoded.indices.fill_null(-1), dtype=np.int64)
-            for begin, end in chunk_bounds([len(t) for t in texts]):
-                row, hi, lo = chunk_keys(texts[begin:end], n)
-                code = codes[begin:end][row] if len(row) else np.empty(0, dtype=np.int64)
-                order = np.lexsort((lo, hi, code))
-                code, hi, lo = code[order], hi[order], lo[order]
-                new = np.ones(len(code), dtype=bool)
-                new[1:] = (code[1:] != code[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-                taken = pa.array(code[new], pa.int64(), mask=code[new] < 0)
-                yield pa.RecordBatch.from_arrays(
-                    [encoded.dictionary.take(taken), pa.array(hi[new]), pa.array(lo[new])], ["_dataset", "hi", "lo"]
-                )
+        for names, code, hi, lo in batch_keys(batches, n):
+            order = np.lexsort((lo, hi, code))
+            code, hi, lo = code[order], hi[order], lo[order]
+            new = changes(code, hi, lo)
+            yield pa.RecordBatch.from_arrays(
+                [_names_of(names, code[new]), pa.array(hi[new]), pa.array(lo[new])], ["_dataset", "hi", "lo"]
+            )
 
     name = df.schema[dataset].dataType.simpleString()
-    rows = df.select(F.col(dataset).alias("_dataset"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, f"_dataset {name}, hi bigint, lo bigint").withColumnRenamed("_dataset", dataset)
+    rows = _named(df, dataset, text).mapInArrow(run, f"_dataset {name}, hi bigint, lo bigint")
+    return rows.withColumnRenamed("_dataset", dataset)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
 
 
-def placed_keys(df: DataFrame, dataset: str, text: str, n: int) -> DataFrame:
-    """(dataset, hi, lo), each once, placed by (hi, lo): joins and groups by key need no further shuffle.
+def _names_of(names: pa.Array, code: np.ndarray) -> pa.Array:
+    return names.take(pa.array(code, pa.int64(), mask=code < 0))
 
-    The tasks are as many as hold the keys of about ``PART_BYTES`` of text each, without spilling.
+
+def joined(pieces: list[Keys]) -> Keys:
+    """Pieces as one, with one number for each name."""
+    names = pa.concat_arrays([p[0] for p in pieces]).dictionary_encode()
+    number = np.asarray(names.indices, dtype=np.int32)
+    first = np.cumsum([0] + [len(p[0]) for p in pieces])
+    # Numbers below 0 stay.
+    codes = [np.where(c < 0, c, number[np.maximum(c + at, 0)] if len(number) else c) for (_, c, _, _), at in zip(pieces, first)]
+    return names.dictionary, np.concatenate(codes).astype(np.int32), *(np.concatenate([p[i] for p in pieces]) for i in (2, 3))
+
+
+def packed(keys: Keys, bits: int, held: bool = False) -> pa.RecordBatch:
+    """One row a part: its leading ``bits``, whose keys it has, how many, and the keys in that order.
+
+    Keys that one dataset has twice are dropped, if they come to lie side by side.
     """
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return gram_keys(df, dataset, text, n).repartition(1 + total // PART_BYTES, "hi", "lo").distinct()
+    names, code, hi, lo = keys
+    width = np.uint64(len(names) + 1)
+    hi = hi.view(np.uint64)
+    group = (hi >> np.uint64(64 - bits)) * width + (code + 1).astype(np.uint64)
+    top = np.uint64(((len(names) + 1) << bits).bit_length())
+    order = np.argsort((group << (np.uint64(64) - top)) | ((hi << np.uint64(bits)) >> top))
+    group, hi, lo = group[order], hi[order], lo.view(np.uint64)[order].astype(np.uint32)
+    new = changes(group, hi, lo)
+    group = group[new]
+    out = np.empty(len(group), dtype=_KEY)
+    out["hi"], out["lo"] = hi[new], lo[new]
+    run = np.flatnonzero(changes(group)) if len(group) else np.empty(0, dtype=np.int64)
+    part, whose = group[run] // width, (group[run] % width).astype(np.int64) - 1
+    row = np.flatnonzero(changes(part)) if len(part) else run
+    lists = pa.array(np.append(row, len(run)), pa.int32())
+    counts = pa.array(np.diff(run, append=len(group)), pa.int32())
+    ends = np.append(run[row], len(group)) * _KEY.itemsize
+    blobs = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out.tobytes())])
+    columns = {
+        "hi": pa.array(part[row].astype(np.int32)),
+        "names": pa.ListArray.from_arrays(lists, _names_of(names, whose)),
+        "counts": pa.ListArray.from_arrays(lists, counts),
+        "keys": blobs,
+        "held": pa.array(np.full(len(row), held)),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def opened(rows: pa.RecordBatch) -> Keys:
+    """Packed rows as keys."""
+    names, counts = rows.column("names"), np.asarray(rows.column("counts").flatten(), dtype=np.int64)
+    keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), dtype=_KEY)
+    encoded = names.flatten().dictionary_encode()
+    code = np.asarray(encoded.indices.fill_null(-1), dtype=np.int32)
+    held = np.repeat(np.asarray(rows.column("held").to_pylist(), dtype=bool), np.asarray(names.value_lengths()))
+    code = np.repeat(np.where(held, np.int32(_HELD), code), counts)
+    return encoded.dictionary, code, keys["hi"].copy(), keys["lo"].copy()
+
+
+def merged(pieces: list[Keys]) -> Keys:
+    """Each key of each dataset once, sorted by key and number."""
+    names, code, hi, lo = joined(pieces)
+    order = np.argsort(hi)
+    ordered = hi[order]
+    same = ordered[1:] == ordered[:-1]
+    # Few keys share the first number, so only these are sorted by all columns.
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    some = order[tied]
+    order[tied] = some[np.lexsort((code[some], lo[some], hi[some]))]
+    code, hi, lo = code[order], ordered, lo[order]
+    new = changes(code, hi, lo)
+    return names, code[new], hi[new], lo[new]
+
+
+def by_part(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, Keys]]:
+    """Keys of each part, of packed rows sorted by part.
+
+    A key in very many rows is held some times only: beyond ``limit`` keys repeated ones are dropped.
+    """
+    part, pieces, size, most = -1, [], 0, limit
+    for batch in batches:
+        parts = np.asarray(batch.column("hi"))
+        at = np.flatnonzero(changes(parts)).tolist() if len(parts) else []
+        for begin, end in zip(at, [*at[1:], len(parts)]):
+            if parts[begin] != part:
+                if pieces:
+                    yield part, merged(pieces)
+                part, pieces, size, most = int(parts[begin]), [], 0, limit
+            pieces.append(opened(batch.slice(begin, end - begin)))
+            size += len(pieces[-1][1])
+            if size > most:
+                pieces = [merged(pieces)]
+                size = len(pieces[0][1])
+                most = max(limit, 2 * size)
+    if pieces:
+        yield part, merged(pieces)
+
+
+class Packed:
+    """Packed keys of collections that are compared, in as many parts as their texts need."""
+
+    def __init__(self, kind: str, n: int, *sizes: int):
+        self.n, self.schema = n, f"hi int, names array<{kind}>, counts array<int>, keys binary, held boolean"
+        self.kind, self.bits = kind, (2 * sum(sizes) // PART_BYTES + 1).bit_length()
+
+    def keys(self, df: DataFrame, dataset: str, text: str) -> DataFrame:
+        """Packed rows of a collection."""
+        n, bits, size = self.n, self.bits, PACKED_KEYS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces, waiting = [], 0
+            for piece in batch_keys(batches, n):
+                pieces.append(piece)
+                waiting += len(piece[1])
+                if waiting >= size:
+                    keys = joined(pieces)
+                    for at in range(0, waiting - size + 1, size):
+                        yield packed((keys[0], *(c[at : at + size] for c in keys[1:])), bits)
+                    left = waiting // size * size
+                    pieces, waiting = [(keys[0], *(c[left:].copy() for c in keys[1:]))], waiting - left
+            if waiting:
+                yield packed(joined(pieces), bits)
+
+        return _named(df, dataset, text).mapInArrow(run, self.schema)
+
+    def distinct(self, other: DataFrame, text: str, size: int) -> DataFrame:
+        """Packed rows of another collection, each key once, marked as held."""
+        bits, limit = self.bits, MERGED_KEYS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, (names, code, hi, lo) in by_part(batches, limit):
+                yield packed((names, code, hi, lo.astype(np.uint64)), bits, held=True)
+
+        rows = self.keys(other.select(F.lit(None).cast(self.kind).alias("_all"), text), "_all", text)
+        return _placed(rows, size).mapInArrow(run, self.schema)
+
+    def counts(self, rows: DataFrame, dataset: str, size: int, against: bool) -> DataFrame:
+        """(dataset, grams, shared_grams): keys of each, and how many of them are held, or else another dataset's too."""
+        limit = MERGED_KEYS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, (names, code, hi, lo) in by_part(batches, limit):
+                new = changes(hi, lo)
+                key = np.cumsum(new) - 1
+                # A held key has the least number.
+                shared = (code[new] == _HELD)[key] if against else (np.bincount(key) > 1)[key]
+                own = code != _HELD
+                grams = np.bincount(code[own] + 1, minlength=len(names) + 1)
+                both = np.bincount(code[own & shared] + 1, minlength=len(names) + 1)
+                some = np.flatnonzero(grams)
+                yield pa.RecordBatch.from_arrays(
+                    [_names_of(names, some - 1), pa.array(grams[some]), pa.array(both[some])], ["_dataset", "grams", "shared_grams"]
+                )
+
+        counted = _placed(rows, size).mapInArrow(run, f"_dataset {self.kind}, grams bigint, shared_grams bigint")
+        return counted.groupBy(F.col("_dataset").alias(dataset)).agg(F.sum("grams").alias("grams"), F.sum("shared_grams").alias("shared_grams"))
+
+
+def _placed(rows: DataFrame, size: int) -> DataFrame:
+    """Packed rows in as many tasks as ``size`` bytes of text need, sorted by part."""
+    return rows.repartition(1 + size // PART_BYTES, "hi").sortWithinPartitions("hi")
+
+
+def text_bytes(df: DataFrame, text: str) -> int:
+    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def distinct_keys(other: DataFrame, text: str, n: int) -> DataFrame:

@@ -1,7 +1,10 @@
 """Shared n-grams against plain sets, and sketches within their error."""
 
+import gc
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +82,48 @@ def test_sketches_are_exact_while_small_and_close_when_large(spark):
         for name in "xy":
             assert abs(got[name][0] - len(own[name])) <= error * len(own[name])
             assert abs(got[name][1] - len(own[name] & own["y"])) <= error * max(map(len, own.values()))
+
+
+def test_words_of_a_chunk_are_freed_at_once():
+    gc.collect()
+    gc.disable()
+    try:
+        overlap.chunk_keys(["a b c d e f", "a"], 5)
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
+@pytest.fixture(params=[(100, 7, 3), (100, 50, 10**6), (8 << 20, 1 << 19, 20)])
+def limits(request, monkeypatch):
+    """Many parts, several packed rows a part, and parts whose repeated keys are dropped early."""
+    for name, value in zip(("PART_BYTES", "PACKED_KEYS", "MERGED_KEYS"), request.param):
+        monkeypatch.setattr(overlap, name, value)
+
+
+def test_between_datasets_by_packed_keys(spark, rows, limits):
+    df = spark.createDataFrame(rows + rows[:50], "name string, text string")
+    result = curate.overlap_between(df, "name", "text")
+    own = {name: g for name, g in of(rows, 5).items() if g}
+    got = {r["name"]: (r["grams"], r["shared_grams"], r["overlap_ratio"]) for r in result.collect()}
+    want = {}
+    for name, g in own.items():
+        both = len(g & set().union(*(other for n, other in own.items() if n != name)))
+        want[name] = (len(g), both, round(both / len(g), 4))
+    assert got == want and None in got
+    # No row, sort or window for each key.
+    assert "Window" not in result._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_key_in_many_rows_is_held_some_times():
+    piece = (pa.array(["a", "b"]), *overlap.np.array([[0, 0, 1, -1], [5, 5, 5, 7], [1, 1, 1, 2]], dtype="i8"))
+    packed = pa.Table.from_batches([overlap.packed(piece, 3)] * 5000).combine_chunks().sort_by("hi").to_batches(max_chunksize=10)
+    del piece
+    tracemalloc.start()
+    try:
+        ((part, (names, code, hi, lo)),) = overlap.by_part(iter(packed), 100)
+        assert tracemalloc.get_traced_memory()[1] < 100_000
+    finally:
+        tracemalloc.stop()
+    found = {(names[c].as_py() if c >= 0 else None, *k) for c, *k in zip(code.tolist(), hi.tolist(), lo.tolist())}
+    assert part == 0 and len(code) == 3 and found == {("a", 5, 1), ("b", 5, 1), (None, 7, 2)}
