@@ -115,6 +115,16 @@ def test_between_datasets_by_packed_keys(spark, rows, limits):
     assert "Window" not in result._jdf.queryExecution().executedPlan().toString()
 
 
+def test_other_collection_by_packed_keys(spark, rows, limits):
+    held = [(t,) for _, t in rows[::5]] * 2 + [(None,), ("not in any",)]
+    df, other = spark.createDataFrame(rows, "name string, text string"), spark.createDataFrame(held, "body string")
+    want = set().union(*(grams(t, 5) for (t,) in held))
+    result = curate.overlap_with(df, "name", "text", other, "body")
+    got = {r["name"]: (r["grams"], r["shared_grams"], r["overlap_ratio"]) for r in result.collect()}
+    assert got == {name: (len(g), len(g & want), round(len(g & want) / len(want), 4)) for name, g in of(rows, 5).items() if g}
+    assert "Join" not in result._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_key_in_many_rows_is_held_some_times():
     piece = (pa.array(["a", "b"]), *overlap.np.array([[0, 0, 1, -1], [5, 5, 5, 7], [1, 1, 1, 2]], dtype="i8"))
     packed = pa.Table.from_batches([overlap.packed(piece, 3)] * 5000).combine_chunks().sort_by("hi").to_batches(max_chunksize=10)
