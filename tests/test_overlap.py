@@ -94,6 +94,19 @@ def test_words_of_a_chunk_are_freed_at_once():
         gc.enable()
 
 
+def test_texts_become_objects_chunk_by_chunk():
+    texts = [f"{i} " + f"{'é' * 999} " * 50 for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 300), pa.array(texts)], ["_dataset", "_text"])
+    size = batch.nbytes
+    del texts
+    tracemalloc.start()
+    try:
+        assert sum(len(hi) for _, _, hi, _ in overlap.batch_keys(iter([batch]), 5)) == 300 * 47
+        assert tracemalloc.get_traced_memory()[1] < size / 3
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.fixture(params=[(100, 7, 3), (100, 50, 10**6), (8 << 20, 1 << 19, 20)])
 def limits(request, monkeypatch):
     """Many parts, several packed rows a part, and parts whose repeated keys are dropped early."""
