@@ -107,7 +107,7 @@ def test_texts_become_objects_chunk_by_chunk():
         tracemalloc.stop()
 
 
-@pytest.fixture(params=[(100, 7, 3), (100, 50, 10**6), (8 << 20, 1 << 19, 20)])
+@pytest.fixture(params=[(2000, 70, 3), (2000, 500, 10**6), (8 << 20, 1 << 19, 20)])
 def limits(request, monkeypatch):
     """Many parts, several packed rows a part, and parts whose repeated keys are dropped early."""
     for name, value in zip(("PART_BYTES", "PACKED_KEYS", "MERGED_KEYS"), request.param):
